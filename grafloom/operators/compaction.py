@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafloom.functions.prefix import running_before
-from grafloom.plans.runtime import cut
+from grafloom.plans.runtime import cut, ship
 
 #: Ids per block of the running maxima, bytes per container.
 BLOCK = 65_536
@@ -95,6 +95,7 @@ def pack_files(files: DataFrame, folder: str, target_bytes: int = CONTAINER_BYTE
     Rows with a null path are dropped. A container is written under a name of its own and then renamed, so a task
     that is run again leaves no part of it behind. Only containers of the plan are made: an empty input makes none.
     """
+    ship(files.sparkSession)
     rows = files.where("path is not null").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
     sizes = rows.select("path", F.length("content").cast("long").alias("n")).groupBy("path").agg(F.sum("n").alias("n"))
     plan = running_before(sizes, [], F.pmod(F.xxhash64("path"), F.lit(blocks)), [F.col("path")], {"ahead": ("sum", "n")})
@@ -166,4 +167,5 @@ def read_packed(index: DataFrame, folder: str) -> DataFrame:
                     size, got = 0, []
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([d for _, d in got], pa.binary())], names=["path", "content"])
 
+    ship(index.sparkSession)
     return index.mapInArrow(read, "path string, content binary")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application; operators with Python code call it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_grafloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="grafloom-code-")) / "grafloom.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(name))
+    sc._grafloom_shipped = True
