@@ -49,6 +49,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: int | None = None,
     `actual_share` (of the total picked; 0 if nothing is), `size`, `picks`, `documents`, `copies` (most of one
     document), `available` (size of one copy of all), `state`: `met`, `exhausted`, `no documents`.
     """
+    targets = targets.select("source", "share", "cap")
     sized = cut(docs.where("id is not null and size > 0").select("id", "source", F.col("size").cast("long")).join(F.broadcast(targets.select("source")), "source", "left_semi"))
     stats = sized.groupBy("source").agg(F.sum("size").alias("all"), F.max("size").alias("largest"), F.count("*").alias("n"))
     rows = targets.where("share > 0 and cap > 0").join(stats, "source").select("source", F.col("share").cast("double"), F.col("cap").cast("long"), "all", "largest", "n").collect()

@@ -14,6 +14,7 @@ SENTENCE_END = "[.!?\\u2026\\u3002\\uff01\\uff1f][\"'\\u201c\\u201d\\u2019\\u00b
 #: A list item's mark: a bullet, or a number or letter with a dot, bracket or colon. Dashes wider than a hyphen start
 #: spoken lines and are no mark.
 MARK = "^\\s*(?:[-*+\\u2022\\u2192\\u00b7\\u25e6\\u25aa\\u2023\\u25cf>]|\\(?(?:\\d{1,4}|[a-zA-Z])[.):])\\s"
+EDGES = "^\\s+|\\s+$"
 RULER = "^[-=\\u2500\\u2501_+|:\\s]{3,}$"
 #: What separates cells of a row, and separators that stand alone between the items of a line.
 CELL, APART = "\\t|\\||;|,| {2,}", " [/>|\\u00b7\\u2022\\u203a\\u00bb\\u2192-] "
@@ -21,6 +22,7 @@ CELL, APART = "\\t|\\||;|,| {2,}", " [/>|\\u00b7\\u2022\\u203a\\u00bb\\u2192-] "
 SYMBOL = "[^\\p{L}\\p{M}\\p{N}\\s.,;:!?'\"()\\-\\u2013\\u2014\\u2026\\u00ab\\u00bb\\u201c\\u201d\\u201e\\u2018\\u2019\\u00bf\\u00a1\\x{1F000}-\\x{1FAFF}]"
 TECHNICAL = "[{}\\[\\]<>=_\\\\|#@$%^&*~+/]"
 ENCODED = "\\S{30,}"
+SPELT = "^[\\p{IsLatin}\\p{IsCyrillic}\\p{IsGreek}\\p{M}]+$"
 VOWELS = "[aeiouy\\u00e0-\\u00e6\\u00e8-\\u00ef\\u00f2-\\u00f6\\u00f8-\\u00fd\\u0105\\u0119\\u0153\\u0131\\u0430\\u0435\\u0438\\u043e\\u0443\\u044b\\u044d-\\u044f\\u0451\\u0456\\u0457\\u0390\\u03ac-\\u03b1\\u03b5\\u03b7\\u03b9\\u03bf\\u03c5\\u03c9-\\u03ce]"
 
 #: Thresholds of the rules that make a text no prose, with the statistic that each one looks at.
@@ -29,8 +31,9 @@ MOST_SYMBOLS = 0.1  # symbols per visible character
 MOST_TECHNICAL = 0.04  # characters of markup and code per visible character
 MOST_ENCODED = 0.5  # visible characters in runs of 30 and more
 LEAST_VARIETY = 2.0  # distinct words by the root of the number of words
-LEAST_LONG = 0.05  # share of words of 7 letters and more
-MOST_VOWELLESS = 0.1  # share of words of 3 letters and more without a vowel
+LEAST_LONG = 0.05  # share of 7 letters and more among Latin, Greek or Cyrillic words
+MOST_VOWELLESS = 0.1  # share of such words of 3 letters and more without a vowel
+SOME_VOWELLESS, MOST_DISTINCT, LEAST_COMMON, ENOUGH_WORDS = 0.02, 0.95, 0.02, 20  # fewer of them, but no capitals, and words never come again and are not common
 FEW_WORDS = 12  # texts with fewer words are not judged by their words
 #: Thresholds published for web text (Rae et al. 2021, "Scaling Language Models", appendix on quality filtering).
 PUBLISHED = {"words": (50, 100_000), "mean_word_length": (3, 10), "symbol_words": 0.1, "bullet_lines": 0.9, "ellipsis_lines": 0.3, "alphabetic": 0.8, "stop_words": 2}
@@ -46,21 +49,21 @@ def _count(text: Column, pattern: str) -> Column:
 
 def _line(x: Column) -> Column:
     """A line's words and numbers (`units`), length, tokens, and `kind`: 0 prose, 1 lead-in, 2 marked, 3 row, 4 short."""
-    s = F.trim(x)
+    s = F.regexp_replace(x, EDGES, "")
     units, tokens = _count(s, UNIT), F.size(F.split(s, "\\s+"))
     inner = F.regexp_replace(s, "^\\||\\|$", "")
     cells, apart = _count(inner, CELL) + 1, _count(inner, APART)
     quoted = F.contains(s, F.lit('","')) | F.contains(s, F.lit(";"))
     row = (
         s.rlike(RULER)
-        | F.contains(x, F.lit("\t")) & (cells >= 2)
+        | F.contains(s, F.lit("\t"))
         | (_count(s, "\\|") >= 2)
         | ((cells >= 3) & (units <= cells * F.when(quoted, 4.0).otherwise(3.6)))
         | ((apart >= 2) & (units <= (apart + 1) * 7))
     )
     kind = (
         F.when(s.endswith(":") & ~s.rlike("[.!?]\\s"), 1)
-        .when(x.rlike(MARK) & (units <= 9), 2)
+        .when(x.rlike(MARK) & (units <= 7), 2)
         .when(row, 3)
         .when((F.length(s) <= 36) & (tokens <= 6), 4)
         .otherwise(0)
@@ -88,16 +91,17 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
     t = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), INVISIBLE, ""), "\\u00a0", " ")
     base = docs.select(F.col(doc_id).alias("id_"), t.alias("t"))
     low = F.lower("t")
-    base = base.select("id_", "t", F.filter(F.split("t", LINE_END), lambda x: F.trim(x) != "").alias("ls"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("ws"), F.greatest(F.lit(1), _count(F.col("t"), "\\S")).alias("seen"))
+    base = base.select("id_", "t", F.filter(F.split("t", LINE_END), lambda x: x.rlike("\\S")).alias("ls"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("ws"), F.greatest(F.lit(1), _count(F.col("t"), "\\S")).alias("seen"))
     base = base.withColumn("lines", F.transform("ls", _line))
     ls, ws, lines, n = F.col("ls"), F.col("ws"), F.col("lines"), F.size("ws")
-    three = F.filter(ws, lambda w: F.length(w) >= 3)
+    spelt = F.filter(ws, lambda w: w.rlike(SPELT))
+    three = F.filter(spelt, lambda w: F.length(w) >= 3)
     body = F.filter(lines, lambda x: x["kind"] != 1)
     stats = base.select(
         "id_", "t", "ls", n.alias("words"),
         _share(F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), n).alias("mean_word_length"),
         (_count(F.col("t"), SYMBOL) / F.col("seen")).alias("symbol_ratio"),
-        _share(F.size(F.filter(ls, lambda x: F.trim(x).rlike(SENTENCE_END))), F.size(ls)).alias("end_punct_share"),
+        _share(F.size(F.filter(ls, lambda x: F.regexp_replace(x, EDGES, "").rlike(SENTENCE_END))), F.size(ls)).alias("end_punct_share"),
         _share(F.size(F.filter(ws, lambda w: w.isin(common))), n).alias("common_share"),
         _share(F.size(F.filter(ls, lambda x: x.rlike(MARK))), F.size(ls)).alias("bullet_share"),
         _share(_sum(lines, "units", lambda x: x["kind"] > 1), _sum(body, "units")).alias("listed"),
@@ -105,7 +109,8 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
         (_count(F.col("t"), TECHNICAL) / F.col("seen")).alias("technical_ratio"),
         (F.aggregate(F.regexp_extract_all("t", F.lit(ENCODED), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x)) / F.col("seen")).alias("encoded_ratio"),
         _share(F.size(F.array_distinct(ws)), F.sqrt(n)).alias("variety"),
-        _share(F.size(F.filter(ws, lambda w: F.length(w) >= 7)), n).alias("long_share"),
+        _share(F.size(F.filter(spelt, lambda w: F.length(w) >= 7)), F.size(spelt)).alias("long_share"),
+        F.size(spelt).alias("spelt"),
         _share(F.size(F.filter(three, lambda w: ~w.rlike(VOWELS))), F.size(three)).alias("vowelless_share"),
     )
     stats = stats.withColumn("listed_share", F.when(F.col("all_short"), F.greatest("listed", F.lit(1.0))).otherwise(F.col("listed")))
@@ -116,8 +121,9 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
         "markup_or_code": F.col("technical_ratio") > MOST_TECHNICAL,
         "encoded": F.col("encoded_ratio") > MOST_ENCODED,
         "repeated": judged & (F.col("variety") < LEAST_VARIETY),
-        "function_words": judged & (F.col("long_share") < LEAST_LONG),
-        "noise": judged & (F.col("vowelless_share") > MOST_VOWELLESS),
+        "function_words": (F.col("spelt") >= FEW_WORDS) & (F.col("long_share") < LEAST_LONG),
+        "noise": judged & (F.col("vowelless_share") > MOST_VOWELLESS)
+        | (F.col("words") >= ENOUGH_WORDS) & (F.col("vowelless_share") > SOME_VOWELLESS) & (F.col("variety") > MOST_DISTINCT * F.sqrt("words")) & (F.col("common_share") < LEAST_COMMON) & ~F.col("t").rlike("\\p{Lu}"),
         "no_words": F.col("words") == 0,
     }
     p, n = PUBLISHED, F.greatest(F.lit(1), F.col("words"))
@@ -126,7 +132,7 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
         "mean_word_length": ~F.col("mean_word_length").between(*p["mean_word_length"]),
         "symbol_words": (_count(F.col("t"), "#|\\.\\.\\.|\\u2026") / n) > p["symbol_words"],
         "bullet_lines": F.col("bullet_share") > p["bullet_lines"],
-        "ellipsis_lines": _share(F.size(F.filter("ls", lambda x: F.trim(x).rlike("(\\.\\.\\.|\\u2026)$"))), F.size("ls")) > p["ellipsis_lines"],
+        "ellipsis_lines": _share(F.size(F.filter("ls", lambda x: x.rlike("(\\.\\.\\.|\\u2026)\\s*$"))), F.size("ls")) > p["ellipsis_lines"],
         "alphabetic": (_count(F.col("t"), "(?<!\\S)(?=\\S*\\p{L})\\S+") / F.greatest(F.lit(1), _count(F.col("t"), "\\S+"))) < p["alphabetic"],
         "stop_words": F.col("common_share") * n < p["stop_words"] - 0.5,
     }
