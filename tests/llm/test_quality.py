@@ -25,7 +25,7 @@ def got(spark):
 
 def test_prose_and_junk(got):
     assert {k for k, r in got.items() if not r.no_prose} == GOOD
-    assert got["function"].no_prose == ["function_words"]
+    assert "function_words" in got["function"].no_prose
     assert "encoded" in got["hex"].no_prose
     assert got["csv"].no_prose == ["listed"]
 
