@@ -43,7 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="grafloom-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # New column ids: the optimizer's notes on the old ones may name columns that a checkpoint no longer has.
+    return kept.toDF(*kept.columns)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
