@@ -10,7 +10,7 @@ INVISIBLE = "[\\u200b-\\u200d\\u2060\\ufeff\\u00ad]"
 LINE_END = "\\r\\n|[\\n\\r\\u2028\\u2029\\u0085\\u000b\\f]"
 WORD, UNIT = "[\\p{L}\\p{M}]+", "[\\p{L}\\p{N}]+"
 #: A line that ends like a sentence, with closing quotes or brackets after it.
-SENTENCE_END = "[.!?\\u2026\\u3002\\uff01\\uff1f][\"'\\u201c\\u201d\\u2019\\u00bb)\\]]*$"
+SENTENCE_END = "[.!?\\u2026\\u3002\\uff01\\uff1f][\"'\\u201c\\u201d\\u2019\\u00bb)\\]]*\\s*$"
 #: A list item's mark: a bullet, or a number or letter with a dot, bracket or colon. Dashes wider than a hyphen start
 #: spoken lines and are no mark.
 MARK = "^\\s*(?:[-*+\\u2022\\u2192\\u00b7\\u25e6\\u25aa\\u2023\\u25cf>]|\\(?(?:\\d{1,4}|[a-zA-Z])[.):])\\s"
@@ -68,7 +68,7 @@ def _line(x: Column) -> Column:
         .when((F.length(s) <= 36) & (tokens <= 6), 4)
         .otherwise(0)
     )
-    return F.struct(units.alias("units"), F.length(s).alias("length"), tokens.alias("tokens"), kind.alias("kind"))
+    return F.struct(units.alias("units"), F.length(s).alias("length"), tokens.alias("tokens"), kind.alias("kind"), x.rlike(MARK).alias("marked"))
 
 
 def _sum(lines: Column, what: str, keep=None) -> Column:  # noqa: ANN001
@@ -76,6 +76,12 @@ def _sum(lines: Column, what: str, keep=None) -> Column:  # noqa: ANN001
     return F.aggregate(some, F.lit(0), lambda a, x: a + x[what])
 
 
+def _once(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
+    """`df` with new columns that are computed once per row: as a generator's output, the optimizer can't copy their
+    expressions into every place that uses them, nor into a filter above."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+
+
 def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str]) -> DataFrame:
     """Statistics of each row's whole text and the rules that it breaks, one row per row of `docs`.
 
@@ -88,31 +94,32 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
     Null, empty and blank texts have counts and shares of 0 and break no rule of `no_prose`, nor a published one.
     `common` is a word list of some thousand words at most. All is one map over the rows, in built-in functions.
     """
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), INVISIBLE, ""), "\\u00a0", " ")
-    base = docs.select(F.col(doc_id).alias("id_"), t.alias("t"))
-    low = F.lower("t")
-    base = base.select("id_", "t", F.filter(F.split("t", LINE_END), lambda x: x.rlike("\\S")).alias("ls"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("ws"), F.greatest(F.lit(1), _count(F.col("t"), "\\S")).alias("seen"))
-    base = base.withColumn("lines", F.transform("ls", _line))
+    clean = F.translate(F.regexp_replace(F.coalesce(F.col("raw_"), F.lit("")), INVISIBLE, ""), "\u00a0", " ")
+    base = _once(docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("raw_")), ["id_"], {"t": clean})
+    first = {"ls": F.filter(F.split("t", LINE_END), lambda x: x.rlike("\\S")), "ws": F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)), "seen": F.greatest(F.lit(1), _count(F.col("t"), "\\S"))}
+    base = _once(base, ["id_", "t"], first)
+    spelt = F.filter("ws", lambda w: w.rlike(SPELT))
+    base = _once(base, ["id_", "t", "seen", "ls", "ws"], {"lines": F.transform("ls", _line), "alphabetic_words": spelt})
     ls, ws, lines, n = F.col("ls"), F.col("ws"), F.col("lines"), F.size("ws")
-    spelt = F.filter(ws, lambda w: w.rlike(SPELT))
+    spelt = F.col("alphabetic_words")
     three = F.filter(spelt, lambda w: F.length(w) >= 3)
     body = F.filter(lines, lambda x: x["kind"] != 1)
-    stats = base.select(
-        "id_", "t", "ls", n.alias("words"),
-        _share(F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), n).alias("mean_word_length"),
-        (_count(F.col("t"), SYMBOL) / F.col("seen")).alias("symbol_ratio"),
-        _share(F.size(F.filter(ls, lambda x: F.regexp_replace(x, EDGES, "").rlike(SENTENCE_END))), F.size(ls)).alias("end_punct_share"),
-        _share(F.size(F.filter(ws, lambda w: w.isin(common))), n).alias("common_share"),
-        _share(F.size(F.filter(ls, lambda x: x.rlike(MARK))), F.size(ls)).alias("bullet_share"),
-        _share(_sum(lines, "units", lambda x: x["kind"] > 1), _sum(body, "units")).alias("listed"),
-        ((F.size(body) >= 3) & (_sum(body, "tokens") < F.size(body) * 5) & (_sum(body, "length") < F.size(body) * 36)).alias("all_short"),
-        (_count(F.col("t"), TECHNICAL) / F.col("seen")).alias("technical_ratio"),
-        (F.aggregate(F.regexp_extract_all("t", F.lit(ENCODED), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x)) / F.col("seen")).alias("encoded_ratio"),
-        _share(F.size(F.array_distinct(ws)), F.sqrt(n)).alias("variety"),
-        _share(F.size(F.filter(spelt, lambda w: F.length(w) >= 7)), F.size(spelt)).alias("long_share"),
-        F.size(spelt).alias("spelt"),
-        _share(F.size(F.filter(three, lambda w: ~w.rlike(VOWELS))), F.size(three)).alias("vowelless_share"),
-    )
+    stats = _once(base, ["id_", "t", "ls"], {
+        "words": n,
+        "mean_word_length": _share(F.length(F.array_join(ws, "")), n),
+        "symbol_ratio": _count(F.col("t"), SYMBOL) / F.col("seen"),
+        "end_punct_share": _share(F.size(F.filter(ls, lambda x: x.rlike(SENTENCE_END))), F.size(ls)),
+        "common_share": _share(F.size(F.filter(ws, lambda w: w.isin(common))), n),
+        "bullet_share": _share(F.size(F.filter(lines, lambda x: x["marked"])), F.size(ls)),
+        "listed": _share(_sum(lines, "units", lambda x: x["kind"] > 1), _sum(body, "units")),
+        "all_short": (F.size(body) >= 3) & (_sum(body, "tokens") < F.size(body) * 5) & (_sum(body, "length") < F.size(body) * 36),
+        "technical_ratio": _count(F.col("t"), TECHNICAL) / F.col("seen"),
+        "encoded_ratio": F.aggregate(F.regexp_extract_all("t", F.lit(ENCODED), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x)) / F.col("seen"),
+        "variety": _share(F.size(F.array_distinct(ws)), F.sqrt(n)),
+        "long_share": _share(F.size(F.filter(spelt, lambda w: F.length(w) >= 7)), F.size(spelt)),
+        "spelt": F.size(spelt),
+        "vowelless_share": _share(F.size(F.filter(three, lambda w: ~w.rlike(VOWELS))), F.size(three)),
+    })
     stats = stats.withColumn("listed_share", F.when(F.col("all_short"), F.greatest("listed", F.lit(1.0))).otherwise(F.col("listed")))
     some, judged = F.size("ls") > 0, F.col("words") >= FEW_WORDS
     rules = {
