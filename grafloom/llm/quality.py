@@ -10,7 +10,7 @@ INVISIBLE = "[\\u200b-\\u200d\\u2060\\ufeff\\u00ad]"
 LINE_END = "\\r\\n|[\\n\\r\\u2028\\u2029\\u0085\\u000b\\f]"
 WORD, UNIT = "[\\p{L}\\p{M}]+", "[\\p{L}\\p{N}]+"
 #: A line that ends like a sentence, with closing quotes or brackets after it.
-SENTENCE_END = "[.!?\\u2026\\u3002\\uff01\\uff1f][\"'\\u201c\\u201d\\u2019\\u00bb)\\]]*\\s*$"
+SENTENCE_END = "[.!?\\u2026\\u3002\\uff01\\uff1f][\"'\\u201c\\u201d\\u2019\\u00bb)\\]]*$"
 #: A list item's mark: a bullet, or a number or letter with a dot, bracket or colon. Dashes wider than a hyphen start
 #: spoken lines and are no mark.
 MARK = "^\\s*(?:[-*+\\u2022\\u2192\\u00b7\\u25e6\\u25aa\\u2023\\u25cf>]|\\(?(?:\\d{1,4}|[a-zA-Z])[.):])\\s"
@@ -47,28 +47,33 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _measures(s: Column) -> Column:
+    """What the kind of a trimmed line depends on; each is computed once."""
+    pipes = F.startswith(s, F.lit("|")).cast("int") + F.endswith(s, F.lit("|")).cast("int")
+    return F.struct(
+        s.alias("s"), _count(s, UNIT).alias("units"), F.length(s).alias("length"), (_count(s, "\\s+") + 1).alias("tokens"), (_count(s, CELL) + 1 - pipes).alias("cells"), _count(s, APART).alias("apart"), s.rlike(MARK).alias("marked"),
+    )
+
+
 def _line(x: Column) -> Column:
-    """A line's words and numbers (`units`), length, tokens, and `kind`: 0 prose, 1 lead-in, 2 marked, 3 row, 4 short."""
-    s = F.regexp_replace(x, EDGES, "")
-    units, tokens = _count(s, UNIT), F.size(F.split(s, "\\s+"))
-    inner = F.regexp_replace(s, "^\\||\\|$", "")
-    cells, apart = _count(inner, CELL) + 1, _count(inner, APART)
+    """A line's measures and `kind`: 0 prose, 1 lead-in, 2 marked, 3 row, 4 short."""
+    s, units, cells, apart = x["s"], x["units"], x["cells"], x["apart"]
     quoted = F.contains(s, F.lit('","')) | F.contains(s, F.lit(";"))
     row = (
-        s.rlike(RULER)
-        | F.contains(s, F.lit("\t"))
-        | (_count(s, "\\|") >= 2)
-        | ((cells >= 3) & (units <= cells * F.when(quoted, 4.0).otherwise(3.6)))
+        ((cells >= 3) & (units <= cells * F.when(quoted, 4.0).otherwise(3.6)))
         | ((apart >= 2) & (units <= (apart + 1) * 7))
+        | F.contains(s, F.lit("\t"))
+        | F.contains(F.regexp_replace(s, "^[^|]*\\|", ""), F.lit("|"))
+        | s.rlike(RULER)
     )
     kind = (
-        F.when(s.endswith(":") & ~s.rlike("[.!?]\\s"), 1)
-        .when(x.rlike(MARK) & (units <= 7), 2)
+        F.when(F.endswith(s, F.lit(":")) & ~s.rlike("[.!?]\\s"), 1)
+        .when(x["marked"] & (units <= 7), 2)
         .when(row, 3)
-        .when((F.length(s) <= 36) & (tokens <= 6), 4)
+        .when((x["length"] <= 36) & (x["tokens"] <= 6), 4)
         .otherwise(0)
     )
-    return F.struct(units.alias("units"), F.length(s).alias("length"), tokens.alias("tokens"), kind.alias("kind"), x.rlike(MARK).alias("marked"))
+    return F.struct(units.alias("units"), x["length"].alias("length"), x["tokens"].alias("tokens"), kind.alias("kind"), x["marked"].alias("marked"))
 
 
 def _sum(lines: Column, what: str, keep=None) -> Column:  # noqa: ANN001
@@ -96,10 +101,10 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
     """
     clean = F.translate(F.regexp_replace(F.coalesce(F.col("raw_"), F.lit("")), INVISIBLE, ""), "\u00a0", " ")
     base = _once(docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("raw_")), ["id_"], {"t": clean})
-    first = {"ls": F.filter(F.split("t", LINE_END), lambda x: x.rlike("\\S")), "ws": F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)), "seen": F.greatest(F.lit(1), _count(F.col("t"), "\\S"))}
+    first = {"ls": F.filter(F.transform(F.split("t", LINE_END), lambda x: F.regexp_replace(x, EDGES, "")), lambda x: x != ""), "ws": F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)), "seen": F.greatest(F.lit(1), _count(F.col("t"), "\\S"))}
     base = _once(base, ["id_", "t"], first)
     spelt = F.filter("ws", lambda w: w.rlike(SPELT))
-    base = _once(base, ["id_", "t", "seen", "ls", "ws"], {"lines": F.transform("ls", _line), "alphabetic_words": spelt})
+    base = _once(base, ["id_", "t", "seen", "ls", "ws"], {"lines": F.transform(F.transform("ls", _measures), _line), "alphabetic_words": spelt})
     ls, ws, lines, n = F.col("ls"), F.col("ws"), F.col("lines"), F.size("ws")
     spelt = F.col("alphabetic_words")
     three = F.filter(spelt, lambda w: F.length(w) >= 3)
@@ -139,7 +144,7 @@ def text_statistics(docs: DataFrame, doc_id: str, text: str, common: list[str])
         "mean_word_length": ~F.col("mean_word_length").between(*p["mean_word_length"]),
         "symbol_words": (_count(F.col("t"), "#|\\.\\.\\.|\\u2026") / n) > p["symbol_words"],
         "bullet_lines": F.col("bullet_share") > p["bullet_lines"],
-        "ellipsis_lines": _share(F.size(F.filter("ls", lambda x: x.rlike("(\\.\\.\\.|\\u2026)\\s*$"))), F.size("ls")) > p["ellipsis_lines"],
+        "ellipsis_lines": _share(F.size(F.filter("ls", lambda x: x.rlike("(\\.\\.\\.|\\u2026)$"))), F.size("ls")) > p["ellipsis_lines"],
         "alphabetic": (_count(F.col("t"), "(?<!\\S)(?=\\S*\\p{L})\\S+") / F.greatest(F.lit(1), _count(F.col("t"), "\\S+"))) < p["alphabetic"],
         "stop_words": F.col("common_share") * n < p["stop_words"] - 0.5,
     }
