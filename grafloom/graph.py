@@ -134,10 +134,13 @@ class PropertyGraph:
             w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight in e.columns else F.lit(0.0)
             json = F.to_json(F.struct(*sorted(props)), {"ignoreNullFields": "false"}) if props else F.lit("{}")
             step = e.select(F.lit(name).alias("edge_type"), "eid", "src", "dst", w.alias("w"), json.alias("properties"))
-            if direction in ("out", "both"):
-                parts.append(step.select(F.col("src").alias("node"), F.col("dst").alias("next"), "*", F.lit("out").alias("direction")))
-            if direction in ("in", "both"):
-                parts.append(step.select(F.col("dst").alias("node"), F.col("src").alias("next"), "*", F.lit("in").alias("direction")))
+            ways = {"out": [("src", "dst", "out")], "in": [("dst", "src", "in")], "both": [("src", "dst", "out"), ("dst", "src", "in")]}[direction]
+            if len(ways) == 1:
+                node, next_, way = ways[0]
+                parts.append(step.select(F.col(node).alias("node"), F.col(next_).alias("next"), "*", F.lit(way).alias("direction")))
+            else:  # both ways from one scan
+                both = F.array(*[F.struct(F.col(n).alias("node"), F.col(x).alias("next"), F.lit(w).alias("direction")) for n, x, w in ways])
+                parts.append(step.select("*", F.inline(both)).select("node", "next", *step.columns, "direction"))
         if not parts:
             return self.spark.createDataFrame([], "node bigint, next bigint, edge_type string, eid bigint, src bigint, dst bigint, w double, properties string, direction string")
         out = union_all(parts).where("node is not null and next is not null")

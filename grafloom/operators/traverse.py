@@ -200,10 +200,15 @@ def reachable_per_depth(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFra
 
 
 def _distances(adj: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """`id`, `left`: the fewest steps from a node to any target, up to `depth`."""
+    """`id`, `left`: the fewest steps from a node to any target, up to `depth`; each node once, from the targets back."""
     back = adj.select(F.col("next").alias("node"), F.col("node").alias("next"))
-    found = reachable(back, targets.select(F.lit(0).alias("gid"), F.col("gid").alias("t")).select(F.col("t").alias("gid")).distinct(), 0, depth)
-    return found.groupBy(F.col("dst").alias("id")).agg(F.min("hop").alias("left"))
+    frontier = broadcast_if_small(targets.select(F.col("gid").alias("id")).distinct())
+    levels = [frontier.withColumn("left", F.lit(0))]
+    for d in range(1, depth + 1):
+        new = back.join(frontier, F.col("node") == F.col("id"), "left_semi").select(F.col("next").alias("id")).distinct()
+        frontier = broadcast_if_small(new.join(union_levels(levels).select("id"), "id", "left_anti"))
+        levels.append(frontier.withColumn("left", F.lit(d)))
+    return union_levels(levels)
 
 
 def simple_paths(adj: DataFrame, sources: DataFrame, targets: DataFrame | None, max_depth: int, min_depth: int = 1, stop_at: DataFrame | None = None, by_weight: bool = False) -> DataFrame:

@@ -48,14 +48,14 @@ def store_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     """The versioned graph store: one row per version and per edge, repeated rows once; NaN weights are null."""
     n = table(spark, sf, "node_store").withColumnsRenamed({"nid": "gid"})
     rest = [c for c in n.columns if c not in ("gid", "_created_lsn")]
-    n = n.groupBy("gid", "_created_lsn").agg(*[F.max(c).alias(c) for c in rest])
+    version = lambda df: df.groupBy("gid", "_created_lsn").agg(*[F.max(c).alias(c) for c in rest])
     e = table(spark, sf, "edge_store").withColumn("weight", F.when(~F.isnan("weight"), F.col("weight")))
-    e = e.groupBy("eid").agg(*[F.max(c).alias(c) for c in ("edge_type", "src", "dst", "weight", "metric", "index_name", "_created_lsn", "_deleted_lsn")])
+    one = lambda df: df.groupBy("eid").agg(*[F.max(c).alias(c) for c in ("src", "dst", "weight", "metric", "index_name", "_created_lsn", "_deleted_lsn")])
     catalog = Catalog()
     catalog.define_class("Molecular")
     for c in NODE_TYPES:
         catalog.define_class(c, parents=["Molecular"] if c in ("Gene", "Tissue") else [])
-    return PropertyGraph(spark, {t: n.where(F.col("node_type") == t) for t in NODE_TYPES}, {t: e.where(F.col("edge_type") == t).drop("edge_type") for t in EDGE_TYPES}, catalog)
+    return PropertyGraph(spark, {t: version(n.where(F.col("node_type") == t)) for t in NODE_TYPES}, {t: one(e.where(F.col("edge_type") == t)) for t in EDGE_TYPES}, catalog)
 
 
 #: SQL of the graph store's current nodes and edges.
