@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from grafloom.functions import builtins as fn
 from grafloom.operators import algebra, ontology, retrieve, text, traverse, vector
+from grafloom.operators.features import FeatureView
 from grafloom.plans.runtime import table
 from grafloom.queries.world import BASE, PLACE, sales_graph, store_graph
+from grafloom.sources import export
+from grafloom.streaming.ingest import windowed
 
 S = SparkSession
 #: Seeds of the traversals in the graph store, and its relations of knowledge.
@@ -151,7 +154,7 @@ def simple_paths_scored(spark: S, sf: str) -> DataFrame:
 
 
 def multi_seed_paths(spark: S, sf: str) -> DataFrame:
-    r = traverse.multi_seed_paths(store_graph(spark, sf), _seeds(spark), ["Chunk"], KNOWLEDGE, max_depth=2, max_paths_per_seed=10)
+    r = traverse.multi_seed_paths(store_graph(spark, sf), _seeds(spark), ["Tissue"], ["interactsWith", "expressedIn"], max_depth=2, max_paths_per_seed=10)
     return _round(r.select("seed", "target", "depth", "score", "path_edge_ids"), "score")
 
 
@@ -299,12 +302,36 @@ def as_of_edges(spark: S, sf: str) -> DataFrame:
     return store_graph(spark, sf).at(20_000).adjacency(["RELATED_TO"]).select("eid", "node", "next")
 
 
+def upsert_merge(spark: S, sf: str) -> DataFrame:
+    """New balances merged into the customers by key: given values win, the rest stays, new keys are added."""
+    old = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("balance")).unionByName(table(spark, sf, "node_store").where("balance is not null and not isnan(balance)").groupBy((F.col("nid") + 1_000_000).alias("c_custkey")).agg(F.max("balance").alias("balance")))
+    return old.join(new, "c_custkey", "full").select("c_custkey", "c_name", F.coalesce("balance", "c_acctbal").alias("c_acctbal"))
+
+
+def bundle_diff(spark: S, sf: str) -> DataFrame:
+    g = store_graph(spark, sf)
+    return export.diff(g.at(60_000), g.at(120_000))
+
+
+def feature_lookup(spark: S, sf: str) -> DataFrame:
+    """Degrees as features of every target that a search found."""
+    g = store_graph(spark, sf)
+    view = FeatureView(traverse.degree(g, "MENTIONS", "in"))
+    ids = table(spark, sf, "graphrag_result").select(F.regexp_extract("target_node_id", "([0-9]+)$", 1).try_cast("bigint").alias("gid")).where("gid is not null").distinct()
+    return view.join(ids)
+
+
+def event_windows(spark: S, sf: str) -> DataFrame:
+    return _round(windowed(table(spark, sf, "events"), "ts", "event_type", "value", "1 hour"), "total")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         join_inner, join_probe_outer, join_null_safe, agg_all_kernels, agg_global, agg_collect, topk_sorted, union_all_drop_rename, expression_filter, degree_out, degree_in, degree_both_with_zero, adjacent_edges,
         common_neighbors, overlap_topk, top_edges_per_node, edge_filters, neighbors_bfs, neighbors_scored, k_hop_nodes, k_hop_edges, reachability, reachable_per_depth, simple_paths_scored, multi_seed_paths, shortest_path,
         sample_first, sample_uniform, random_walks, closure_scan, closure_pairs, infer_symmetric, infer_transitive, triple_constant, triple_pattern_join, vector_functions, knn_join, ivf_search, text_search, token_index,
-        link_entities, evidence_search, vector_search_boosted, graphrag, as_of_nodes, as_of_edges,
+        link_entities, evidence_search, vector_search_boosted, graphrag, as_of_nodes, as_of_edges, upsert_merge, bundle_diff, feature_lookup, event_windows,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"), "knn_dot": _knn("dot"), "knn_filtered": _knn("cosine", 3)}
