@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafloom.plans.runtime import broadcast_if_small
+from grafloom.plans.runtime import broadcast_if_small, cut
 
 #: Sequence numbers per block when the one before each is looked up; a task sorts at most so many of one log.
 BLOCK = 65_536
+#: A key with more than one in this many of the changes counts as hot: there are at most so many hot keys.
+HOT_PART = 1_000
 
 
 def conflicting(records: DataFrame, log: str, seq: str, prev: str) -> DataFrame:
@@ -44,7 +46,7 @@ def _when(op: Column, *kinds: str) -> Column:
 
 
 def live_rows(changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
-    """Keys that are alive at the end: `keys`, `deleted_at` (null if never), `replaced_at` (last insert), `last`.
+    """Keys that are alive at the end: `keys`, `deleted_at` (null if never), `replaced_at` (last insert), `last`, `changes`.
 
     `op` is `insert`, `upsert`, `update` or `delete`; other kinds and rows with a null key or number change nothing.
     An insert or upsert makes a key alive, a delete ends it, an update counts only while it is alive. `last` is the
@@ -60,11 +62,20 @@ def live_rows(changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFra
         F.max(F.when(_when(o, "insert"), s)).alias("replaced_at"),
         F.max(F.when(_when(o, "insert", "upsert"), s)).alias("set_at"),
         F.max(F.when(~_when(o, "delete"), s)).alias("last"),
+        F.count("*").alias("changes"),
     )
     # After an effective insert or upsert every later update is effective, so the greatest number did take effect.
     return per.where("set_at is not null and (deleted_at is null or set_at > deleted_at)").drop("set_at")
 
 
+def _to_changes(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` joined to what is known per key: hot keys by broadcast, as there are few, all others by a shuffle."""
+    hot = F.col("changes") * HOT_PART > total
+    parts = [F.broadcast(keyed.where(hot)), keyed.where(~hot)]
+    a, b = [rows.join(k.drop("changes"), keys) for k in parts]
+    return a.unionByName(b)
+
+
 def last_writer_wins(changes: DataFrame, keys: list[str], seq: str, op: str, fields: str) -> DataFrame:
     """The live keys' columns: `keys`, `field`, `value`, `set_at`; `fields` is a map column of what a change sets.
 
@@ -73,12 +84,13 @@ def last_writer_wins(changes: DataFrame, keys: list[str], seq: str, op: str, fie
     key that has no field gives no row here; `live_rows` has all keys. Two changes of one number that set one field
     differently: the greater value wins.
     """
-    live = live_rows(changes, keys, seq, op)
+    live = cut(live_rows(changes, keys, seq, op))
+    total = live.agg(F.sum("changes")).first()[0] or 0
     s, o = F.col(seq), F.col(op)
     rows = changes.where(_when(o, "insert", "upsert", "update") & s.isNotNull())
-    since = rows.join(live.select(*keys, "deleted_at", "replaced_at"), keys).where(s > F.coalesce("deleted_at", F.lit(-(2**63))))
+    since = _to_changes(rows, live.select(*keys, "deleted_at", "replaced_at", "changes"), keys, total).where(s > F.coalesce("deleted_at", F.lit(-(2**63))))
     first = since.where(_when(o, "insert", "upsert")).groupBy(*keys).agg(F.min(s).alias("alive_at"))
-    took = since.join(first, keys).where(s >= F.greatest("alive_at", "replaced_at"))
+    first = cut(first.join(live.select(*keys, "changes"), keys))
+    took = _to_changes(since, first, keys, total).where(s >= F.greatest("alive_at", "replaced_at"))
     each = took.select(*keys, s.alias("s"), F.explode(fields).alias("field", "value"))
-    best = each.groupBy(*keys, "field").agg(F.max_by("value", F.struct("s", "value")).alias("value"), F.max("s").alias("set_at"))
-    return best
+    return each.groupBy(*keys, "field").agg(F.max_by("value", F.struct("s", "value")).alias("value"), F.max("s").alias("set_at"))

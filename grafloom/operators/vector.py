@@ -50,17 +50,19 @@ def knn(rows: DataFrame, id_: str, vector: str, query: list[float], k: int, metr
 def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
     """The `k` rows nearest to each of `queries` (same columns; the query itself left out): `query`, `id`, `score`, `rank`.
 
-    Queries go in blocks of `block`, so a task holds one block and one Arrow batch; each task computes the products
-    as one matrix, keeps its k best per query and hands these on. Ties by id. Scores are double.
+    Queries go in blocks of about `block` and rows in blocks of about eight times as many, both by their number, so a
+    task holds one block of either at a time; it computes the products as one matrix, keeps its k best per query and
+    hands these on. Ties by id. Scores are double.
     """
     ship(rows.sparkSession)
     m = METRICS[metric]
     q = queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("qv"))
     q = q.withColumn("b", F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)).cast("int"))))
+    parts = max(1, -(-rows.count() // (8 * block)))
     blocks = q.groupBy("b").agg(F.collect_list("q").alias("qs"), F.collect_list("qv").alias("qvs"))
     data = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
     # A stated query set against all rows, in blocks: every row meets every block once.
-    pairs = data.groupBy(F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).crossJoin(blocks)
+    pairs = data.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).crossJoin(blocks)
 
     def best(batches: Iterator) -> Iterator:
         import pyarrow as pa
