@@ -33,7 +33,7 @@ MOST_ENCODED = 0.5  # visible characters in runs of 30 and more
 LEAST_VARIETY = 2.0  # distinct words by the root of the number of words
 LEAST_LONG = 0.05  # share of 7 letters and more among Latin, Greek or Cyrillic words
 MOST_VOWELLESS = 0.1  # share of such words of 3 letters and more without a vowel
-SOME_VOWELLESS, MOST_DISTINCT, LEAST_COMMON, ENOUGH_WORDS = 0.02, 0.95, 0.02, 20  # fewer of them, but no capitals, and words never come again and are not common
+SOME_VOWELLESS, MOST_DISTINCT, LEAST_COMMON, ENOUGH_WORDS = 0.02, 0.95, 0.06, 20  # fewer of them, but no capitals, and words never come again and are not common
 FEW_WORDS = 12  # texts with fewer words are not judged by their words
 #: Thresholds published for web text (Rae et al. 2021, "Scaling Language Models", appendix on quality filtering).
 PUBLISHED = {"words": (50, 100_000), "mean_word_length": (3, 10), "symbol_words": 0.1, "bullet_lines": 0.9, "ellipsis_lines": 0.3, "alphabetic": 0.8, "stop_words": 2}
