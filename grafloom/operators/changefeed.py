@@ -76,21 +76,25 @@ def _to_changes(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int)
     return a.unionByName(b)
 
 
-def last_writer_wins(changes: DataFrame, keys: list[str], seq: str, op: str, fields: str) -> DataFrame:
+def last_writer_wins(changes: DataFrame, keys: list[str], seq: str, op: str, fields: str, within: str | None = None) -> DataFrame:
     """The live keys' columns: `keys`, `field`, `value`, `set_at`; `fields` is a map column of what a change sets.
 
     For each field the value of the last change that sets it (also to null), among the changes that took effect since
     the last delete or insert (an insert replaces the row, an upsert and an update set only their own fields). A live
     key that has no field gives no row here; `live_rows` has all keys. Two changes of one number that set one field
-    differently: the greater value wins.
+    differently: the one with the greater `within` (a place in the record) wins, then the greater value.
     """
+    # Changes are used several times, and may be costly to parse.
+    changes = cut(changes.select(*keys, seq, op, fields, *([within] if within else [])))
     live = cut(live_rows(changes, keys, seq, op))
     total = live.agg(F.sum("changes")).first()[0] or 0
     s, o = F.col(seq), F.col(op)
     rows = changes.where(_when(o, "insert", "upsert", "update") & s.isNotNull())
     since = _to_changes(rows, live.select(*keys, "deleted_at", "replaced_at", "changes"), keys, total).where(s > F.coalesce("deleted_at", F.lit(-(2**63))))
+    since = cut(since)
     first = since.where(_when(o, "insert", "upsert")).groupBy(*keys).agg(F.min(s).alias("alive_at"))
     first = cut(first.join(live.select(*keys, "changes"), keys))
     took = _to_changes(since, first, keys, total).where(s >= F.greatest("alive_at", "replaced_at"))
-    each = took.select(*keys, s.alias("s"), F.explode(fields).alias("field", "value"))
-    return each.groupBy(*keys, "field").agg(F.max_by("value", F.struct("s", "value")).alias("value"), F.max("s").alias("set_at"))
+    place = F.col(within) if within else F.lit(0)
+    each = took.select(*keys, s.alias("s"), place.alias("w"), F.explode(fields).alias("field", "value"))
+    return each.groupBy(*keys, "field").agg(F.max_by("value", F.struct("s", "w", "value")).alias("value"), F.max("s").alias("set_at"))

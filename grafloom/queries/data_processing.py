@@ -38,7 +38,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_state(spark: SparkSession, sf: str) -> DataFrame:
-    return changefeed.last_writer_wins(_changes(spark, sf), NODE, "lsn", "op", "props")
+    return changefeed.last_writer_wins(_changes(spark, sf), NODE, "lsn", "op", "props", "pos")
 
 
 #: Salts of a heavy key, and the part of the edges (1 in so many) from which a key is heavy.

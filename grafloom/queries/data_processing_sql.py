@@ -17,9 +17,9 @@ done as (select distinct bundle, tx from good where k = ['commit', 'tx']),
 nodes as (select bundle, lsn, k[1] || k[2] op, j, regexp_extract(coalesce(j->>'$.class', j->>'$.node.class', regexp_extract(j->>'$.target', '^(.*)/[^/]*$', 1)), '([^/#:]*)$', 1) class_name
           from good where k in (['insert', 'node'], ['node', 'upsert'], ['node', 'update'], ['delete', 'node']) and (tx is null or (bundle, tx) in (select bundle, tx from done))),
 changes as (
-  select bundle, lsn, op, class_name, coalesce(j->>'$.nid', j->>'$.node.nid', regexp_extract(j->>'$.target', '([^/]*)$', 1)) :: bigint nid, j->'$.props' props from nodes where coalesce(j->>'$.nid', j->>'$.node.nid', j->>'$.target') is not null
-  union all select bundle, lsn, op, class_name, (r->>'$.nid') :: bigint, r->'$.props' from (select *, unnest(from_json(j->'$.rows', '["json"]')) r from nodes where json_exists(j, '$.rows'))
-  union all select bundle, lsn, op, class_name, (r->>'$') :: bigint, null from (select *, unnest(from_json(j->'$.nids', '["json"]')) r from nodes where json_exists(j, '$.nids'))),
+  select bundle, lsn, op, class_name, coalesce(j->>'$.nid', j->>'$.node.nid', regexp_extract(j->>'$.target', '([^/]*)$', 1)) :: bigint nid, j->'$.props' props, 0 pos from nodes where coalesce(j->>'$.nid', j->>'$.node.nid', j->>'$.target') is not null
+  union all select bundle, lsn, op, class_name, (r->>'$.nid') :: bigint, r->'$.props', pos from (select *, unnest(from_json(j->'$.rows', '["json"]')) r, generate_subscripts(from_json(j->'$.rows', '["json"]'), 1) pos from nodes where json_exists(j, '$.rows'))
+  union all select bundle, lsn, op, class_name, (r->>'$') :: bigint, null, 0 from (select *, unnest(from_json(j->'$.nids', '["json"]')) r from nodes where json_exists(j, '$.nids'))),
 epochs as (select *, sum((op = 'deletenode') :: int) over (partition by bundle, class_name, nid order by lsn) epoch from changes),
 alive as (select *, max(epoch) over (partition by bundle, class_name, nid) last_epoch, sum((op in ('insertnode', 'nodeupsert')) :: int) over (partition by bundle, class_name, nid, epoch order by lsn) starts from epochs),
 took as (select * from alive where epoch = last_epoch and starts > 0 and op <> 'deletenode')
@@ -57,6 +57,10 @@ SQL = {
     "p2_report": _ORPHANS + """, one as (select eid, endpoint, reason, min(ingested_at) f, min(edge_type) edge_type from orphans group by all)
         select edge_type, endpoint, strftime(f, '%Y-%m') as month, reason, count(*) :: bigint as "references" from one group by all""",
     "p3_found": _CHANGES + "select bundle, class_name, nid, max(lsn) lsn from took group by all",
+    "p3_state": _CHANGES + """, resets as (select bundle, class_name, nid, max(lsn) filter (where op = 'insertnode') r from took group by all),
+        f as (select took.*, unnest(json_keys(props)) as field from took join resets using (bundle, class_name, nid) where r is null or lsn >= r),
+        v as (select *, json_extract_string(props, '$."' || field || '"') x, json_type(props, '$."' || field || '"') t from f)
+        select bundle, class_name, nid, field, arg_max_null(case when t = 'DOUBLE' then rtrim(rtrim(x, '0'), '.') else x end, lsn * 100000 + pos) as value, max(lsn) set_at from v group by all""",
     "p4_totals": _ENDS + "select endpoint, nid, count(*) :: bigint edges, sum(case when not isnan(weight) then weight :: double end) weight_sum from ends group by all",
     "p4_found": _ENDS + "select endpoint, nid from ends where nid is not null group by all having count(*) * 100 >= (select count(*) from one)",
     "p5_plan": _REFS + "select * from plan",

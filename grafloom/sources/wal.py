@@ -36,14 +36,14 @@ def parsed(wal: DataFrame) -> DataFrame:
 
 
 def node_changes(records: DataFrame) -> DataFrame:
-    """One row per changed node: `bundle`, `lsn`, `prev_lsn`, `tx`, `op`, `class_name`, `nid`, `props`.
+    """One row per changed node: `bundle`, `lsn`, `prev_lsn`, `tx`, `op`, `class_name`, `pos`, `nid`, `props`.
 
     `class_name` is the last segment of the class after `/`, `#` or `:`. Records about edges and other kinds give none.
     """
     op = F.create_map(*[F.lit(x) for pair in NODE_OPS.items() for x in pair])
     nodes = records.where(F.col("kind").isin(*NODE_OPS)).withColumn("op", op[F.col("kind")])
-    each = nodes.selectExpr("bundle", "lsn", "prev_lsn", "tx", "op", f"regexp_extract({_CLASS}, '([^/#:]*)$', 1) as class_name", f"explode({_ITEMS}) as item")
-    return each.selectExpr("bundle", "lsn", "prev_lsn", "tx", "op", "class_name", "item.nid", "item.props").where("nid is not null and class_name <> ''")
+    each = nodes.selectExpr("bundle", "lsn", "prev_lsn", "tx", "op", f"regexp_extract({_CLASS}, '([^/#:]*)$', 1) as class_name", f"posexplode({_ITEMS}) as (pos, item)")
+    return each.selectExpr("bundle", "lsn", "prev_lsn", "tx", "op", "class_name", "pos", "item.nid", "item.props").where("nid is not null and class_name <> ''")
 
 
 def commits(records: DataFrame) -> DataFrame:
