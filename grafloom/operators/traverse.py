@@ -253,11 +253,74 @@ def paths(g: PropertyGraph, source: int, target: int, edge_types: list[str] | No
     return (p if limit is None else p.limit(limit)).select("seed", "at", "depth", F.col("nodes").alias("internal_node_ids"), F.col("eids").alias("edge_ids"), F.col("types").alias("relation_types"), "directions", F.col("properties").alias("edge_properties"), "path_score")
 
 
+def _completions(steps: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """`id`, `hit` (is a target) and `u1` to `u<depth>`: the greatest product of absolute weights of a way of 1 to that
+    many steps from there to a target, null if there is none."""
+    end = targets.select(F.col("gid").alias("id")).distinct()
+    known, last = end.withColumn("hit", F.lit(True)), end.withColumn("b", F.lit(1.0))
+    for d in range(1, depth + 1):
+        way = steps.join(last, F.col("next") == F.col("id"))
+        last = broadcast_if_small(way.groupBy("node").agg(F.max(F.abs("w") * F.col("b")).alias("b")).withColumnRenamed("node", "id"))
+        known = known.join(last.withColumnRenamed("b", f"u{d}"), "id", "full")
+        if d > 1:
+            known = known.withColumn(f"u{d}", F.greatest(f"u{d - 1}", f"u{d}"))
+    return known.withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def best_products(adj: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int, best: int, beam: int = 2) -> DataFrame:
+    """The simple paths to targets whose product of weights is at least that of the `best`-th one of their source.
+
+    `seed`, `at`, `depth`, `score`, `nodes`, `eids`, `types`: at least `best` paths of a source, if it has so many, and
+    all that equal the last of them. A narrow search (the `beam` times `best` most promising paths of a source per
+    level) finds real paths, the `best`-th of which is a lower bound; a path is dropped only if no rest of it can reach
+    the bound. So the result is exact for any weights, and the search is as wide as the weights make it.
+    """
+    if max_depth < 1:
+        raise GraphError(6020, "max_depth must be at least 1")
+    steps = cut(adj.select("node", "next", "edge_type", "eid", "w"))
+    known = broadcast_if_small(_completions(steps, targets, max_depth - 1))
+    steps = steps.join(known, F.col("next") == F.col("id")).drop("id")
+    none = lambda t: F.array().cast(f"array<{t}>")
+    start = sources.select(F.col("gid").alias("at")).distinct().select("at", F.col("at").alias("seed"), F.lit(1.0).alias("score"), F.array("at").alias("nodes"), none("bigint").alias("eids"), none("string").alias("types"))
+
+    def promise(d: int) -> Column:
+        """What a path of `d` steps may still come to; a little more, as products are rounded in another order."""
+        return F.abs("score") * F.col(f"u{max_depth - d}") * (1 + 1e-9) + 1e-300 if d < max_depth else F.lit(None).cast("double")
+
+    def level(frontier: DataFrame, d: int, *keep: str) -> DataFrame:
+        j = frontier.withColumnRenamed("score", "before").join(steps, F.col("at") == F.col("node")).where(~F.array_contains("nodes", F.col("next"))).withColumn("score", F.col("before") * F.col("w")).withColumn("promise", promise(d))
+        add = lambda old, x: F.concat(old, F.array(x)).alias(old)
+        if keep:  # with the bound, which is applied before arrays are made
+            j = j.where((F.col("hit") & (F.col("score") >= F.col("bound"))) | (F.col("promise") >= F.col("bound")))
+        return j.select("seed", F.col("next").alias("at"), "score", add("nodes", "next"), add("eids", "eid"), add("types", "edge_type"), "hit", "promise", *keep)
+
+    by_seed = Window.partitionBy("seed")
+    frontier, found = start, []
+    for d in range(1, max_depth + 1):
+        step = level(frontier, d)
+        kth = F.row_number().over(by_seed.orderBy(F.desc("score")))
+        found.append(cut(step.where("hit").select("seed", "score").withColumn("n", kth).where(F.col("n") <= best).drop("n")))
+        if d < max_depth:
+            first = F.row_number().over(by_seed.orderBy(F.desc("promise")))
+            frontier = broadcast_if_small(step.where("promise is not null").withColumn("n", first).where(F.col("n") <= beam * best).select(*start.columns))
+    bound = union_levels(found).withColumn("n", F.row_number().over(by_seed.orderBy(F.desc("score")))).where(F.col("n") == best).select("seed", F.col("score").alias("bound"))
+    frontier = broadcast_if_small(start.join(bound, "seed", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))))
+    out = []
+    for d in range(1, max_depth + 1):
+        step = broadcast_if_small(level(frontier, d, "bound"))
+        out.append(step.where(F.col("hit") & (F.col("score") >= F.col("bound"))).withColumn("depth", F.lit(d)))
+        frontier = step.where(F.col("promise") >= F.col("bound")).drop("hit", "promise")
+    return union_levels(out).select("seed", "at", "depth", "score", "nodes", "eids", "types")
+
+
 def multi_seed_paths(g: PropertyGraph, seeds: DataFrame, target_types: list[str], edge_types: list[str] | None = None, max_depth: int = 2, direction: str = "out", max_paths_per_seed: int = 20, score: str = "product", weight: str = "weight", limit: int | None = None) -> DataFrame:
     """Paths from each seed to any node of `target_types`, going on through targets; the best so many of each seed,
     and of all: `rank`, `seed`, `target`, `depth`, `score`, the path's columns."""
-    targets = g.node_index(target_types).select("gid")
-    p = simple_paths(g.adjacency(edge_types, direction, None, weight), seeds, targets, max_depth).withColumn("score", path_score(F.col("weights"), score))
+    targets, adj = g.node_index(target_types).select("gid"), g.adjacency(edge_types, direction, None, weight)
+    if score == "product" and max_paths_per_seed > 0:
+        p = best_products(adj, seeds, targets, max_depth, max_paths_per_seed)
+    else:
+        p = simple_paths(adj, seeds, targets, max_depth).withColumn("score", path_score(F.col("weights"), score))
     by = [F.desc_nulls_last("score"), F.col("depth"), F.col("at"), F.col("eids")]
     p = p.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*by))).where(F.col("n") <= max_paths_per_seed).drop("n")
     by = [F.desc_nulls_last("score"), F.col("depth"), F.col("seed"), F.col("at"), F.col("eids")]

@@ -158,6 +158,11 @@ def multi_seed_paths(spark: S, sf: str) -> DataFrame:
     return _round(r.select("seed", "target", "depth", "score", "path_edge_ids"), "score")
 
 
+def multi_seed_paths_knowledge(spark: S, sf: str) -> DataFrame:
+    r = traverse.multi_seed_paths(store_graph(spark, sf), _seeds(spark), ["Chunk"], KNOWLEDGE, max_depth=2, max_paths_per_seed=10)
+    return _round(r.select("seed", "target", "depth", "score", "path_edge_ids"), "score")
+
+
 def shortest_path(spark: S, sf: str) -> DataFrame:
     return traverse.shortest_path(store_graph(spark, sf), 7, 13, KNOWLEDGE, max_depth=3, direction="both").select("depth", "nodes", "eids")
 
@@ -330,7 +335,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         join_inner, join_probe_outer, join_null_safe, agg_all_kernels, agg_global, agg_collect, topk_sorted, union_all_drop_rename, expression_filter, degree_out, degree_in, degree_both_with_zero, adjacent_edges,
-        common_neighbors, overlap_topk, top_edges_per_node, edge_filters, neighbors_bfs, neighbors_scored, k_hop_nodes, k_hop_edges, reachability, reachable_per_depth, simple_paths_scored, multi_seed_paths, shortest_path,
+        common_neighbors, overlap_topk, top_edges_per_node, edge_filters, neighbors_bfs, neighbors_scored, k_hop_nodes, k_hop_edges, reachability, reachable_per_depth, simple_paths_scored, multi_seed_paths, multi_seed_paths_knowledge, shortest_path,
         sample_first, sample_uniform, random_walks, closure_scan, closure_pairs, infer_symmetric, infer_transitive, triple_constant, triple_pattern_join, vector_functions, knn_join, ivf_search, text_search, token_index,
         link_entities, evidence_search, vector_search_boosted, graphrag, as_of_nodes, as_of_edges, upsert_merge, bundle_diff, feature_lookup, event_windows,
     )

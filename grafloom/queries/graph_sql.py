@@ -101,6 +101,8 @@ SQL = {
     "simple_paths_scored": _W + _adj("'MENTIONS', 'RELATED_TO'", "out") + _paths("(0, 1)", "adj", 2) + "select depth, nodes internal_node_ids, eids edge_ids, round(total, 6) path_score from walk where here = 13 and depth > 0 order by total desc, depth, nodes, eids limit 50",
     "multi_seed_paths": _W + _adj("'interactsWith', 'expressedIn'", "out") + _paths(_SEED_ROWS, "adj", 2) + """select seed, here target, depth, round(prod, 6) score, eids path_edge_ids from (select *, row_number() over (partition by seed order by prod desc, depth, here, eids) n
         from walk where depth > 0 and here in (select gid from nodes where node_type = 'Tissue')) where n <= 10""",
+    "multi_seed_paths_knowledge": _W + _adj(_K, "out") + _paths(_SEED_ROWS, "adj", 2) + """select seed, here target, depth, round(prod, 6) score, eids path_edge_ids from (select *, row_number() over (partition by seed order by prod desc, depth, here, eids) n
+        from walk where depth > 0 and here in (select gid from nodes where node_type = 'Chunk')) where n <= 10""",
     "shortest_path": _W + _adj(_K, "both") + _paths("(0, 7)", "adj", 2) + "select depth, nodes, eids from walk where here = 13 and depth > 0 order by depth, nodes, eids limit 1",
     "sample_first": _W + _adj(_K, "both") + f""", l0 as (select * from (select *, row_number() over (partition by node, edge_type order by eid) n from adj where node in ({", ".join(map(str, SEEDS))})) where n <= 4),
         l1 as (select * from (select *, row_number() over (partition by node, edge_type order by eid) n from adj where node in (select next from l0)) where n <= 2)
