@@ -47,22 +47,8 @@ def knn(rows: DataFrame, id_: str, vector: str, query: list[float], k: int, metr
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_)))  # k rows at most
 
 
-def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
-    """The `k` rows nearest to each of `queries` (same columns; the query itself left out): `query`, `id`, `score`, `rank`.
-
-    Queries go in blocks of about `block` and rows in blocks of about eight times as many, both by their number, so a
-    task holds one block of either at a time; it computes the products as one matrix, keeps its k best per query and
-    hands these on. Ties by id. Scores are double.
-    """
-    ship(rows.sparkSession)
-    m = METRICS[metric]
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("qv"))
-    q = q.withColumn("b", F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)).cast("int"))))
-    parts = max(1, -(-rows.count() // (8 * block)))
-    blocks = q.groupBy("b").agg(F.collect_list("q").alias("qs"), F.collect_list("qv").alias("qvs"))
-    data = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
-    # A stated query set against all rows, in blocks: every row meets every block once.
-    pairs = data.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).crossJoin(blocks)
+def _nearest(pairs: DataFrame, m: str, k: int) -> DataFrame:
+    """The `k` best per query over `pairs` of a block of rows (`rows`: id, v) and one of queries (`qs`, `qvs`)."""
 
     def best(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -85,6 +71,26 @@ def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
+    """The `k` rows nearest to each of `queries` (same columns; the query itself left out): `query`, `id`, `score`, `rank`.
+
+    Queries go in blocks of about `block` and rows in blocks of about eight times as many, both by their number, so a
+    task holds one block of either at a time; it computes the products as one matrix, keeps its k best per query and
+    hands these on. Ties by id. Scores are double.
+    """
+    ship(rows.sparkSession)
+    m = METRICS[metric]
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("qv"))
+    q = q.withColumn("b", F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count() / block)).cast("int"))))
+    parts = max(1, -(-rows.count() // (8 * block)))
+    blocks = q.groupBy("b").agg(F.collect_list("q").alias("qs"), F.collect_list("qv").alias("qvs"))
+    data = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
+    # A stated query set against all rows, in blocks: every row meets every block once.
+    pairs = data.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).crossJoin(blocks)
+
+    return _nearest(pairs, m, k)
+
+
 class InvertedFile:
     """Centres fitted on a bounded sample, every row assigned to its nearest one; a search looks at `probes` lists."""
 
@@ -92,15 +98,15 @@ class InvertedFile:
         """At most `sample` rows (those with the least hash of the id) are used to fit; all rows are indexed."""
         ship(rows.sparkSession)
         self.id, self.vector = id_, vector
-        got = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), id_)).limit(sample).select(vector).toPandas()[vector]
-        x = np.array([np.asarray(v, float) for v in got])
+        got = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), id_)).limit(sample).select(id_, vector).toPandas()
+        x = np.array([np.asarray(v, float) for v in got[vector]])
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         centres = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
         for _ in range(rounds):
             near = (x @ centres.T).argmax(1)
             centres = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
-        self.centres = centres
+        self.centres, self.fitted, self.ids = centres, x, got[id_].to_numpy()
         c = centres
 
         def assign(batches: Iterator) -> Iterator:
@@ -118,6 +124,57 @@ class InvertedFile:
         lists = [int(i) for i in np.argsort(-(self.centres @ q))[:probes]]
         return knn(self.rows.where(F.col("list_").isin(lists)), self.id, self.vector, query, k)
 
+    def probes_for(self, recall: float, k: int, queries: DataFrame | None = None, most: int = 500) -> int:
+        """The fewest lists to look at for a mean recall of `recall`, as measured among the rows the index was fitted on.
+
+        Up to `most` of these rows are searched for, with two standard errors of the mean to spare; of `queries` (same
+        columns, if given) also up to `most`, those with the least hash of the id. A query itself is never its own
+        neighbour. Where no smaller number is enough it is all lists, which is exact.
+        """
+        x, n = self.fitted, len(self.centres)
+        if len(x) <= k:
+            return n
+        lists = (x @ self.centres.T).argmax(1)
+
+        def shares(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+            """Per query and number of lists, the share of its `k` nearest rows that are found."""
+            out = []
+            for i, v in zip(ids, vectors, strict=True):
+                s = np.where(self.ids == i, -np.inf, x @ v)
+                place = np.empty(n, int)
+                place[np.argsort(-(self.centres @ v), kind="stable")] = np.arange(n)
+                out.append([(place[lists[np.argpartition(-s, k - 1)[:k]]] < p).mean() for p in range(n + 1)])
+            return np.array(out)
+
+        own = shares(self.ids[:most], x[:most])
+        enough = own.mean(0) - 2 * own.std(0) / len(own) ** 0.5 >= recall
+        if queries is not None:
+            got = queries.where(F.col(self.vector).isNotNull()).orderBy(F.xxhash64(self.id), self.id).limit(most).select(self.id, self.vector).toPandas()
+            if len(got):
+                enough &= shares(got[self.id].to_numpy(), np.array([np.asarray(v, float) for v in got[self.vector]])).mean(0) >= recall
+        return next((p for p in range(1, n) if enough[p]), n)
+
+    def search_join(self, queries: DataFrame, k: int, probes: int, block: int = 512) -> DataFrame:
+        """As `knn_join` by cosine, but each of `queries` (same columns) sees the rows of its nearest `probes` lists only."""
+        c, id_, vector = self.centres, self.id, self.vector
+
+        def ahead(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                v = np.array(b.column(1).to_pylist(), float)
+                near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :probes].tolist() if len(v) else []
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], names=["q", "qv", "lists"])
+
+        one = queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("qv"))
+        q = one.mapInArrow(ahead, f"q bigint, qv {one.schema['qv'].dataType.simpleString()}, lists array<int>").select("q", "qv", F.explode("lists").alias("list_"))
+        most = lambda df: df.groupBy("list_").count().agg(F.max("count")).first()[0] or 0
+        parts, some = (F.lit(max(1, -(-most(df) // n))) for df, n in ((self.rows, 8 * block), (q, block)))
+        blocks = q.groupBy("list_", F.pmod(F.xxhash64("q"), some).alias("b")).agg(F.collect_list("q").alias("qs"), F.collect_list("qv").alias("qvs"))
+        data = self.rows.select("list_", F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
+        data = data.groupBy("list_", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+        return _nearest(data.join(blocks, "list_"), "cosine", k)
+
 
 def graph_boosts(adjacency: DataFrame, candidates: DataFrame, boosts: list[dict], vector_score: str = "score") -> DataFrame:
     """`candidates` (`gid`, score) with `boost`: the sum over `boosts` of weight times a signal.

@@ -5,8 +5,9 @@ import random
 import pytest
 
 from grafloom.graph import PropertyGraph
-from grafloom.operators import traverse
+from grafloom.operators import traverse, vector
 from grafloom.plans import oracle
+from grafloom.plans.runtime import table
 from grafloom.queries import graph, graph_sql
 
 
@@ -43,3 +44,20 @@ def test_knowledge_paths_reach_targets(spark, sf_dir):
     rows = graph.QUERIES["multi_seed_paths_knowledge"](spark, sf_dir).toArrow()
     assert rows.num_rows > 0
     assert oracle.differences(rows, oracle.duck(sf_dir).execute(graph_sql.SQL["multi_seed_paths_knowledge"]).to_arrow_table()) == ""
+
+
+def recall(found, exact):
+    a, b = ({(x.query, x.id) for x in df.select("query", "id").collect()} for df in (found, exact))
+    return len(a & b) / len(b)
+
+
+def test_index_has_the_required_recall(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    index = vector.InvertedFile(e, "vec_id", "embedding")
+    probes = index.probes_for(graph.RECALL, 10)
+    assert recall(index.search_join(e, 10, probes, block=64), vector.knn_join(e, e, "vec_id", "embedding", 10)) >= graph.RECALL
+    all_lists = index.search_join(e, 10, len(index.centres))
+    assert recall(all_lists, vector.knn_join(e, e, "vec_id", "embedding", 10)) == 1
+    found = graph.QUERIES["ivf_search"](spark, sf_dir)
+    assert recall(found, graph.QUERIES["knn_join"](spark, sf_dir)) >= graph.RECALL
+    assert {x.query for x in found.collect()} == {x.vec_id for x in e.where("vec_id % 100 = 0").collect()}
