@@ -27,18 +27,21 @@ def symmetric_edges(edges: DataFrame) -> DataFrame:
 def transitive_edges(edges: DataFrame, max_iterations: int = 16, budget: int | None = None) -> tuple[DataFrame, int]:
     """The edges (`src`, `dst`) that transitivity adds, self-pairs too, and the number of rounds.
 
-    Semi-naive: each round joins only the pairs that the last one found with the given edges, and keeps the new ones.
-    More than `budget` new pairs are an error.
+    Semi-naive and doubling: each round joins only the pairs that the last one found with all pairs known so far, and
+    keeps the new ones, so r rounds reach 2^r steps. A round that still finds pairs after `max_iterations` is an error,
+    as are more than `budget` new pairs; what is returned is always whole.
     """
     base = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     known, new, total, rounds = base, base, 0, 0
-    for _ in range(max_iterations):
+    while True:
         rounds += 1
-        step = new.alias("a").join(base.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).distinct()
+        step = new.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).distinct()
         new = cut(step.join(known, ["src", "dst"], "left_anti"))
         n = new.count()
         if not n:
             break
+        if rounds > max_iterations:
+            raise GraphError(6012, f"not closed after {max_iterations} rounds")
         total += n
         if budget is not None and total > budget:
             raise GraphError(6012, f"more than {budget} inferred edges")

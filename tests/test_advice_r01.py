@@ -4,8 +4,9 @@ import random
 
 import pytest
 
+from grafloom.errors import GraphError
 from grafloom.graph import PropertyGraph
-from grafloom.operators import traverse, vector
+from grafloom.operators import ontology, traverse, vector
 from grafloom.plans import oracle
 from grafloom.plans.runtime import table
 from grafloom.queries import graph, graph_sql
@@ -61,3 +62,16 @@ def test_index_has_the_required_recall(spark, sf_dir):
     found = graph.QUERIES["ivf_search"](spark, sf_dir)
     assert recall(found, graph.QUERIES["knn_join"](spark, sf_dir)) >= graph.RECALL
     assert {x.query for x in found.collect()} == {x.vec_id for x in e.where("vec_id % 100 = 0").collect()}
+
+
+def test_closure_of_a_long_chain_is_whole(spark):
+    n = 40
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    added, rounds = ontology.transitive_edges(chain)
+    assert sorted(map(tuple, added.collect())) == [(i, j) for i in range(n) for j in range(i + 2, n + 1)]
+    assert rounds == 7  # 2, 4, ..., 64 steps, and one that finds nothing
+    assert ontology.transitive_edges(chain, max_iterations=6)[1] == 7
+    with pytest.raises(GraphError):
+        ontology.transitive_edges(chain, max_iterations=5)
+    ring = spark.createDataFrame([(i, (i + 1) % 23) for i in range(23)] + [(3, 9)], "src long, dst long")
+    assert ontology.transitive_edges(ring)[0].count() == 23 * 23 - 24
