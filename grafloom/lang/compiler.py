@@ -15,7 +15,6 @@ from grafloom.lang.parser import Clause, Node, Pattern, Query, Rel, parse
 from grafloom.operators import traverse, vector
 
 _TYPES = {"INT": "bigint", "INT64": "bigint", "INT32": "int", "INT16": "smallint", "INT8": "tinyint", "F32": "float", "F64": "double", "STRING": "string", "BOOL": "boolean", "DATE": "date", "DATETIME": "timestamp", "BYTES": "binary"}
-_MOST_HOPS = 15  # of a pattern without an upper bound
 
 
 class Compiler:
@@ -189,7 +188,7 @@ class Compiler:
         keep = dict(self.labels)
         targets = self._scan(Node(None, node.labels, node.props), "t_", g).select(F.col("`t_.gid`").alias("gid")) if node.labels else None
         self.labels = keep
-        found = traverse.simple_paths(adj, sources, targets, high or _MOST_HOPS, max(1, low))
+        found = traverse.simple_paths(adj, sources, targets, high, max(1, low))
         prefix = path or r
         self.paths.add(prefix)
         return found.select(F.col("seed").alias(f"{r}.from_"), F.col("at").alias(f"{r}.to_"), F.col("depth").alias(f"{prefix}.depth"), F.col("nodes").alias(f"{prefix}.nodes"), F.col("eids").alias(f"{prefix}.eids"), F.col("types").alias(f"{prefix}.types"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,36 +200,40 @@ def reachable_per_depth(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFra
     return union_levels(levels)
 
 
-def _distances(adj: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """`id`, `left`: the fewest steps from a node to any target, up to `depth`; each node once, from the targets back."""
+def _distances(adj: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame:
+    """`id`, `left`: the fewest steps from a node to any target, up to `depth` (None: any number); each node once, from
+    the targets back."""
     back = adj.select(F.col("next").alias("node"), F.col("node").alias("next"))
     frontier = broadcast_if_small(targets.select(F.col("gid").alias("id")).distinct())
     levels = [frontier.withColumn("left", F.lit(0))]
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         new = back.join(frontier, F.col("node") == F.col("id"), "left_semi").select(F.col("next").alias("id")).distinct()
         frontier = broadcast_if_small(new.join(union_levels(levels).select("id"), "id", "left_anti"))
+        if frontier.isEmpty():
+            break
         levels.append(frontier.withColumn("left", F.lit(d)))
     return union_levels(levels)
 
 
-def simple_paths(adj: DataFrame, sources: DataFrame, targets: DataFrame | None, max_depth: int, min_depth: int = 1, stop_at: DataFrame | None = None, by_weight: bool = False) -> DataFrame:
+def simple_paths(adj: DataFrame, sources: DataFrame, targets: DataFrame | None, max_depth: int | None, min_depth: int = 1, stop_at: DataFrame | None = None, by_weight: bool = False) -> DataFrame:
     """All paths without a repeated node from each source (`pos`, `gid`) to a target (`gid`; None: any node).
 
     `seed`, `at`, `depth` and the path's columns; parallel edges give paths of their own. A path of which the rest
     can't reach a target in time is dropped as soon as that is known. Paths don't go on from nodes of `stop_at`.
+    Without `max_depth` the search ends when no path goes on: a path has no more steps than there are other nodes.
     """
-    if max_depth < 1:
+    if max_depth is not None and max_depth < 1:
         raise GraphError(6020, "max_depth must be at least 1")
-    left = broadcast_if_small(_distances(adj, targets, max_depth - 1)) if targets is not None else None
+    left = broadcast_if_small(_distances(adj, targets, None if max_depth is None else max_depth - 1)) if targets is not None else None
     frontier = cut(_seed_paths(sources).withColumn("seed", F.col("at")))
     out = []
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         live = frontier if d == 1 or stop_at is None else frontier.join(stop_at.select(F.col("gid").alias("at")).distinct(), "at", "left_anti")
         # The new node is checked against the path before it, so that the arrays are only made for paths that stay.
         live = live.withColumn("before", F.col("nodes"))
         step = _extend(live, adj, by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
         if left is not None:
-            step = step.join(left.withColumnRenamed("id", "at"), "at").where(F.col("left") <= max_depth - d).withColumn("hit", F.col("left") == 0).drop("left")
+            step = step.join(left.withColumnRenamed("id", "at"), "at").where(F.lit(True) if max_depth is None else F.col("left") <= max_depth - d).withColumn("hit", F.col("left") == 0).drop("left")
         else:
             step = step.withColumn("hit", F.lit(True))
         frontier = broadcast_if_small(step)

@@ -6,6 +6,7 @@ import pytest
 
 from grafloom.errors import GraphError
 from grafloom.graph import PropertyGraph
+from grafloom.lang.compiler import compile_query
 from grafloom.operators import ontology, traverse, vector
 from grafloom.plans import oracle
 from grafloom.plans.runtime import table
@@ -75,3 +76,16 @@ def test_closure_of_a_long_chain_is_whole(spark):
         ontology.transitive_edges(chain, max_iterations=5)
     ring = spark.createDataFrame([(i, (i + 1) % 23) for i in range(23)] + [(3, 9)], "src long, dst long")
     assert ontology.transitive_edges(ring)[0].count() == 23 * 23 - 24
+
+
+def test_patterns_without_upper_bound_have_no_limit(spark):
+    n = 20
+    edges = [(i, i, i + 1) for i in range(n)] + [(50, 5, 3), (51, n, 0)]  # a chain, a way back and a ring around all
+    nodes = spark.createDataFrame([(i, f"n{i}") for i in range(n + 1)], "gid long, node_id string")
+    g = PropertyGraph(spark, {"A": nodes.where("gid < 20"), "T": nodes.where("gid = 20")}, {"r": spark.createDataFrame(edges, "eid long, src long, dst long")})
+    every = simple([(*e, 1.0) for e in edges], 0, n + 1)
+    ask = lambda hops, label="": sorted(x.d for x in compile_query(g, f"MATCH p = (a:A {{node_id: 'n0'}})-[:r{hops}]->(b{label}) RETURN length(p) AS d").collect())
+    assert ask("*") == sorted(len(e) for _, e, _ in every)
+    assert ask("*16..") == [16, 17, 18, 19, 20]
+    assert ask("*", ":T") == [20]
+    assert ask("*..3") == [1, 2, 3]
