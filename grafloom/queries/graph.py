@@ -242,6 +242,17 @@ def knn_join(spark: S, sf: str) -> DataFrame:
     return _round(r, "score")
 
 
+def _knn_join(metric: str, label: int | None = None):  # noqa: ANN202
+    """The stated query set against all rows, or those of one label."""
+
+    def run(spark: S, sf: str) -> DataFrame:
+        e = table(spark, sf, "embeddings")
+        r = vector.knn_join(e if label is None else e.where(F.col("label") == label), e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, metric)
+        return _round(r, "score")
+
+    return run
+
+
 def ivf_search(spark: S, sf: str) -> DataFrame:
     """The stated query set through the index, with as many lists as a measured recall of `RECALL` takes."""
     e = table(spark, sf, "embeddings")
@@ -343,4 +354,4 @@ QUERIES = {
         sample_first, sample_uniform, random_walks, closure_scan, closure_pairs, infer_symmetric, infer_transitive, triple_constant, triple_pattern_join, vector_functions, knn_join, ivf_search, text_search, token_index,
         link_entities, evidence_search, vector_search_boosted, graphrag, as_of_nodes, as_of_edges, upsert_merge, bundle_diff, feature_lookup, event_windows,
     )
-} | {"knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"), "knn_dot": _knn("dot"), "knn_filtered": _knn("cosine", 3)}
+} | {"knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"), "knn_dot": _knn("dot"), "knn_filtered": _knn("cosine", 3), "knn_join_l2": _knn_join("l2"), "knn_join_dot": _knn_join("dot"), "knn_join_filtered": _knn_join("cosine", 3)}

@@ -56,6 +56,12 @@ def _knn(metric: str, where: str = "true") -> str:
         from (select vec_id, {s} s, {d} d from (select *, {_VEC} q from embeddings) where {where} order by s desc, vec_id limit 10)"""
 
 
+def _knn_join(metric: str, where: str = "true") -> str:
+    s = _score(metric, "qv")[0]
+    return f"""select query, id, round(s, 6) score, "rank" from (select q.vec_id query, e.vec_id id, {s} s, row_number() over (partition by q.vec_id order by {s} desc, e.vec_id) :: int as "rank"
+        from embeddings e join (select vec_id, embedding qv from embeddings where vec_id % 100 = 0) q on q.vec_id <> e.vec_id where {where}) where "rank" <= 10"""
+
+
 _COS, _L2, _DOT = _score("cosine")[0], _score("l2")[1], _score("dot")[0]
 _SALES = f"""sales as (
   select {PLACE["Customer"] * BASE} + c_custkey src, {PLACE["Nation"] * BASE} + c_nationkey dst, 'IN_NATION' t from customer union all select {PLACE["Supplier"] * BASE} + s_suppkey, {PLACE["Nation"] * BASE} + s_nationkey, 'IN_NATION' from supplier
@@ -142,4 +148,7 @@ SQL = {
     "knn_l2": _knn("l2"),
     "knn_dot": _knn("dot"),
     "knn_filtered": _knn("cosine", "label = 3"),
+    "knn_join_l2": _knn_join("l2"),
+    "knn_join_dot": _knn_join("dot"),
+    "knn_join_filtered": _knn_join("cosine", "label = 3"),
 }

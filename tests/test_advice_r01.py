@@ -89,3 +89,10 @@ def test_patterns_without_upper_bound_have_no_limit(spark):
     assert ask("*16..") == [16, 17, 18, 19, 20]
     assert ask("*", ":T") == [20]
     assert ask("*..3") == [1, 2, 3]
+
+
+@pytest.mark.parametrize("name", ["knn_join_l2", "knn_join_dot", "knn_join_filtered"])
+def test_stated_queries_by_every_metric(spark, sf_dir, name):
+    rows = graph.QUERIES[name](spark, sf_dir).toArrow()
+    assert rows.num_rows == 10 * table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").count()
+    assert oracle.differences(rows, oracle.duck(sf_dir).execute(graph_sql.SQL[name]).to_arrow_table()) == ""
