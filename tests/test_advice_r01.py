@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from grafloom.errors import GraphError
 from grafloom.graph import PropertyGraph
@@ -96,3 +97,37 @@ def test_stated_queries_by_every_metric(spark, sf_dir, name):
     rows = graph.QUERIES[name](spark, sf_dir).toArrow()
     assert rows.num_rows == 10 * table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").count()
     assert oracle.differences(rows, oracle.duck(sf_dir).execute(graph_sql.SQL[name]).to_arrow_table()) == ""
+
+
+def test_shortest_path_query_to_its_full_depth(spark, sf_dir, tmp_path):
+    """The registered query, on edges whose shortest paths from 7 to 13 have three steps; its SQL looks at two."""
+    schema = "eid long, edge_type string, src long, dst long, weight double, metric string, index_name string, _created_lsn long, _deleted_lsn long"
+    ends = [(1, 7, 20), (2, 20, 7), (3, 21, 20), (4, 21, 13), (5, 7, 22), (6, 22, 23), (7, 13, 23), (8, 22, 24), (9, 24, 25), (10, 25, 13)]
+    edges = [(e, graph.KNOWLEDGE[e % 3], a, b, 0.5, None, None, 1, None) for e, a, b in ends] + [(11, "interactsWith", 7, 13, 0.5, None, None, 1, None), (12, "MENTIONS", 7, 13, 0.5, None, None, 1, 2)]
+    spark.createDataFrame(edges, schema).write.parquet(str(tmp_path / "edge_store.parquet"))
+    table(spark, sf_dir, "node_store").limit(0).write.parquet(str(tmp_path / "node_store.parquet"))
+    both = [(e, a, b, 0.5) for e, a, b in ends] + [(e, b, a, 0.5) for e, a, b in ends]
+    want = min((len(e), v, e) for v, e, _ in simple(both, 7, 3) if v[-1] == 13)
+    assert want[0] == 3
+    assert [(x.depth, tuple(x.nodes), tuple(x.eids)) for x in graph.QUERIES["shortest_path"](spark, str(tmp_path)).collect()] == [want]
+
+
+def test_shortest_path_query_on_the_tables(spark, sf_dir):
+    rows = table(spark, sf_dir, "edge_store").groupBy("eid").agg(*[F.max(c).alias(c) for c in ("edge_type", "src", "dst", "_deleted_lsn")]).where("_deleted_lsn is null and src is not null and dst is not null").collect()
+    ends = [(x.eid, x.src, x.dst) for x in rows if x.edge_type in graph.KNOWLEDGE]
+    after = {}
+    for e, a, b in ends + [(e, b, a) for e, a, b in ends]:
+        after.setdefault(a, []).append((b, e))
+    level, seen, best = {7: ((7,), ())}, {7}, None
+    for d in range(1, 4):
+        new = {}
+        for node, (nodes, eids) in level.items():
+            for b, e in after.get(node, []):
+                if b not in seen:
+                    new[b] = min(new.get(b, ((1 << 62,), ())), ((*nodes, b), (*eids, e)))
+        seen |= set(new)
+        level = new
+        if 13 in new:
+            best = (d, *new[13])
+            break
+    assert [(x.depth, tuple(x.nodes), tuple(x.eids)) for x in graph.QUERIES["shortest_path"](spark, sf_dir).collect()] == ([best] if best else [])
