@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafloom.catalog import Catalog
@@ -31,10 +31,17 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 class PropertyGraph:
     """Nodes: `gid` (bigint, unique in the graph), `node_id` (string) and properties. Edges: `eid`, `src`, `dst` (gids)
-    and properties. Both may have `_created_lsn` and `_deleted_lsn`; a graph shows what is visible at its `lsn`."""
+    and properties. Both may have `_created_lsn` and `_deleted_lsn`; a graph shows what is visible at its `lsn`.
 
-    def __init__(self, spark: SparkSession, nodes: dict[str, DataFrame] | None = None, edges: dict[str, DataFrame] | None = None, catalog: Catalog | None = None, lsn: int | None = None, snapshots: dict[str, int] | None = None) -> None:
+    Where all classes (or relations) are stored in one table, `all_nodes` with `node_type` (`all_edges` with
+    `edge_type`) gives the same rows as `nodes` (`edges`), so that what looks at several of them is one scan."""
+
+    def __init__(
+        self, spark: SparkSession, nodes: dict[str, DataFrame] | None = None, edges: dict[str, DataFrame] | None = None, catalog: Catalog | None = None, lsn: int | None = None, snapshots: dict[str, int] | None = None,
+        all_nodes: DataFrame | None = None, all_edges: DataFrame | None = None,
+    ) -> None:
         self.spark, self.lsn = spark, lsn
+        self.all_nodes, self.all_edges = all_nodes, all_edges
         self.stored_nodes, self.stored_edges = dict(nodes or {}), dict(edges or {})
         self.catalog = catalog or Catalog()
         self.snapshots = dict(snapshots or {})
@@ -53,7 +60,7 @@ class PropertyGraph:
             if snapshot not in self.snapshots:
                 raise GraphError(8013, f"no snapshot {snapshot!r}")
             snapshot = self.snapshots[snapshot]
-        return PropertyGraph(self.spark, self.stored_nodes, self.stored_edges, self.catalog, snapshot, self.snapshots)
+        return PropertyGraph(self.spark, self.stored_nodes, self.stored_edges, self.catalog, snapshot, self.snapshots, self.all_nodes, self.all_edges)
 
     def create_snapshot(self, name: str, lsn: int | None = None) -> int:
         """Names an lsn, by default the greatest one in use."""
@@ -86,8 +93,21 @@ class PropertyGraph:
 
     def node_index(self, classes: list[str] | None = None) -> DataFrame:
         """`gid`, `node_id`, `node_type` of all nodes."""
-        names = classes or list(self.stored_nodes)
-        return union_all([self.nodes(n).select("gid", F.col("node_id").cast("string") if "node_id" in self.stored_nodes[n].columns else F.col("gid").cast("string").alias("node_id"), F.lit(n).alias("node_type")) for n in names])
+        names = [self.catalog.find(c).name for c in classes] if classes else list(self.stored_nodes)
+        id_of = lambda df: (F.col("node_id").cast("string") if "node_id" in df.columns else F.col("gid").cast("string")).alias("node_id")
+        if self.all_nodes is not None and len(names) > 1:
+            return visible(self.all_nodes.where(F.col("node_type").isin(names)), self.lsn).select("gid", id_of(self.all_nodes), "node_type")
+        if not names:
+            return self.spark.createDataFrame([], "gid bigint, node_id string, node_type string")
+        return union_all([self.nodes(n).select("gid", id_of(self.stored_nodes[n]), F.lit(n).alias("node_type")) for n in names])
+
+    def named(self, rows: DataFrame, column: str, gids: list[int] | None = None) -> DataFrame:
+        """`rows` with `node_id` and `node_type` of the node in `column`, null if it is unknown. `gids`: the values of
+        the column, where they are known to be few; then only these nodes are looked up."""
+        index = self.node_index()
+        if gids is not None:
+            index = index.where(F.col("gid").isin(gids))
+        return rows.join(index, F.col(column) == F.col("gid"), "left").drop("gid")
 
     def closure(self, base: str, include_self: bool = True) -> DataFrame:
         """Rows of a class and all below it: the columns that all of them have, in the first one's order, and
@@ -114,26 +134,34 @@ class PropertyGraph:
 
     # --- adjacency
 
-    def adjacency(self, edge_types: list[str] | None = None, direction: str = "out", filters: dict | None = None, weight: str = "weight", top_per_node: int | None = None) -> DataFrame:
+    def adjacency(
+        self, edge_types: list[str] | None = None, direction: str = "out", filters: dict | None = None, weight: str = "weight", top_per_node: int | None = None, only: list[int] | None = None, properties: bool = True,
+    ) -> DataFrame:
         """Steps `node` -> `next` along relations: `edge_type`, `eid`, `src`, `dst`, `direction`, `w`, `properties`.
 
         Relations that don't exist are left out. `both` takes each edge in either direction, a loop twice. `filters`:
         edge columns with a suffix `_eq`, `_gte`, `_lte`, `_gt`, `_lt`, or none for equality. Missing weights are 0.
-        `top_per_node` keeps the first so many steps of a node in order of weight descending, type, eid, next.
+        `top_per_node` keeps the first so many steps of a node in order of weight descending, type, eid, next. `only`:
+        the steps from these nodes, a filter that goes down into the scan. Without `properties` that column is left out.
         """
         if direction not in ("out", "in", "both"):
             raise GraphError(6020, f"invalid direction {direction!r}")
+        names = [n for n in (sorted(self.stored_edges) if edge_types is None else dict.fromkeys(edge_types)) if n in self.stored_edges]
+        if self.all_edges is not None and len(names) > 1:
+            tables = [visible(self.all_edges.where(F.col("edge_type").isin(names)), self.lsn)]
+        else:
+            tables = [self.edges(n).withColumn("edge_type", F.lit(n)) for n in names]
         parts = []
-        for name in sorted(self.stored_edges) if edge_types is None else dict.fromkeys(edge_types):
-            if name not in self.stored_edges:
-                continue
-            e = self.edges(name)
+        for e in tables:
             for f, value in (filters or {}).items():
                 e = e.where(_edge_filter(e, f, value))
-            props = [c for c in e.columns if c not in ("eid", "src", "dst", CREATED, DELETED)]
+            ends = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
+            if only is not None:
+                e = e.where(reduce(lambda a, b: a | b, [F.col(x).isin(only) for x in ends]))
+            props = sorted(c for c in e.columns if c not in ("eid", "src", "dst", "edge_type", CREATED, DELETED)) if properties else []
             w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight in e.columns else F.lit(0.0)
-            json = F.to_json(F.struct(*sorted(props)), {"ignoreNullFields": "false"}) if props else F.lit("{}")
-            step = e.select(F.lit(name).alias("edge_type"), "eid", "src", "dst", w.alias("w"), json.alias("properties"))
+            json = F.to_json(F.struct(*props), {"ignoreNullFields": "false"}) if props else F.lit("{}")
+            step = e.select("edge_type", "eid", "src", "dst", w.alias("w"), *([json.alias("properties")] if properties else []))
             ways = {"out": [("src", "dst", "out")], "in": [("dst", "src", "in")], "both": [("src", "dst", "out"), ("dst", "src", "in")]}[direction]
             if len(ways) == 1:
                 node, next_, way = ways[0]
@@ -142,14 +170,17 @@ class PropertyGraph:
                 both = F.array(*[F.struct(F.col(n).alias("node"), F.col(x).alias("next"), F.lit(w).alias("direction")) for n, x, w in ways])
                 parts.append(step.select("*", F.inline(both)).select("node", "next", *step.columns, "direction"))
         if not parts:
-            return self.spark.createDataFrame([], "node bigint, next bigint, edge_type string, eid bigint, src bigint, dst bigint, w double, properties string, direction string")
+            return self.spark.createDataFrame([], f"node bigint, next bigint, edge_type string, eid bigint, src bigint, dst bigint, w double, {'properties string, ' if properties else ''}direction string")
         out = union_all(parts).where("node is not null and next is not null")
-        if top_per_node is not None:
-            from pyspark.sql import Window
+        if only is not None and direction == "both":
+            out = out.where(F.col("node").isin(only))
+        return out if top_per_node is None else first_steps(out, top_per_node)
+
 
-            order = Window.partitionBy("node").orderBy(F.desc("w"), "edge_type", "eid", "next")
-            out = out.withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= top_per_node).drop("n_")
-        return out
+def first_steps(steps: DataFrame, n: int) -> DataFrame:
+    """Of each node the first `n` steps in order of weight descending, type, eid, next."""
+    order = Window.partitionBy("node").orderBy(F.desc("w"), "edge_type", "eid", "next")
+    return steps.withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= n).drop("n_")
 
 
 def _edge_filter(e: DataFrame, name: str, value) -> Column:  # noqa: ANN001

@@ -183,7 +183,7 @@ class Compiler:
     def _variable(self, rel: Rel, r: str, a: str, g: PropertyGraph, node: Node, path: str | None) -> DataFrame:
         low, high = rel.hops
         filters = {k: self._constant(v) for k, v in rel.props.items()}
-        adj = g.adjacency(self._relations(rel, g), rel.direction, filters)
+        adj = traverse.steps_of(g, self._relations(rel, g), rel.direction, filters)
         sources = self.df.select(F.col(f"`{a}.gid`").alias("gid")).distinct().withColumn("pos", F.col("gid"))
         keep = dict(self.labels)
         targets = self._scan(Node(None, node.labels, node.props), "t_", g).select(F.col("`t_.gid`").alias("gid")) if node.labels else None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grafloom.graph import PropertyGraph
 from grafloom.operators.text import text_search
-from grafloom.operators.traverse import path_score, simple_paths
+from grafloom.operators.traverse import path_score, simple_paths, steps_of
 from grafloom.operators.vector import vector_search
 from grafloom.plans.runtime import cut
 
@@ -61,8 +61,8 @@ def evidence_search(
     """
     w = EVIDENCE_WEIGHTS | (scoring or {})
     targets = g.node_index([target_type]).select("gid")
-    adj = g.adjacency(edge_types, direction, None, weight, top_edges_per_node)
-    p = simple_paths(adj, seeds, targets, max_depth, stop_at=targets, by_weight=top_edges_per_node is not None)
+    steps = steps_of(g, edge_types, direction, None, weight, top_edges_per_node)
+    p = simple_paths(steps, seeds, targets, max_depth, stop=True, by_weight=top_edges_per_node is not None)
     p = p.join(F.broadcast(seeds.select(F.col("gid").alias("seed"), "seed_score")), "seed").withColumn("path_score", path_score(F.col("weights"), "product"))
     p = p.withColumn("score", w["path_weight"] * F.col("path_score") + w["seed_score"] * F.col("seed_score") - w["depth_penalty"] * F.col("depth"))
     order = [F.desc("score"), F.col("depth"), F.col("at"), F.col("seed"), F.col("eids")]

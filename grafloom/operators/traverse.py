@@ -2,12 +2,14 @@
 
 The order in which nodes are discovered is kept as a key: the array of the steps that led there. Of several ways to a
 node at one depth, the one with the least key is the first; arrays compare element by element, so no global numbering
-is needed. A frontier is computed once per level and broadcast if it is small, so a level is one scan of the edges.
+is needed, and the path can be read off the key. Each level is written once to the shared folder. The steps from few
+nodes come from a filtered scan, those from many from a table that is written once, see `Steps`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
@@ -15,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafloom.errors import GraphError
-from grafloom.graph import PropertyGraph
-from grafloom.plans.runtime import broadcast_if_small, cut
+from grafloom.graph import PropertyGraph, first_steps
+from grafloom.plans.runtime import IN_KEYS, Kept, broadcast_if_small, cut, few, keep
 
 SCORES = ("sum", "average", "avg", "min", "max", "product")
 
@@ -66,54 +68,96 @@ def overlap(g: PropertyGraph, node: int, candidates: DataFrame, edge_type: str,
 
 
 def _step_key(by_weight: bool) -> Column:
-    return F.struct((-F.col("w") if by_weight else F.lit(0.0)).alias("w"), F.col("edge_type").alias("t"), F.col("eid").alias("e"), F.col("next").alias("n"))
+    """What a step adds to a key: first what orders the steps of a node, then the rest of it."""
+    first = (-F.col("w") if by_weight else F.lit(0.0)).alias("s")
+    return F.struct(first, F.col("edge_type").alias("t"), F.col("eid").alias("e"), F.col("next").alias("n"), F.col("w").alias("w"), F.col("direction").alias("d"))
 
 
 def _seed_paths(seeds: DataFrame) -> DataFrame:
     """`seeds`: `pos`, `gid`. A path of no steps per distinct seed."""
-    none = lambda t: F.array().cast(f"array<{t}>")
     one = seeds.groupBy("gid").agg(F.min("pos").alias("pos"))
-    return one.select(
-        F.col("gid").alias("at"), F.array(F.struct(F.lit(0.0).alias("w"), F.lit("").alias("t"), F.col("pos").alias("e"), F.col("gid").alias("n"))).alias("key"),
-        F.array("gid").alias("nodes"), none("bigint").alias("eids"), none("string").alias("types"), none("string").alias("directions"), none("double").alias("weights"), none("string").alias("properties"),
-    )
+    start = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("t"), F.col("pos").cast("long").alias("e"), F.col("gid").alias("n"), F.lit(0.0).alias("w"), F.lit("").alias("d"))
+    return one.select(F.col("gid").alias("at"), F.array(start).alias("key"))
+
+
+def with_path(df: DataFrame) -> DataFrame:
+    """`df` with the columns of the path that its `key` holds: `nodes`, `eids`, `types`, `directions`, `weights`."""
+    rest = lambda f: F.slice(F.col(f"key.{f}"), F.lit(2), F.size("key") - 1)
+    return df.withColumns({"nodes": F.col("key.n"), "eids": rest("e"), "types": rest("t"), "directions": rest("d"), "weights": rest("w")})
+
+
+class Steps:
+    """The steps of a graph, level by level from the nodes that a traversal has come to.
+
+    While these are few they are looked up by an IN filter that goes down into the scan. From the first larger level
+    on, or the `LEVELS`-th, the steps are written once to the shared folder, sorted by node (the steps of a hub go to
+    several files), and all further levels read that.
+    """
 
+    LEVELS = 3
 
-STATE = ["key", "nodes", "eids", "types", "directions", "weights", "properties"]
+    def __init__(self, source: DataFrame | Callable, top: int | None = None) -> None:
+        """`source`: steps, or what gives the steps of a list of nodes (of all, if it is null); `top`: see `first_steps`."""
+        self.source, self.top, self.kept, self.levels = source, top, None, 0
 
+    def all(self) -> DataFrame:
+        if self.kept is None:
+            steps = self.source if isinstance(self.source, DataFrame) else self.source(None)
+            columns = [c for c in ("node", "next", "edge_type", "eid", "w", "direction") if c in steps.columns]
+            self.kept = keep(steps.select(*columns).repartitionByRange(*[c for c in ("node", "eid") if c in columns]).sortWithinPartitions("node"))
+        return self.kept
 
-def _extend(frontier: DataFrame, adj: DataFrame, by_weight: bool, keep: list[str] | None = None) -> DataFrame:
+    def of(self, nodes: list[int] | None) -> DataFrame:
+        """The steps from `nodes`; from all where it is null."""
+        self.levels += 1
+        if nodes is None or self.kept is not None or self.levels >= self.LEVELS:
+            steps = self.all()
+        else:
+            steps = self.source if isinstance(self.source, DataFrame) else self.source(nodes)
+        if nodes is not None:
+            steps = steps.where(F.col("node").isin(nodes))
+        return steps if self.top is None else first_steps(steps, self.top)
+
+
+def steps_of(g: PropertyGraph, edge_types: list[str] | None = None, direction: str = "out", filters: dict | None = None, weight: str = "weight", top: int | None = None) -> Steps:
+    g.adjacency(edge_types, direction)  # wrong arguments fail at once
+    return Steps(lambda nodes: g.adjacency(edge_types, direction, filters, weight, only=nodes, properties=False), top)
+
+
+def _extend(frontier: DataFrame, steps: DataFrame, by_weight: bool, keep_: list[str] | None = None) -> DataFrame:
     """Every path of the frontier, one step longer."""
-    f = frontier.withColumnsRenamed({"properties": "properties_", "at": "at_"})
-    j = f.join(adj, F.col("at_") == F.col("node"))
-    add = lambda old, new: F.concat(F.col(old), F.array(F.col(new)))
-    return j.select(
-        *(keep or []), F.col("next").alias("at"), F.concat("key", F.array(_step_key(by_weight))).alias("key"), add("nodes", "next").alias("nodes"), add("eids", "eid").alias("eids"),
-        add("types", "edge_type").alias("types"), add("directions", "direction").alias("directions"), add("weights", "w").alias("weights"), add("properties_", "properties").alias("properties"),
-    )
+    j = frontier.join(steps, F.col("at") == F.col("node"))
+    return j.select(*(keep_ or []), F.col("next").alias("to"), F.concat("key", F.array(_step_key(by_weight))).alias("key")).withColumnRenamed("to", "at")
+
 
+@dataclass
+class Reached:
+    """The nodes that a traversal has reached: `at`, `depth`, `key`; `nodes` lists them if they are few."""
 
-def _first(paths: DataFrame, by: list[str]) -> DataFrame:
-    return paths.groupBy(*by).agg(F.min(F.struct(*STATE)).alias("m")).select(*by, "m.*")
+    rows: DataFrame
+    nodes: list[int] | None
+    before: list[int] | None = None  # those before the last level
 
 
-def breadth_first(adj: DataFrame, seeds: DataFrame, depth: int, by_weight: bool = False, on_level: Callable | None = None) -> DataFrame:
-    """Every node reached within `depth` steps, once, by the first way to it: `at`, `depth` and the path's columns.
+def breadth_first(steps: Steps, seeds: DataFrame, depth: int, by_weight: bool = False) -> Reached:
+    """Every node reached within `depth` steps, once, by the first way to it.
 
-    The seeds count as visited, and are in the result at depth 0.
+    The seeds count as visited, and are in the result at depth 0. A level is one write of its new nodes and one look
+    at them.
     """
-    frontier = broadcast_if_small(_seed_paths(seeds))
-    levels = [frontier.withColumn("depth", F.lit(0))]
+    known = Kept(seeds.sparkSession)
+    frontier = known.add(_seed_paths(seeds).withColumn("depth", F.lit(0)))
+    now = few(frontier, "at")
+    seen, before = now, []
     for d in range(1, depth + 1):
-        seen = union_levels(levels).select("at")
-        step = _first(_extend(frontier, adj, by_weight), ["at"]).join(seen, "at", "left_anti")
-        frontier = broadcast_if_small(step)
-        if on_level:
-            on_level(d, levels[-1])
-        if frontier.isEmpty():
+        if now == []:
             break
-        levels.append(frontier.withColumn("depth", F.lit(d)))
-    return union_levels(levels)
+        new = _extend(frontier.drop("depth"), steps.of(now), by_weight)
+        new = new.groupBy("at").agg(F.min("key").alias("key")).join(known.all().select("at"), "at", "left_anti")
+        frontier = known.add(new.select("at", "key", F.lit(d).alias("depth")))
+        before, now = seen, few(frontier, "at")
+        seen = None if seen is None or now is None or len(seen) + len(now) > IN_KEYS else seen + now
+    return Reached(known.all(), seen, before)
 
 
 def union_levels(levels: list[DataFrame]) -> DataFrame:
@@ -126,11 +170,12 @@ def neighbors(
 ) -> DataFrame:
     """Nodes within `depth` steps of any seed (`pos`, `gid`), each at its first discovery: `node_id`, `node_type`,
     `internal_id`, `depth`, `via_edge_id`, `via_edge_type`, `path_score`, `path_node_ids` (gids), `path_edge_ids`,
-    `path_edge_types`, `rank`. `node_types` restricts the result, not the traversal. In order of discovery, or with
+    `path_edge_types`. `node_types` restricts the result, not the traversal. In order of discovery, or with
     `order_by_score` (`asc`, `desc`) of score, depth and id; `limit` keeps the first so many."""
-    adj = g.adjacency(edge_types, direction, edge_filters, weight, top_edges_per_node)
-    found = breadth_first(adj, seeds, depth, top_edges_per_node is not None).where("depth > 0")
-    rows = found.join(g.node_index(), found["at"] == F.col("gid"), "left").withColumn("path_score", path_score(F.col("weights"), score))
+    steps = steps_of(g, edge_types, direction, edge_filters, weight, top_edges_per_node)
+    reached = breadth_first(steps, seeds, depth, top_edges_per_node is not None)
+    found = with_path(reached.rows.where("depth > 0"))
+    rows = g.named(found, "at", reached.nodes).withColumn("path_score", path_score(F.col("weights"), score))
     if node_types:
         rows = rows.where(F.col("node_type").isin(node_types))
     order = [F.col("depth"), F.col("key")]
@@ -149,24 +194,24 @@ def k_hop(g: PropertyGraph, seeds: DataFrame, depth: int, edge_types: list[str]
 
     With caps, the first `max_nodes` in order of discovery and the first `max_edges` in order of (depth, type, eid).
     """
-    adj = g.adjacency(edge_types, direction)
-    seen: list[DataFrame] = []
-
-    def edges_of(d: int, frontier: DataFrame) -> None:
-        seen.append(frontier.select(F.col("at").alias("node")).join(adj, "node").select("eid", "edge_type", "src", "dst", "direction", F.lit(d).alias("depth")))
-
-    found = breadth_first(adj, seeds, depth, on_level=edges_of)
-    nodes = found.join(g.node_index(), found["at"] == F.col("gid"), "left")
+    reached = breadth_first(steps_of(g, edge_types, direction), seeds, depth)
+    nodes = g.named(reached.rows, "at", reached.nodes)
     if max_nodes is not None:
         nodes = nodes.orderBy("depth", "key").limit(max_nodes)
     nodes = nodes.select(F.coalesce("node_id", F.col("at").cast("string")).alias("node_id"), "node_type", F.col("at").alias("internal_id"), "depth")
-    edges = union_levels(seen).groupBy("edge_type", "eid").agg(F.min("depth").alias("depth"), F.min("src").alias("src"), F.min("dst").alias("dst"))
+    passed = reached.rows.where(F.col("depth") < depth).select(F.col("at").alias("node"), (F.col("depth") + 1).alias("depth"))
+    seen = passed.join(g.adjacency(edge_types, direction, only=reached.before, properties=False), "node")
+    edges = seen.groupBy("edge_type", "eid").agg(F.min("depth").alias("depth"), F.min("src").alias("src"), F.min("dst").alias("dst"))
     if max_edges is not None:
         edges = edges.orderBy("depth", "edge_type", "eid").limit(max_edges)
     return nodes, edges
 
 
-def reachable(adj: DataFrame, seeds: DataFrame, hop_min: int, hop_max: int) -> DataFrame:
+def _pairs(steps: Steps, nodes: list[int] | None) -> DataFrame:
+    return steps.of(nodes).select("node", "next").distinct()
+
+
+def reachable(adj: DataFrame | Steps, seeds: DataFrame, hop_min: int, hop_max: int) -> DataFrame:
     """Distinct pairs `seed`, `dst` with `hop`, the number of steps at which the pair is first seen.
 
     Hop 0 is the seed itself, if `hop_min` is 0; otherwise a seed can be reached again by a cycle. A pair first seen
@@ -174,88 +219,111 @@ def reachable(adj: DataFrame, seeds: DataFrame, hop_min: int, hop_max: int) -> D
     """
     if hop_min < 0 or hop_max < hop_min:
         raise GraphError(6031, f"invalid hops {hop_min} to {hop_max}")
-    start = seeds.select(F.col("gid").alias("seed"), F.col("gid").alias("dst")).distinct()
-    levels = [start.withColumn("hop", F.lit(0))] if hop_min == 0 else []
-    frontier = broadcast_if_small(start)
-    steps = adj.select("node", "next").distinct()
+    steps = adj if isinstance(adj, Steps) else Steps(adj)
+    known = Kept(seeds.sparkSession)
+    frontier = known.add(seeds.select(F.col("gid").alias("seed"), F.col("gid").alias("dst")).distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, hop_max + 1):
-        new = frontier.join(steps, frontier["dst"] == F.col("node")).select("seed", F.col("next").alias("dst")).distinct()
-        if levels:
-            new = new.join(union_levels(levels).select("seed", "dst"), ["seed", "dst"], "left_anti")
-        frontier = broadcast_if_small(new)
-        if frontier.isEmpty():
+        now = few(frontier, "dst")
+        if now == []:
             break
-        levels.append(frontier.withColumn("hop", F.lit(hop)))
-    out = union_levels(levels) if levels else start.withColumn("hop", F.lit(0)).limit(0)
-    return out.where(F.col("hop") >= hop_min)
+        new = frontier.join(_pairs(steps, now), F.col("dst") == F.col("node")).select("seed", F.col("next").alias("dst")).distinct()
+        seen = known.all() if hop_min == 0 else known.all().where("hop > 0")
+        frontier = known.add(new.join(seen.select("seed", "dst"), ["seed", "dst"], "left_anti").withColumn("hop", F.lit(hop)))
+    return known.all().where(F.col("hop") >= hop_min)
 
 
-def reachable_per_depth(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def reachable_per_depth(adj: DataFrame | Steps, seeds: DataFrame, depth: int) -> DataFrame:
     """Distinct `seed`, `node`, `depth` for every depth up to `depth`: a node counts again at each depth."""
-    now = seeds.select(F.col("gid").alias("seed"), F.col("gid").alias("node")).distinct()
-    levels, steps = [], adj.select(F.col("node").alias("n"), "next").distinct()
+    steps, known = adj if isinstance(adj, Steps) else Steps(adj), Kept(seeds.sparkSession)
+    now = known.add(seeds.select(F.col("gid").alias("seed"), F.col("gid").alias("here")).distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        now = cut(now.join(steps, now["node"] == F.col("n")).select("seed", F.col("next").alias("node")).distinct())
-        levels.append(now.withColumn("depth", F.lit(d)))
-    return union_levels(levels)
+        nodes = few(now, "here")
+        if nodes == []:
+            break
+        new = now.join(_pairs(steps, nodes), F.col("here") == F.col("node")).select("seed", F.col("next").alias("here")).distinct()
+        now = known.add(new.withColumn("depth", F.lit(d)))
+    return known.all().where("depth > 0").withColumnRenamed("here", "node")
 
 
-def _distances(adj: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame:
+def _distances(steps: DataFrame, targets: DataFrame, depth: int | None) -> DataFrame:
     """`id`, `left`: the fewest steps from a node to any target, up to `depth` (None: any number); each node once, from
     the targets back."""
-    back = adj.select(F.col("next").alias("node"), F.col("node").alias("next"))
-    frontier = broadcast_if_small(targets.select(F.col("gid").alias("id")).distinct())
-    levels = [frontier.withColumn("left", F.lit(0))]
+    known = Kept(steps.sparkSession)
+    frontier = known.add(targets.select(F.col("gid").alias("id")).distinct().withColumn("left", F.lit(0)))
     for d in count(1) if depth is None else range(1, depth + 1):
-        new = back.join(frontier, F.col("node") == F.col("id"), "left_semi").select(F.col("next").alias("id")).distinct()
-        frontier = broadcast_if_small(new.join(union_levels(levels).select("id"), "id", "left_anti"))
         if frontier.isEmpty():
             break
-        levels.append(frontier.withColumn("left", F.lit(d)))
-    return union_levels(levels)
+        new = steps.join(frontier.select("id"), F.col("next") == F.col("id"), "left_semi").select(F.col("node").alias("id")).distinct()
+        frontier = known.add(new.join(known.all().select("id"), "id", "left_anti").withColumn("left", F.lit(d)))
+    return known.all()
 
 
-def simple_paths(adj: DataFrame, sources: DataFrame, targets: DataFrame | None, max_depth: int | None, min_depth: int = 1, stop_at: DataFrame | None = None, by_weight: bool = False) -> DataFrame:
+def simple_paths(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame | None, max_depth: int | None, min_depth: int = 1, stop: bool = False, by_weight: bool = False) -> DataFrame:
     """All paths without a repeated node from each source (`pos`, `gid`) to a target (`gid`; None: any node).
 
-    `seed`, `at`, `depth` and the path's columns; parallel edges give paths of their own. A path of which the rest
-    can't reach a target in time is dropped as soon as that is known. Paths don't go on from nodes of `stop_at`.
-    Without `max_depth` the search ends when no path goes on: a path has no more steps than there are other nodes.
+    `seed`, `at`, `depth` and the path's columns; parallel edges give paths of their own. With `stop`, paths don't go
+    on from a target. Without `max_depth` the search ends when no path goes on: a path has no more steps than there
+    are other nodes. Then, and where there are at most `IN_KEYS` targets, a path of which the rest can't reach a
+    target in time is dropped as soon as that is known, by distances from the targets back.
     """
     if max_depth is not None and max_depth < 1:
         raise GraphError(6020, "max_depth must be at least 1")
-    left = broadcast_if_small(_distances(adj, targets, None if max_depth is None else max_depth - 1)) if targets is not None else None
-    frontier = cut(_seed_paths(sources).withColumn("seed", F.col("at")))
-    out = []
+    steps, spark = adj if isinstance(adj, Steps) else Steps(adj), sources.sparkSession
+    left = None
+    if targets is not None:
+        targets = targets.select("gid").distinct()
+        if max_depth is None or (max_depth > 1 and few(targets, "gid") is not None):
+            left = _distances(steps.all(), targets, None if max_depth is None else max_depth - 1)
+    found, at_work = Kept(spark), Kept(spark)
+    frontier = at_work.add(_seed_paths(sources).withColumn("seed", F.col("at")))
+    found.add(frontier.limit(0).select("seed", "at", "key", F.lit(0).alias("depth")))  # there may be no path
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
-        live = frontier if d == 1 or stop_at is None else frontier.join(stop_at.select(F.col("gid").alias("at")).distinct(), "at", "left_anti")
+        nodes = few(frontier, "at")
+        if nodes == []:
+            break
+        live = frontier
+        if stop and d > 1:
+            live = frontier.join(_among(targets, nodes), F.col("at") == F.col("gid"), "left_anti")
         # The new node is checked against the path before it, so that the arrays are only made for paths that stay.
-        live = live.withColumn("before", F.col("nodes"))
-        step = _extend(live, adj, by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
+        step = _extend(live.withColumn("before", F.col("key.n")), steps.of(nodes), by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
         if left is not None:
-            step = step.join(left.withColumnRenamed("id", "at"), "at").where(F.lit(True) if max_depth is None else F.col("left") <= max_depth - d).withColumn("hit", F.col("left") == 0).drop("left")
-        else:
-            step = step.withColumn("hit", F.lit(True))
-        frontier = broadcast_if_small(step)
-        if frontier.isEmpty():
-            break
+            step = step.join(left.select(F.col("id").alias("at"), "left"), "at").where(F.lit(True) if max_depth is None else F.col("left") <= max_depth - d)
+        elif targets is not None and d == max_depth:
+            step = step.join(targets, F.col("at") == F.col("gid"), "left_semi")
+        step = step.select("seed", "at", "key", F.lit(d).alias("depth"))
+        if d == max_depth:  # the widest level is not written
+            return with_path(found.all().unionByName(step))
+        if d >= min_depth and targets is None:
+            frontier = found.add(step)
+            continue
+        frontier = at_work.add(step)
         if d >= min_depth:
-            out.append(frontier.where("hit").withColumn("depth", F.lit(d)).drop("hit"))
-        frontier = frontier.drop("hit")
-    return union_levels(out) if out else cut(_seed_paths(sources)).withColumn("seed", F.col("at")).withColumn("depth", F.lit(0)).limit(0)
+            found.add(frontier.join(_among(targets, few(frontier, "at")), F.col("at") == F.col("gid"), "left_semi").select("seed", "at", "key", "depth"))
+    return with_path(found.all())
+
+
+def _among(nodes: DataFrame, gids: list[int] | None) -> DataFrame:
+    return nodes if gids is None else nodes.where(F.col("gid").isin(gids))
 
 
 def paths(g: PropertyGraph, source: int, target: int, edge_types: list[str] | None = None, max_depth: int = 3, limit: int | None = 20, direction: str = "out", edge_filters: dict | None = None, score: str | None = None, weight: str = "weight", order: str = "desc") -> DataFrame:
     """Simple paths between two gids, the first `limit` in order of (score,) depth, nodes and edges."""
     spark = g.spark
     one = lambda x: spark.createDataFrame([(0, x)], "pos bigint, gid bigint")
-    p = simple_paths(g.adjacency(edge_types, direction, edge_filters, weight), one(source), one(target), max_depth)
+    p = simple_paths(steps_of(g, edge_types, direction, edge_filters, weight), one(source), one(target), max_depth)
     p = p.where(F.lit(source != target)).withColumn("path_score", path_score(F.col("weights"), score))
     by = [F.col("depth"), F.col("nodes"), F.col("eids")]
     if score:
         by = [F.desc_nulls_last("path_score") if order == "desc" else F.asc_nulls_last("path_score"), *by]
     p = p.orderBy(*by)
-    return (p if limit is None else p.limit(limit)).select("seed", "at", "depth", F.col("nodes").alias("internal_node_ids"), F.col("eids").alias("edge_ids"), F.col("types").alias("relation_types"), "directions", F.col("properties").alias("edge_properties"), "path_score")
+    p = keep((p if limit is None else p.limit(limit)).select("seed", "at", "depth", "nodes", "eids", "types", "directions", "path_score"))
+    # Properties are read for the edges of these paths only.
+    each = p.select("nodes", "eids", F.posexplode(F.arrays_zip(F.col("types").alias("t"), F.col("eids").alias("e"))).alias("i", "x")).select("nodes", "eids", "i", F.col("x.t").alias("edge_type"), F.col("x.e").alias("eid"))
+    used = few(each, "eid")
+    known = g.adjacency(edge_types, "out").select("edge_type", "eid", "properties")
+    known = known if used is None else known.where(F.col("eid").isin(used))
+    props = each.join(known, ["edge_type", "eid"]).groupBy("nodes", "eids").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "properties"))), lambda x: x["properties"]).alias("properties"))
+    return p.join(props, ["nodes", "eids"]).orderBy(*by).select("seed", "at", "depth", F.col("nodes").alias("internal_node_ids"), F.col("eids").alias("edge_ids"), F.col("types").alias("relation_types"), "directions", F.col("properties").alias("edge_properties"), "path_score")
 
 
 def _completions(steps: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
@@ -272,7 +340,7 @@ def _completions(steps: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     return known.withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def best_products(adj: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int, best: int, beam: int = 2) -> DataFrame:
+def best_products(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame, max_depth: int, best: int, beam: int = 2) -> DataFrame:
     """The simple paths to targets whose product of weights is at least that of the `best`-th one of their source.
 
     `seed`, `at`, `depth`, `score`, `nodes`, `eids`, `types`: at least `best` paths of a source, if it has so many, and
@@ -282,7 +350,7 @@ def best_products(adj: DataFrame, sources: DataFrame, targets: DataFrame, max_de
     """
     if max_depth < 1:
         raise GraphError(6020, "max_depth must be at least 1")
-    steps = cut(adj.select("node", "next", "edge_type", "eid", "w"))
+    steps = (adj if isinstance(adj, Steps) else Steps(adj)).all().select("node", "next", "edge_type", "eid", "w")
     known = broadcast_if_small(_completions(steps, targets, max_depth - 1))
     steps = steps.join(known, F.col("next") == F.col("id")).drop("id")
     none = lambda t: F.array().cast(f"array<{t}>")
@@ -321,7 +389,7 @@ def best_products(adj: DataFrame, sources: DataFrame, targets: DataFrame, max_de
 def multi_seed_paths(g: PropertyGraph, seeds: DataFrame, target_types: list[str], edge_types: list[str] | None = None, max_depth: int = 2, direction: str = "out", max_paths_per_seed: int = 20, score: str = "product", weight: str = "weight", limit: int | None = None) -> DataFrame:
     """Paths from each seed to any node of `target_types`, going on through targets; the best so many of each seed,
     and of all: `rank`, `seed`, `target`, `depth`, `score`, the path's columns."""
-    targets, adj = g.node_index(target_types).select("gid"), g.adjacency(edge_types, direction, None, weight)
+    targets, adj = g.node_index(target_types).select("gid"), steps_of(g, edge_types, direction, None, weight)
     if score == "product" and max_paths_per_seed > 0:
         p = best_products(adj, seeds, targets, max_depth, max_paths_per_seed)
     else:
@@ -340,23 +408,21 @@ def shortest_path(g: PropertyGraph, source: int, target: int, edge_types: list[s
 
     Per level and node only the least path is kept, as any least path begins with one; the search ends at the target.
     """
-    adj = g.adjacency(edge_types, direction, edge_filters)
-    frontier = cut(_seed_paths(g.spark.createDataFrame([(0, source)], "pos bigint, gid bigint")).select("at", "nodes", "eids"))
-    levels, d = [frontier.select("at")], 0
-    empty = frontier.withColumn("depth", F.lit(0)).limit(0)
-    while source != target and (max_depth is None or d < max_depth):
+    steps, known, d = steps_of(g, edge_types, direction, edge_filters), Kept(g.spark), 0
+    start = g.spark.createDataFrame([(source, [source], [], 0)], "at bigint, nodes array<bigint>, eids array<bigint>, depth int")
+    frontier, now = known.add(start), [source]
+    while source != target and now != [] and (max_depth is None or d < max_depth):
         d += 1
-        step = frontier.join(adj.select("node", "next", "eid"), F.col("at") == F.col("node"))
+        step = frontier.join(steps.of(now).select("node", "next", "eid"), F.col("at") == F.col("node"))
         step = step.select(F.col("next").alias("to"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("eids", F.array("eid")).alias("eids"))
-        best = step.groupBy(F.col("to").alias("at")).agg(F.min(F.struct("nodes", "eids")).alias("m")).select("at", "m.*").join(union_levels(levels), "at", "left_anti")
-        frontier = broadcast_if_small(best)
-        hit = frontier.where(F.col("at") == target)
-        if not hit.isEmpty():
-            return hit.withColumn("depth", F.lit(d))
-        if frontier.isEmpty():
+        if d == max_depth:
+            step = step.where(F.col("to") == target)
+        best = step.groupBy(F.col("to").alias("at")).agg(F.min(F.struct("nodes", "eids")).alias("m")).select("at", "m.*", F.lit(d).alias("depth"))
+        frontier = known.add(best.join(known.all().select("at"), "at", "left_anti"))
+        now = few(frontier, "at")
+        if target in now if now is not None else not frontier.where(F.col("at") == target).isEmpty():
             break
-        levels.append(frontier.select("at"))
-    return empty
+    return known.all().where((F.col("at") == target) & (F.col("depth") > 0))
 
 
 def sample_layers(g: PropertyGraph, seeds: DataFrame, fanouts: list[int], edge_types: list[str], direction: str = "out", strategy: str = "uniform", seed: int = 0, replace: bool = False) -> DataFrame:
@@ -364,27 +430,25 @@ def sample_layers(g: PropertyGraph, seeds: DataFrame, fanouts: list[int], edge_t
 
     In each layer, of every frontier node and relation `fanout` edges (0: all): the first by eid (`first`), or those
     with the least seeded hash (`uniform`), so the same seed gives the same sample. With `replace`, `fanout` draws
-    that may repeat an edge. The next frontier is the distinct ends reached.
+    that may repeat an edge, each the edge with the least hash of its own; all are found in one pass with partial
+    results per task. The next frontier is the distinct ends reached.
     """
-    adj = g.adjacency(edge_types, direction).select("node", "next", "edge_type", "eid")
-    now, layers = seeds.select("gid").distinct(), []
+    steps, known = steps_of(g, edge_types, direction), Kept(g.spark)
+    now = keep(seeds.select("gid").distinct())
     for layer, fanout in enumerate(fanouts):
-        j = broadcast_if_small(now).join(adj, F.col("gid") == F.col("node")).drop("gid")
-        order = [F.col("eid")] if strategy in ("first", "all") else [F.xxhash64(F.lit(seed), F.lit(layer), "eid", "next"), F.col("eid")]
+        nodes = few(now, "gid")
+        j = now.join(steps.of(nodes).select("node", "next", "edge_type", "eid"), F.col("gid") == F.col("node")).drop("gid")
+        draw = lambda *more: F.xxhash64(F.lit(seed), F.lit(layer), "eid", "next", *more)  # noqa: B023, E731
         if fanout and strategy != "all":
             if replace:
-                # Draw k of a node takes the edge at a seeded place among its own.
-                w = Window.partitionBy("node", "edge_type")
-                j = j.withColumn("n", F.row_number().over(w.orderBy("eid"))).withColumn("all", F.count("*").over(w))
-                draws = j.select("node", "edge_type", "all").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(fanout))))
-                draws = draws.withColumn("n", (F.pmod(F.xxhash64(F.lit(seed), F.lit(layer), "node", "edge_type", "draw"), F.col("all")) + 1).cast("int")).drop("all")
-                j = draws.join(j.drop("all"), ["node", "edge_type", "n"]).drop("n", "draw")
+                picks = [F.min_by(F.struct("eid", "next"), F.struct(draw(F.lit(k)), "eid", "next")).alias(f"x{k}") for k in range(fanout)]
+                j = j.groupBy("node", "edge_type").agg(*picks).select("node", "edge_type", F.explode(F.array(*[f"x{k}" for k in range(fanout)])).alias("x")).select("node", "x.next", "edge_type", "x.eid")
             else:
+                order = [F.col("eid")] if strategy == "first" else [draw(), F.col("eid")]
                 j = j.withColumn("n", F.row_number().over(Window.partitionBy("node", "edge_type").orderBy(*order))).where(F.col("n") <= fanout).drop("n")
-        now = cut(j.select(F.col("node").alias("src"), F.col("next").alias("dst"), "edge_type", "eid", F.lit(layer).alias("layer")))
-        layers.append(now)
-        now = now.select(F.col("dst").alias("gid")).distinct()
-    return union_levels(layers)
+        got = known.add(j.select(F.col("node").alias("src"), F.col("next").alias("dst"), "edge_type", "eid", F.lit(layer).alias("layer")))
+        now = got.select(F.col("dst").alias("gid")).distinct()
+    return known.all()
 
 
 def random_walks(g: PropertyGraph, seeds: DataFrame, length: int, num_walks: int, edge_types: list[str] | None = None, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
@@ -394,20 +458,19 @@ def random_walks(g: PropertyGraph, seeds: DataFrame, length: int, num_walks: int
     that node, 1/q elsewhere. The edge is the one with the greatest seeded -log(u)-style race value, computed in
     parallel for all candidates, so walks depend on the seed only.
     """
-    steps = g.adjacency(edge_types, "out").select(F.col("node"), F.col("next"), F.col("eid"))
-    walks = seeds.select("gid").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1)))).select(F.concat_ws(":", "gid", "k").alias("walk_id"), F.col("gid").alias("at"), F.lit(None).cast("bigint").alias("prev"))
-    now = cut(walks)
-    out = [now.select("walk_id", F.lit(0).alias("step"), F.col("at").alias("gid"))]
+    steps = steps_of(g, edge_types).all().select("node", "next", "eid")
+    known = Kept(g.spark)
+    walks = seeds.select("gid").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
+    now = known.add(walks.select(F.concat_ws(":", "gid", "k").alias("walk_id"), F.lit(0).alias("step"), "gid", F.lit(None).cast("bigint").alias("prev")))
     near = steps.select(F.col("node").alias("a"), F.col("next").alias("b")).distinct()
     for s in range(1, length + 1):
-        j = broadcast_if_small(now).join(steps, F.col("at") == F.col("node"))
+        j = now.drop("step").join(steps, F.col("gid") == F.col("node"))
         weight = F.lit(1.0)
         if (p, q) != (1.0, 1.0):
             j = j.join(near, (F.col("prev") == F.col("a")) & (F.col("next") == F.col("b")), "left")
             weight = F.when(F.col("prev").isNull(), 1.0).when(F.col("next") == F.col("prev"), 1 / p).when(F.col("a").isNotNull(), 1.0).otherwise(1 / q)
         u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "walk_id", "eid", "next"), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
         race = -F.log(u) / weight
-        best = j.groupBy("walk_id", "at").agg(F.min_by(F.col("next"), F.struct(race, "eid", "next")).alias("to"))
-        now = cut(best.select("walk_id", F.col("to").alias("at"), F.col("at").alias("prev")))
-        out.append(now.select("walk_id", F.lit(s).alias("step"), F.col("at").alias("gid")))
-    return union_levels(out)
+        best = j.groupBy("walk_id", "gid").agg(F.min_by(F.col("next"), F.struct(race, "eid", "next")).alias("to"))
+        now = known.add(best.select("walk_id", F.lit(s).alias("step"), F.col("to").alias("gid"), F.col("gid").alias("prev")))
+    return known.all().drop("prev")

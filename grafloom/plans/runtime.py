@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which `broadcast_if_small` broadcasts: some tens of MB for the few narrow columns it is used with.
 BROADCAST_ROWS = 500_000
+#: Keys up to which a set of rows is looked up by an IN filter in the scan: some 100 kB in the plan.
+IN_KEYS = 10_000
 
 
 def session(app: str = "grafloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -23,18 +28,18 @@ def session(app: str = "grafloom", cores: str = "*", partitions: int = 8) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder, so that its plan ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where none is set and the master is local is a folder of
-    this machine used; on a cluster without the setting this fails rather than writing where other machines can't read.
+    Only where none is set and the master is local is a folder of this machine used, which goes when the program ends;
+    on a cluster without the setting this fails rather than writing where other machines can't read.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,12 +47,52 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="grafloom-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder, so that its plan ends here."""
+    shared_folder(df.sparkSession)
     kept = df.checkpoint(eager=True)
     # New column ids: the optimizer's notes on the old ones may name columns that a checkpoint no longer has.
     return kept.toDF(*kept.columns)
 
 
+class Kept:
+    """A table in the shared folder that grows by parts: each is computed once and written as Parquet, so that what reads
+    them takes the columns and rows that it needs, and the optimizer knows their size."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.paths, self.schema = spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes `df` and returns it as written."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.schema = df.schema
+        self.paths.append(path)
+        return self._read(path)
+
+    def all(self) -> DataFrame:
+        return self._read(*self.paths)
+
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder as Parquet."""
+    return Kept(df.sparkSession).add(df)
+
+
+def few(df: DataFrame, column: str, most: int = IN_KEYS) -> list | None:
+    """The distinct values of a column, null if there are more than `most` rows."""
+    got = df.select(column).limit(most + 1).collect()
+    return None if len(got) > most else sorted({r[0] for r in got if r[0] is not None})
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` computed once; marked for broadcast if it has at most `rows` rows, else left to a shuffle join.
 

@@ -147,7 +147,7 @@ def reachability(spark: S, sf: str) -> DataFrame:
 
 
 def reachable_per_depth(spark: S, sf: str) -> DataFrame:
-    return traverse.reachable_per_depth(store_graph(spark, sf).adjacency(KNOWLEDGE), _seeds(spark), 2)
+    return traverse.reachable_per_depth(traverse.steps_of(store_graph(spark, sf), KNOWLEDGE), _seeds(spark), 2)
 
 
 def simple_paths_scored(spark: S, sf: str) -> DataFrame:

@@ -45,17 +45,22 @@ def sales_graph(spark: SparkSession, sf: str) -> PropertyGraph:
 
 
 def store_graph(spark: SparkSession, sf: str) -> PropertyGraph:
-    """The versioned graph store: one row per version and per edge, repeated rows once; NaN weights are null."""
+    """The versioned graph store: one row per version and per edge, repeated rows once; NaN weights are null.
+
+    The rows of an eid differ in `ingested_at` only, so grouping by all other columns makes edges single, and filters
+    on any of them go below that into the scan."""
     n = table(spark, sf, "node_store").withColumnsRenamed({"nid": "gid"})
-    rest = [c for c in n.columns if c not in ("gid", "_created_lsn")]
-    version = lambda df: df.groupBy("gid", "_created_lsn").agg(*[F.max(c).alias(c) for c in rest])
+    rest = [c for c in n.columns if c not in ("gid", "_created_lsn", "node_type")]
+    version = lambda df: df.groupBy("gid", "_created_lsn", "node_type").agg(*[F.max(c).alias(c) for c in rest])
     e = table(spark, sf, "edge_store").withColumn("weight", F.when(~F.isnan("weight"), F.col("weight")))
-    one = lambda df: df.groupBy("eid").agg(*[F.max(c).alias(c) for c in ("src", "dst", "weight", "metric", "index_name", "_created_lsn", "_deleted_lsn")])
+    one = lambda df: df.select("eid", "src", "dst", "weight", "metric", "index_name", "_created_lsn", "_deleted_lsn", "edge_type").distinct()
     catalog = Catalog()
     catalog.define_class("Molecular")
     for c in NODE_TYPES:
         catalog.define_class(c, parents=["Molecular"] if c in ("Gene", "Tissue") else [])
-    return PropertyGraph(spark, {t: version(n.where(F.col("node_type") == t)) for t in NODE_TYPES}, {t: one(e.where(F.col("edge_type") == t)) for t in EDGE_TYPES}, catalog)
+    nodes = {t: version(n.where(F.col("node_type") == t)) for t in NODE_TYPES}
+    edges = {t: one(e.where(F.col("edge_type") == t)).drop("edge_type") for t in EDGE_TYPES}
+    return PropertyGraph(spark, nodes, edges, catalog, all_nodes=version(n), all_edges=one(e))
 
 
 #: SQL of the graph store's current nodes and edges.
