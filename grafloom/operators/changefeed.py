@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafloom.plans.runtime import broadcast_if_small, cut
+from grafloom.plans.runtime import broadcast_if_small, keep
 
 #: Sequence numbers per block when the one before each is looked up; a task sorts at most so many of one log.
 BLOCK = 65_536
@@ -29,8 +29,8 @@ def conflicting(records: DataFrame, log: str, seq: str, prev: str) -> DataFrame:
 
 
 def valid_changes(changes: DataFrame, conflicts: DataFrame, log: str, seq: str, prev: str) -> DataFrame:
-    """`changes` without those of left-over records."""
-    c = broadcast_if_small(conflicts)
+    """`changes` without those of left-over records; `conflicts` may be marked for broadcast."""
+    c = conflicts
     at = (F.col(log) == c.log_) & (F.col(seq) == c.seq_)
     return changes.join(c, at, "left").where(c.good_prev.isNull() | (F.coalesce(F.col(prev), F.lit(-1)) == c.good_prev)).drop("log_", "seq_", "good_prev")
 
@@ -45,27 +45,33 @@ def _when(op: Column, *kinds: str) -> Column:
     return op.isin(*kinds)
 
 
-def live_rows(changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
-    """Keys that are alive at the end: `keys`, `deleted_at` (null if never), `replaced_at` (last insert), `last`, `changes`.
+def live_rows(changes: DataFrame, keys: list[str], seq: str, op: str, every: list[str] | None = None) -> DataFrame:
+    """Last writer wins of the columns `every` that each insert, upsert and update sets: `keys`, these columns,
+    `deleted_at` (null if never), `replaced_at` (last insert), `last`, `changes`, one row per key that is alive.
 
-    `op` is `insert`, `upsert`, `update` or `delete`; other kinds and rows with a null key or number change nothing.
-    An insert or upsert makes a key alive, a delete ends it, an update counts only while it is alive. `last` is the
-    number of the last insert, upsert or update that took effect. All of it is maxima per key, so repeated and
-    out-of-order changes do no harm and hot keys are combined before the shuffle. At equal numbers a delete wins.
+    Of each column the value of the greatest sequence number that sets it (`max_by`), if that comes after the key's
+    latest delete. `op` is `insert`, `upsert`, `update` or `delete`; other kinds and rows with a null key or number
+    change nothing. An insert or upsert makes a key alive, a delete ends it, an update counts only while it is alive.
+    `last` is the number of the last insert, upsert or update that took effect. All of it is combined before the
+    shuffle, so repeated and out-of-order changes and hot keys do no harm. At equal numbers a delete wins, and else the
+    greatest value.
     """
     s, o = F.col(seq), F.col(op)
     rows = changes.where(s.isNotNull() & _when(o, "insert", "upsert", "update", "delete"))
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
+    sets = F.when(~_when(o, "delete"), s)
     per = rows.groupBy(*keys).agg(
         F.max(F.when(_when(o, "delete"), s)).alias("deleted_at"),
         F.max(F.when(_when(o, "insert"), s)).alias("replaced_at"),
         F.max(F.when(_when(o, "insert", "upsert"), s)).alias("set_at"),
-        F.max(F.when(~_when(o, "delete"), s)).alias("last"),
+        F.max(sets).alias("last"),
         F.count("*").alias("changes"),
+        *[F.max_by(c, F.when(sets.isNotNull(), F.struct(s, F.col(c)))).alias(f"value_{c}") for c in every or []],
     )
     # After an effective insert or upsert every later update is effective, so the greatest number did take effect.
-    return per.where("set_at is not null and (deleted_at is null or set_at > deleted_at)").drop("set_at")
+    alive = per.where("set_at is not null and (deleted_at is null or set_at > deleted_at)").drop("set_at")
+    return alive.withColumnsRenamed({f"value_{c}": c for c in every or []})
 
 
 def _to_changes(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -85,15 +91,15 @@ def last_writer_wins(changes: DataFrame, keys: list[str], seq: str, op: str, fie
     differently: the one with the greater `within` (a place in the record) wins, then the greater value.
     """
     # Changes are used several times, and may be costly to parse.
-    changes = cut(changes.select(*keys, seq, op, fields, *([within] if within else [])))
-    live = cut(live_rows(changes, keys, seq, op))
+    changes = keep(changes.select(*keys, seq, op, fields, *([within] if within else [])))
+    live = keep(live_rows(changes, keys, seq, op))
     total = live.agg(F.sum("changes")).first()[0] or 0
     s, o = F.col(seq), F.col(op)
     rows = changes.where(_when(o, "insert", "upsert", "update") & s.isNotNull())
     since = _to_changes(rows, live.select(*keys, "deleted_at", "replaced_at", "changes"), keys, total).where(s > F.coalesce("deleted_at", F.lit(-(2**63))))
-    since = cut(since)
+    since = keep(since)
     first = since.where(_when(o, "insert", "upsert")).groupBy(*keys).agg(F.min(s).alias("alive_at"))
-    first = cut(first.join(live.select(*keys, "changes"), keys))
+    first = keep(first.join(live.select(*keys, "changes"), keys))
     took = _to_changes(since, first, keys, total).where(s >= F.greatest("alive_at", "replaced_at"))
     place = F.col(within) if within else F.lit(0)
     each = took.select(*keys, s.alias("s"), place.alias("w"), F.explode(fields).alias("field", "value"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafloom.functions.prefix import running_before
-from grafloom.plans.runtime import cut, ship
+from grafloom.plans.runtime import cut, keep, ship
 
 #: Ids per block of the running maxima, bytes per container.
 BLOCK = 65_536
@@ -20,68 +20,84 @@ def canonical_path(path: Column, folder: str, store: Column) -> Column:
     """A path as seen from its store, whatever it was spelled from: the store, its folder `<folder>/<store>/`, or
     anywhere that leads there. Back slashes, empty and `.` segments and `..` are resolved; null stays null."""
     home = F.array(F.lit(folder), store)
+    plain = F.concat(F.lit(f"/{folder}/"), store, F.lit("/"), path)
     steps = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda s: ~s.isin("", "."))
     up = lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
     full = F.concat(F.lit("/"), F.array_join(F.aggregate(steps, home, up), "/"))
+    # Most paths have nothing to resolve and need no fold.
+    full = F.when(path.rlike(r"\\|//|^/|/$|(^|/)\.{1,2}(/|$)"), full).otherwise(plain)
     return F.when(path.isNotNull(), F.call_function("substring_index", full, F.concat(F.lit(f"/{folder}/"), store, F.lit("/")), F.lit(-1)))
 
 
-def resolved_references(refs: DataFrame, kind: str, folder: str, start: str, stop: str) -> DataFrame:
-    """References in one form: `store_kind`, `store`, `chunk_id`, `file`, `start`, `stop`, `n_bytes`.
-
-    A reference that lacks an end of its range takes the range given with the same file of its store, that of the
-    smallest chunk_id if there are several; if there is none it stays null. Rows without chunk_id are dropped.
-    """
-    rows = refs.where("chunk_id is not null").select(
+def references(refs: DataFrame, kind: str, folder: str, start: str, stop: str) -> DataFrame:
+    """References in one form: `store_kind`, `store`, `chunk_id`, `file`, `start`, `stop`, `n_bytes` (null is 0). Rows
+    without chunk_id are dropped."""
+    return refs.where("chunk_id is not null").select(
         F.lit(kind).alias("store_kind"), F.col("local_name").alias("store"), "chunk_id",
         canonical_path(F.col("path"), folder, F.col("local_name")).alias("file"),
         F.col(start).alias("start"), F.col(stop).alias("stop"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
     )
-    has = F.col("start").isNotNull() & F.col("stop").isNotNull()
+
+
+def resolved(refs: DataFrame) -> DataFrame:
+    """`refs` with ranges: one that lacks an end takes the range given with the same file of its store, that of the
+    smallest chunk_id if there are several; if there is none it stays null."""
+    rows = keep(refs)
+    has, file = F.col("start").isNotNull() & F.col("stop").isNotNull(), ["store_kind", "store", "file"]
     lacking = rows.where(~has).drop("start", "stop")
-    known = rows.where(has).join(lacking.select("store", "file").distinct(), ["store", "file"], "left_semi").groupBy("store", "file").agg(F.min_by(F.struct("start", "stop"), "chunk_id").alias("r"))
-    return rows.where(has).unionByName(lacking.join(known, ["store", "file"], "left").select(*lacking.columns, "r.start", "r.stop"))
+    known = rows.where(has).join(lacking.select(*file).distinct(), file, "left_semi").groupBy(*file).agg(F.min_by(F.struct("start", "stop"), "chunk_id").alias("r"))
+    return rows.where(has).unionByName(lacking.join(known, file, "left").select(*lacking.columns, "r.start", "r.stop"))
 
 
-def covered_references(refs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """`refs` that hold at least one id, with `before` - the greatest stop of the ranges of the store that start
-    earlier, null if none - and `covered`: another range of the store contains this one and is larger, or is equal
-    and has a smaller chunk_id. References without range or ids are not in the result.
+_STORE = ["store_kind", "store"]
 
-    Per store and start only the greatest stop matters to later ranges; a running maximum of these, in blocks of ids,
-    tells whether a range ends within an earlier one. No task holds more than one block of starts.
-    """
-    rows = refs.where("start < stop")
-    at = ["store_kind", "store", "start"]
-    spans = rows.groupBy(*at, "stop").agg(F.min("chunk_id").alias("first_id"))
-    tops = spans.groupBy(*at).agg(F.max("stop").alias("top"))
-    tops = running_before(tops, at[:2], F.floor(F.col("start") / block), [F.col("start")], {"before": ("max", "top")})
-    spans = spans.join(tops, at)
-    within = F.coalesce(F.col("before") >= F.col("stop"), F.lit(False)) | (F.col("stop") < F.col("top"))
-    return rows.join(spans, [*at, "stop"]).select(*rows.columns, "before", (within | (F.col("chunk_id") > F.col("first_id"))).alias("covered"))
 
+def _at(block: int) -> Column:
+    return F.floor(F.col("start") / block)
 
-def container_plan(refs: DataFrame, target_bytes: int = CONTAINER_BYTES, block: int = BLOCK) -> DataFrame:
-    """Every reference with its place or the reason why it is not copied.
 
-    `copied` references have `container` (from 0 in each store), `offset` and `length` of the file's bytes in it and
-    the ids `take_start` to `take_stop` (exclusive) that count there: the part of the range that no earlier one has,
-    so that each id listed is in the containers exactly once. Others: `covered`, `empty` (no id), `unknown` (no range
-    anywhere). Containers end at the first file that reaches `target_bytes`.
+def container_entries(refs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What the containers are to hold: `store_kind`, `store`, `chunk_id`, `file`, `n_bytes`, `start`, `stop` and
+    `take_start`. From there to `stop` (exclusive) are the ids that count: the part of the range that no earlier entry
+    has, so that each id listed is in the entries exactly once.
+
+    A reference is an entry unless it holds no id, or another one of its store contains its range and is larger, or is
+    equal and has a smaller chunk_id. References of one range are combined first, so copies cost nothing more. In order
+    of start, and of equal starts the longer first, a range is contained in an earlier one if that order's running
+    maximum of stops reaches its own; it is computed in blocks of ids, so that no task holds more than one.
     """
-    refs = cut(refs)
-    ranged = cut(covered_references(refs, block))
-    keep = ranged.where("not covered").withColumns({"take_start": F.greatest("start", "before"), "take_stop": F.col("stop")})
-    keep = running_before(keep, ["store_kind", "store"], F.floor(F.col("start") / block), [F.col("start")], {"ahead": ("sum", "n_bytes")})
-    keep = keep.withColumn("ahead", F.coalesce("ahead", F.lit(0))).withColumn("container", F.floor(F.col("ahead") / target_bytes).cast("long"))
-    base = keep.groupBy("store_kind", "store", "container").agg(F.min("ahead").alias("base"))
-    copied = keep.join(base, ["store_kind", "store", "container"]).select(
-        "store_kind", "store", "chunk_id", "file", F.lit("copied").alias("state"), "container", (F.col("ahead") - F.col("base")).alias("offset"), F.col("n_bytes").alias("length"), "take_start", "take_stop"
-    )
-    none = [F.lit(None).cast("long").alias(c) for c in ("container", "offset", "length", "take_start", "take_stop")]
-    skipped = ranged.where("covered").select("store_kind", "store", "chunk_id", "file", F.lit("covered").alias("state"), *none)
-    rest = refs.where("start is null or stop is null or start >= stop").select("store_kind", "store", "chunk_id", "file", F.when(F.col("start").isNull() | F.col("stop").isNull(), "unknown").otherwise("empty").alias("state"), *none)
-    return copied.unionByName(skipped).unionByName(rest)
+    spans = refs.where("start < stop").groupBy(*_STORE, "start", "stop").agg(F.min_by(F.struct("chunk_id", "file", "n_bytes"), "chunk_id").alias("r")).select(*_STORE, "start", "stop", "r.*")
+    spans = running_before(keep(spans), _STORE, _at(block), [F.col("start"), F.desc("stop")], {"before": ("max", "stop")})
+    return spans.where("before is null or before < stop").withColumn("take_start", F.greatest("start", "before")).drop("before")
+
+
+def container_index(refs: DataFrame, target_bytes: int = CONTAINER_BYTES, block: int = BLOCK) -> DataFrame:
+    """The entries with their places: `store_kind`, `store`, `chunk_id`, `file`, `container` (from 0 in each store),
+    `offset` and `length` of the file's bytes in it, `take_start`, `take_stop`. Containers end at the first file that
+    reaches `target_bytes`."""
+    kept = running_before(keep(container_entries(refs, block)), _STORE, _at(block), [F.col("start")], {"ahead": ("sum", "n_bytes")})
+    kept = kept.withColumn("ahead", F.coalesce("ahead", F.lit(0))).withColumn("container", F.floor(F.col("ahead") / target_bytes).cast("long"))
+    base = kept.groupBy(*_STORE, "container").agg(F.min("ahead").alias("base"))
+    return kept.join(base, [*_STORE, "container"]).select(
+        *_STORE, "chunk_id", "file", "container", (F.col("ahead") - F.col("base")).alias("offset"), F.col("n_bytes").alias("length"), "take_start", F.col("stop").alias("take_stop")
+    )
+
+
+def held_elsewhere(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """The references with ids that are no entry of the containers, as other entries hold all their ids."""
+    return refs.where("start < stop").join(index.select("store_kind", "chunk_id"), ["store_kind", "chunk_id"], "left_anti")
+
+
+def container_plan(refs: DataFrame, target_bytes: int = CONTAINER_BYTES, block: int = BLOCK) -> DataFrame:
+    """Every reference with its place in the index (`state` is `copied`) or the reason why it isn't copied: `covered`
+    by another reference, `empty` (no id), `unknown` (no range anywhere)."""
+    index = keep(container_index(refs, target_bytes, block))
+    key = ["store_kind", "store", "chunk_id", "file"]
+    place = ["container", "offset", "length", "take_start", "take_stop"]
+    copied = index.select(*key, F.lit("copied").alias("state"), *place)
+    none = [F.lit(None).cast("long").alias(c) for c in place]
+    rest = refs.where("start is null or stop is null or start >= stop").select(*key, F.when(F.col("start").isNull() | F.col("stop").isNull(), "unknown").otherwise("empty").alias("state"), *none)
+    return copied.unionByName(held_elsewhere(refs, index).select(*key, F.lit("covered").alias("state"), *none)).unionByName(rest)
 
 
 INDEX = "container string, path string, offset bigint, length bigint, crc32 bigint"
@@ -108,7 +124,7 @@ def pack_files(files: DataFrame, folder: str, target_bytes: int = CONTAINER_BYTE
         import pyarrow as pa
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where, root = _file_system(fs, folder)
         where.create_dir(root)
         out, at, name, part, now, index = None, 0, "", "", None, []
 
@@ -138,6 +154,11 @@ def pack_files(files: DataFrame, folder: str, target_bytes: int = CONTAINER_BYTE
     return cut(placed.mapInArrow(write, INDEX))
 
 
+def _file_system(fs, folder: str) -> tuple:  # noqa: ANN001
+    """The file system of a path or URI and the path in it."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+
+
 def _index(pa, rows: list[tuple]):  # noqa: ANN001, ANN202
     kinds = [("container", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
@@ -150,7 +171,7 @@ def read_packed(index: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where, root = _file_system(fs, folder)
         name, source = None, None
         for batch in batches:
             rows, size, got = batch.to_pylist(), 0, []

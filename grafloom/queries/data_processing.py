@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.operators import changefeed, compaction, references, skew
-from grafloom.plans.runtime import table
+from grafloom.plans.runtime import broadcast_if_small, shared_folder, table
 from grafloom.sources import wal
 
 
@@ -25,20 +27,23 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
     log = table(spark, sf, "wal_record")
-    records, conflicts = wal.parsed(log), changefeed.conflicting(log, "bundle", "lsn", "prev_lsn")
+    conflicts = broadcast_if_small(changefeed.conflicting(log, "bundle", "lsn", "prev_lsn"))
     valid = lambda rows: changefeed.valid_changes(rows, conflicts, "bundle", "lsn", "prev_lsn")
-    return changefeed.committed_changes(valid(wal.node_changes(records)), valid(wal.commits(records)), "bundle", "tx")
+    commits = wal.commits(wal.parsed(log, [wal.COMMIT], nodes=False))
+    return changefeed.committed_changes(valid(wal.node_changes(wal.parsed(log, list(wal.NODE_OPS)))), valid(commits), "bundle", "tx")
 
 
 NODE = ["bundle", "class_name", "nid"]
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return changefeed.live_rows(_changes(spark, sf), NODE, "lsn", "op").select(*NODE, F.col("last").alias("lsn"))
+    """The live nodes, with the column `lsn` by last writer wins."""
+    return changefeed.live_rows(_changes(spark, sf), NODE, "lsn", "op", ["lsn"]).select(*NODE, "lsn")
 
 
 def p3_state(spark: SparkSession, sf: str) -> DataFrame:
-    return changefeed.last_writer_wins(_changes(spark, sf), NODE, "lsn", "op", "props", "pos")
+    changes = _changes(spark, sf).withColumn("props", F.expr(wal.fields_of("props")))
+    return changefeed.last_writer_wins(changes, NODE, "lsn", "op", "props", "pos")
 
 
 #: Salts of a heavy key, and the part of the edges (1 in so many) from which a key is heavy.
@@ -64,8 +69,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = compaction.resolved_references(table(spark, sf, "node_chunk"), "node", "nodes", "start_nid", "end_nid")
-    return nodes.unionByName(compaction.resolved_references(table(spark, sf, "edge_chunk"), "edge", "edges", "start_eid", "end_eid"))
+    nodes = compaction.references(table(spark, sf, "node_chunk"), "node", "nodes", "start_nid", "end_nid")
+    return compaction.resolved(nodes.unionByName(compaction.references(table(spark, sf, "edge_chunk"), "edge", "edges", "start_eid", "end_eid")))
 
 
 def p5_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +78,20 @@ def p5_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_plan(spark, sf).where("state = 'covered'").select("store_kind", "chunk_id")
+    """What the containers have no entry for, though it holds ids: they are held by other entries."""
+    refs = _references(spark, sf)
+    return compaction.held_elsewhere(refs, compaction.container_entries(refs)).select("store_kind", "chunk_id")
+
+
+def p5_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of all documents as files, packed into containers, looked up by the index and checked: of each file the
+    length in the index and the digest of the bytes read back, which had the index's checksum."""
+    d = table(spark, sf, "documents")
+    files = d.select(F.concat_ws("/", F.lit("documents"), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    folder = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    index = compaction.pack_files(files, folder, 1024 * 1024)
+    back = compaction.read_packed(index, folder).select("path", F.md5("content").alias("digest"))
+    return index.select("path", "length").join(back, "path")
 
 
 def p5_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,4 +99,4 @@ def p5_containers(spark: SparkSession, sf: str) -> DataFrame:
     return p5_plan(spark, sf).where("state = 'copied'").groupBy("store_kind", "store", "container").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sum(F.col("take_stop") - F.col("take_start")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_state, p4_found, p4_totals, p5_found, p5_plan, p5_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_state, p4_found, p4_totals, p5_found, p5_plan, p5_containers, p5_packed)}

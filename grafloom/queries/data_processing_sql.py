@@ -65,5 +65,6 @@ SQL = {
     "p4_found": _ENDS + "select endpoint, nid from ends where nid is not null group by all having count(*) * 100 >= (select count(*) from one)",
     "p5_plan": _REFS + "select * from plan",
     "p5_found": _REFS + "select store_kind, chunk_id from plan where state = 'covered'",
+    "p5_packed": """select 'documents/' || coalesce(lang, '-') || '/' || doc_id as path, strlen(coalesce(text, '')) :: bigint length, md5(coalesce(text, '')) digest from documents""",
     "p5_containers": _REFS + """select store_kind, store, container, count(*) :: bigint files, sum(length) :: bigint bytes, sum(take_stop - take_start) :: bigint ids from plan where state = 'copied' group by all""",
 }

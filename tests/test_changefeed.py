@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from grafloom.operators import changefeed
 from grafloom.sources import wal
 
@@ -42,7 +44,8 @@ def make(seed):
             rows += [(bundle, lsn, prev, r.choice(KINDS[op]), c.encode(), "s") for c in copies]
             if prev and r.random() < 0.1:  # left over from a lost tail: another predecessor
                 rows.append((bundle, lsn, prev - 1 if prev > 1 else 0, "DELETE_NODE" if prev > 1 else r.choice(KINDS[op]), (json.dumps({"class": cls, "nid": 0}) if prev > 1 else payload).encode(), "s"))
-            rows.append((bundle, lsn, prev, "DELETE_EDGE", json.dumps({"class": cls, "nid": 1}).encode(), "s") if False else (bundle, 10_000 + lsn, 0, "CHECKPOINT", b"", "s"))
+            rows.append((bundle, 10_000 + lsn, 0, "CHECKPOINT", b"", "s"))
+            rows.append((bundle, 20_000 + lsn, 10_000, "DELETE_EDGE", json.dumps({"class": cls, "nid": r.randrange(5)}).encode(), "s"))
             if cut or (tx is not None and tx not in done):
                 continue
             for n, p in nodes:
@@ -62,6 +65,7 @@ def make(seed):
 def changes(spark, rows):
     log = spark.createDataFrame(rows, "bundle string, lsn long, prev_lsn long, kind string, payload binary, segment string")
     conflicts, records = changefeed.conflicting(log, "bundle", "lsn", "prev_lsn"), wal.parsed(log)
+    assert wal.commits(records).exceptAll(wal.commits(wal.parsed(log, [wal.COMMIT], nodes=False))).isEmpty()
     valid = lambda x: changefeed.valid_changes(x, conflicts, "bundle", "lsn", "prev_lsn")
     return changefeed.committed_changes(valid(wal.node_changes(records)), valid(wal.commits(records)), "bundle", "tx")
 
@@ -75,7 +79,8 @@ def test_against_replay(spark):
         c = changes(spark, rows)
         assert {(r.bundle, r.class_name, r.nid): r["last"] for r in changefeed.live_rows(c, KEY, "lsn", "op").collect()} == alive
         got = {}
-        for r in changefeed.last_writer_wins(c, KEY, "lsn", "op", "props").collect():
+        assert {(r.bundle, r.class_name, r.nid): r.lsn for r in changefeed.live_rows(c, KEY, "lsn", "op", ["lsn"]).collect()} == alive
+        for r in changefeed.last_writer_wins(c.withColumn("props", F.expr(wal.fields_of("props"))), KEY, "lsn", "op", "props").collect():
             got.setdefault((r.bundle, r.class_name, r.nid), {})[r.field] = r.value
         assert got == {k: v for k, v in fields.items() if v}
 

@@ -37,8 +37,12 @@ def test_running_before(spark):
 
 def plan_of(spark, rows, **more):
     df = spark.createDataFrame(rows, "chunk_id long, local_name string, path string, row_count long, a long, b long, n_bytes long, store string")
-    refs = compaction.resolved_references(df, "node", "nodes", "a", "b")
-    return compaction.container_plan(refs, **more)
+    refs = compaction.resolved(compaction.references(df, "node", "nodes", "a", "b"))
+    plan = compaction.container_plan(refs, **more)
+    index = compaction.container_index(refs, **more)
+    assert index.exceptAll(plan.where("state = 'copied'").drop("state")).isEmpty()
+    assert {r.chunk_id for r in compaction.held_elsewhere(refs, index).collect()} == {r.chunk_id for r in plan.where("state = 'covered'").collect()}
+    return plan
 
 
 def test_plan_against_brute_force(spark):
