@@ -47,7 +47,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: int | None = None,
 
     Picks: `id`, `source`, `copy` (from 1), `size`, `finish`. Report, one row per target: `source`, `target_share`,
     `actual_share` (of the total picked; 0 if nothing is), `size`, `picks`, `documents`, `copies` (most of one
-    document), `available` (size of one copy of all), `state`: `met`, `exhausted`, `no documents`.
+    document), `available` (size of one copy of all), `state`: `met` (the share is reached, but for one document or 1 in
+    100 of it), `over` (it has the part of sources that ran out, too), `under`, `exhausted`, `no documents`.
     """
     targets = targets.select("source", "share", "cap")
     sized = cut(docs.where("id is not null and size > 0").select("id", "source", F.col("size").cast("long")).join(F.broadcast(targets.select("source")), "source", "left_semi"))
@@ -72,10 +73,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, budget: int | None = None,
     per_doc = picks.groupBy("source", "id").agg(F.count("*").alias("times"), F.sum("size").alias("size"))
     got = per_doc.groupBy("source").agg(F.sum("size").alias("size"), F.sum("times").alias("picks"), F.count("*").alias("documents"), F.max("times").alias("copies"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    report = targets.join(got, "source", "left").join(stats.select("source", F.col("all").alias("available")), "source", "left")
-    report = report.select("source", F.col("share").cast("double").alias("target_share"), F.col("cap"), *map(zero, ("size", "picks", "documents", "copies", "available")))
+    report = targets.join(got, "source", "left").join(stats.select("source", F.col("all").alias("available"), "largest"), "source", "left")
+    report = report.select("source", F.col("share").cast("double").alias("target_share"), F.col("cap"), *map(zero, ("size", "picks", "documents", "copies", "available", "largest")))
     total = report.agg(F.sum("size").alias("total"))  # one row
-    state = F.when(F.col("available") == 0, "no documents").when(F.col("size") >= F.col("available") * F.col("cap"), "exhausted").otherwise("met")
+    want = F.col("target_share") * F.col("total")
+    near = F.abs(F.col("size") - want) <= F.greatest(0.01 * want, F.col("largest"))
+    state = F.when(F.col("available") == 0, "no documents").when(F.col("size") >= F.col("available") * F.col("cap"), "exhausted").when(near, "met")
+    state = state.otherwise(F.when(F.col("size") > want, "over").otherwise("under"))
     share = F.when(F.col("total") > 0, F.col("size") / F.col("total")).otherwise(0.0)
     report = report.crossJoin(F.broadcast(total)).select("source", "target_share", share.alias("actual_share"), "size", "picks", "documents", "copies", "available", state.alias("state"))
     return picks, report

@@ -41,17 +41,26 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+def _quality(spark: SparkSession, sf: str, failing: bool) -> DataFrame:
     # common_word is a fixed table of 96 rows
     common = [r["word"] for r in table(spark, sf, "common_word").where("word is not null").select("word").distinct().orderBy("word").collect()]
-    return text_statistics(table(spark, sf, "documents"), "doc_id", "text", common)
+    return text_statistics(table(spark, sf, "documents"), "doc_id", "text", common, failing)
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _quality(spark, sf, False)
+
+
+def p8_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that break published rules and prove to be no prose, with the reasons."""
+    return _quality(spark, sf, True).where(F.size("no_prose") > 0).select("doc_id", "published", "no_prose")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_statistics(spark, sf).where(F.size("no_prose") > 0).select("doc_id")
+    return p8_reasons(spark, sf).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best, p6_ids, p7_mixture, p7_shares, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best, p6_ids, p7_mixture, p7_shares, p8_found, p8_reasons, p8_statistics)}
 
 _BEST = """
 with best as (

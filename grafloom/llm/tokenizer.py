@@ -124,8 +124,8 @@ class PrefixEncoder:
         got = self.cache.get(piece)
         if got is None:
             data = piece.encode("utf-8", "surrogatepass")
-            whole = self.ids.get(data)
-            got = (whole,) if whole is not None else tuple(self.walk(data, self.last_tokens(data, [-1])))
+            # A piece that is an entry of the vocabulary is no exception: only merges decide.
+            got = tuple(self.walk(data, self.last_tokens(data, [-1])))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             if len(data) <= 64:

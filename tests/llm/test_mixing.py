@@ -52,6 +52,9 @@ def test_against_brute_force(spark):
             assert (x.size, x.picks, x.target_share) == (sum(w[3] for w in mine), len(mine), share)
             assert x.copies <= cap
             assert abs(x.actual_share - (x.size / total if total else 0)) < 1e-12
+            if total and mine and x.state not in ("exhausted", "no documents"):
+                off = x.size - share * total
+                assert x.state == ("met" if abs(off) <= max(0.01 * share * total, max(n or 0 for _, s, n in docs if s == source)) else "over" if off > 0 else "under")
         assert got["gone"].state == "no documents"
 
 

@@ -42,7 +42,16 @@ def test_statistics(got):
     assert got["symbols"].symbol_ratio > 0.8
     for k in ("null", "empty", "blank"):
         assert (got[k].words, got[k].end_punct_share, got[k].no_prose, got[k].published) == (0, 0, [], [])
-    assert got["csv"].published == ["word_count", "stop_words", "alphabetic"] or "stop_words" in got["csv"].published
+    assert got["csv"].published == ["word_count", "stop_words", "ended_lines", "short_lines", "dropped_lines"]
+    assert got["prose"].published == ["word_count"]
+
+
+def test_closer_look_at_texts_that_break_published_rules(spark, got):
+    df = spark.createDataFrame(list(TEXTS.items()), "doc_id string, text string")
+    rows = {r.doc_id: r for r in text_statistics(df, "doc_id", "text", COMMON, failing=True).collect()}
+    assert set(rows) == {k for k, r in got.items() if set(r.published) - {"word_count"}}
+    assert all(r == got[k] for k, r in rows.items())
+    assert {k for k, r in rows.items() if r.no_prose} == set(TEXTS) - GOOD
 
 
 def test_long_text_and_empty_table(spark):
