@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from grafloom.errors import GraphError
 
@@ -114,12 +113,12 @@ class Catalog:
     def is_a(self, ref: str, base: str) -> bool:
         return self.find(base).name in self.ancestors(ref)
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps({"classes": [asdict(c) for c in self.classes.values()], "properties": [asdict(p) for p in self.properties.values()], "indexes": [asdict(i) for i in self.indexes.values()], "prefixes": self.prefixes}))
+    def to_json(self) -> str:
+        return json.dumps({"classes": [asdict(c) for c in self.classes.values()], "properties": [asdict(p) for p in self.properties.values()], "indexes": [asdict(i) for i in self.indexes.values()], "prefixes": self.prefixes})
 
     @classmethod
-    def load(cls, path: str) -> Catalog:
-        d, out = json.loads(Path(path).read_text()), cls()
+    def from_json(cls, text: str) -> Catalog:
+        d, out = json.loads(text), cls()
         out.classes = {c["name"]: ClassDef(**c) for c in d["classes"]}
         out.properties = {p["name"]: PropertyDef(**p) for p in d["properties"]}
         out.indexes = {i["name"]: IndexDef(**i) for i in d["indexes"]}

@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
-from pathlib import Path
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _infer_type
 
 from grafloom.catalog import Catalog, IndexDef, local_name
 from grafloom.errors import GraphError
 from grafloom.functions.prefix import running_before
 from grafloom.graph import CREATED, DELETED, PropertyGraph, union_all
+from grafloom.graph_api import GraphApi, Result
 from grafloom.lang.compiler import compile_query
 from grafloom.lang.parser import Query, parse
-from grafloom.operators import ontology, text, traverse, vector
-from grafloom.plans.runtime import cut
+from grafloom.operators import indexes, ontology, text, traverse, vector
+from grafloom.plans.runtime import IN_KEYS, few, keep
 from grafloom.sources import ingest
+from grafloom.storage import Store, read_text, write_text
 
 OPEN = {"nid", "gid", CREATED, DELETED}
 
@@ -35,22 +37,6 @@ class ResourceRef:
     iri: str
 
 
-class Result:
-    """A lazy result: `df`, or its rows as Arrow or dicts."""
-
-    def __init__(self, df: DataFrame) -> None:
-        self.df = df
-
-    def arrow(self):  # noqa: ANN201
-        return self.df.toArrow()
-
-    def rows(self) -> list[dict]:
-        return [r.asDict(recursive=True) for r in self.df.collect()]
-
-    def record_batches(self):  # noqa: ANN201
-        return iter(self.arrow().to_batches())
-
-
 class NodeQuery:
     """`db.nodes("C").where(x=1).select("y")`: equality filters, where None means IS NULL."""
 
@@ -82,60 +68,87 @@ class NodeQuery:
         return got[0].asDict(recursive=True) if got else None
 
 
-class Database:
-    """With a `path` (a folder that all executors share) tables are kept there as Parquet, one folder per version of a
-    table, and a manifest names the current ones; it is replaced by a rename, so a reader sees a whole state or the
-    one before. Without a path, tables live in the checkpoint folder for the session."""
+class Database(GraphApi):
+    """A graph that is kept as Parquet files which are only added to (see `Store`) below `path`, a folder or URI that all
+    executors share; a manifest names the files in use and is replaced whole, so a reader sees one state or the one
+    before. A commit fails if another writer has replaced it since. Without a path it lives in the checkpoint folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path
-        self.catalog, self.snapshots, self.lsn, self.next_gid = Catalog(), {}, 0, 0
-        self.tables: dict[str, DataFrame] = {}
-        self.files: dict[str, str] = {}
-        if path and (m := Path(path, "manifest.json")).exists():
-            d = json.loads(m.read_text())
-            self.snapshots, self.lsn, self.next_gid, self.files = d["snapshots"], d["lsn"], d["next_gid"], d["tables"]
-            self.catalog = Catalog.load(str(Path(path, d["catalog"])))
-            self.tables = {k: spark.read.parquet(f"{path}/{v}") for k, v in self.files.items()}
+        self.catalog, self.snapshots, self.lsn, self.next_gid, self.next_eid = Catalog(), {}, 0, 0, {}
+        self.store, self._graph, self._saved, self._manifest = Store(spark, path), None, None, None
+        self._built: dict[str, tuple] = {}
+        text = read_text(spark, f"{path}/manifest.json") if path else None
+        if text:
+            self._restore(text)
+            self._manifest = text
 
     # --- state
 
+    def _state(self) -> str:
+        return json.dumps({"snapshots": self.snapshots, "lsn": self.lsn, "next_gid": self.next_gid, "next_eid": self.next_eid, "tables": self.store.files, "catalog": self.catalog.to_json()})
+
+    def _restore(self, text: str) -> None:
+        d = json.loads(text)
+        self.snapshots, self.lsn, self.next_gid, self.next_eid = d["snapshots"], d["lsn"], d["next_gid"], d["next_eid"]
+        self.catalog, self.store, self._graph = Catalog.from_json(d["catalog"]), Store(self.spark, self.store.folder, d["tables"]), None
+
     @property
-    def graph(self) -> PropertyGraph:
-        part = lambda kind: {k.split("/", 1)[1]: df for k, df in self.tables.items() if k.startswith(kind)}
-        return PropertyGraph(self.spark, part("nodes/"), part("edges/"), self.catalog, None, self.snapshots)
+    def tables(self) -> dict[str, DataFrame]:
+        return {n: self.store.get(n) for n in self.store.names()}
 
-    def _put(self, name: str, df: DataFrame) -> None:
-        if self.path is None:
-            self.tables[name] = cut(df)
-            return
-        file = f"{name}/v{self.lsn}-{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(f"{self.path}/{file}")
-        self.tables[name], self.files[name] = self.spark.read.parquet(f"{self.path}/{file}"), file
+    @property
+    def graph(self) -> PropertyGraph:
+        if self._graph is None:
+            part = lambda kind: {k.split("/", 1)[1]: df for k, df in self.tables.items() if k.startswith(kind)}
+            self._graph = PropertyGraph(self.spark, part("nodes/"), part("edges/"), self.catalog, None, self.snapshots)
+        return self._graph
 
     def commit(self) -> None:
-        """Makes the state so far the one that is found when the folder is opened."""
-        if self.path is None:
+        """Makes the state so far the one that is found when the folder is opened; inside a transaction, nothing yet."""
+        self._graph = None
+        if self.path is None or self._saved is not None:
             return
-        Path(self.path).mkdir(parents=True, exist_ok=True)
-        name = f"catalog-{self.lsn}.json"
-        self.catalog.save(str(Path(self.path, name)))
-        temporary = Path(self.path, f".manifest-{os.getpid()}")
-        temporary.write_text(json.dumps({"snapshots": self.snapshots, "lsn": self.lsn, "next_gid": self.next_gid, "tables": self.files, "catalog": name}))
-        temporary.rename(Path(self.path, "manifest.json"))
+        if read_text(self.spark, f"{self.path}/manifest.json") != self._manifest:
+            raise GraphError(8002, "another writer has changed the database")
+        self._manifest = self._state()
+        write_text(self.spark, f"{self.path}/manifest.json", self._manifest)
+
+    def begin(self) -> None:
+        """Starts a transaction: what follows is kept from others until `commit_transaction`."""
+        if self._saved is not None:
+            raise GraphError(8001, "a transaction is open")
+        self._saved = self._state()
+
+    def commit_transaction(self) -> None:
+        """The first of several writers to commit wins; for the others this is an error, and their changes are undone."""
+        if self._saved is None:
+            raise GraphError(8001, "no transaction is open")
+        saved, self._saved = self._saved, None
+        try:
+            self.commit()
+        except GraphError:
+            self._restore(saved)
+            raise
+
+    def rollback(self) -> None:
+        if self._saved is None:
+            raise GraphError(8001, "no transaction is open")
+        self._restore(self._saved)
+        self._saved = None
 
     def _versioned(self, df: DataFrame) -> DataFrame:
         return df.withColumns({CREATED: F.lit(self.lsn).cast("long"), DELETED: F.lit(None).cast("long")})
 
     def _append(self, name: str, df: DataFrame) -> None:
-        old = self.tables.get(name)
-        if old is None:
-            self._put(name, df)
-            return
-        have, new = dict(old.drop(CREATED, DELETED).dtypes), dict(df.drop(CREATED, DELETED).dtypes)
-        if have != new:
-            raise GraphError(7011 if name.startswith("nodes") else 7021, f"{name} has columns {have}, not {new}")
-        self._put(name, old.unionByName(df))
+        old = self.store.get(name)
+        if old is not None:
+            have, new = dict(old.dtypes), dict(df.dtypes)
+            wrong = sorted(c for c, t in new.items() if have.get(c, t) != t)
+            if wrong:
+                raise GraphError(7011 if name.startswith("nodes") else 7021, f"{name} has other types of {', '.join(wrong)}: {have}, not {new}")
+        self.store.append(name, self._versioned(df))
+        self._graph = None
 
     def frame(self, data: DataFrame | Iterable[dict]) -> DataFrame:
         if isinstance(data, DataFrame):
@@ -143,10 +156,25 @@ class Database:
         if hasattr(data, "column_names"):  # Arrow; unsigned integers have no Spark type
             import pyarrow as pa
 
-            return self.spark.createDataFrame(data.cast(pa.schema([pa.field(f.name, pa.int64() if pa.types.is_unsigned_integer(f.type) else f.type) for f in data.schema])).to_pandas())
+            return self.spark.createDataFrame(data.cast(pa.schema([pa.field(f.name, pa.int64() if pa.types.is_unsigned_integer(f.type) else f.type) for f in data.schema])))
         rows = list(data)
         names = list(dict.fromkeys(k for r in rows for k in r))
-        return self.spark.createDataFrame([tuple(r.get(k) for k in names) for r in rows], names)
+        columns = [[r.get(k) for r in rows] for k in names]
+        # A column of nulls only has no type of its own; text takes any.
+        types = {n: StringType() if all(x is None for x in c) else _infer_type(next(x for x in c if x is not None)) for n, c in zip(names, columns, strict=True)}
+        for n, c in zip(names, columns, strict=True):
+            if types[n].typeName() == "long" and any(isinstance(x, float) for x in c):
+                types[n] = _infer_type(1.0)
+        cast = lambda x, t: float(x) if t.typeName() == "double" and isinstance(x, int) else x
+        return self.spark.createDataFrame([tuple(cast(r.get(k), types[k]) for k in names) for r in rows], StructType([StructField(n, types[n]) for n in names]))
+
+    def _batch(self, data, *ids: str) -> DataFrame:  # noqa: ANN001
+        """The rows of a call with their order in `_row`, written once; `ids` are text."""
+        df = self.frame(data)
+        missing = [c for c in ids if c not in df.columns]
+        if missing:
+            raise GraphError(7011, f"no column {', '.join(missing)}")
+        return keep(df.drop(*OPEN).withColumns({c: F.col(c).cast("string") for c in ids}).withColumn("_row", F.monotonically_increasing_id()))
 
     # --- definitions
 
@@ -190,178 +218,273 @@ class Database:
     # --- ingest
 
     def _gids(self, keys: DataFrame) -> DataFrame:
-        """`key`, `gid` for distinct new keys: dense numbers after those in use, in a fixed order, block by block."""
-        k = cut(keys.where("key is not null").distinct().withColumn("one", F.lit(1)))
-        order = [F.xxhash64("key"), F.col("key")]
-        out = running_before(k, [], F.shiftright(F.xxhash64("key"), 52), order, {"n": ("sum", "one")}).select("key", (F.coalesce("n", F.lit(0)) + self.next_gid).alias("gid"))
-        out = cut(out)
-        self.next_gid += k.count()
+        """`key`, `gid` for distinct new keys: dense numbers after those in use, in order of hash and key."""
+        k = keep(keys.where("key is not null").distinct().select("key", F.xxhash64("key").alias("h")))
+        got = k.limit(IN_KEYS + 1).collect()
+        if len(got) <= IN_KEYS:
+            n, rows = len(got), sorted((r["h"], r["key"]) for r in got)
+            out = self.spark.createDataFrame([(key, self.next_gid + i) for i, (_, key) in enumerate(rows)], "key string, gid bigint")
+        else:  # the same numbers, block by block
+            n = k.count()
+            out = running_before(k.withColumn("one", F.lit(1)), [], F.shiftright("h", 52), [F.col("h"), F.col("key")], {"n": ("sum", "one")})
+            out = keep(out.select("key", (F.coalesce("n", F.lit(0)) + self.next_gid).alias("gid")))
+        self.next_gid += n
         return out
 
-    def _index(self) -> DataFrame:
-        """`node_id`, `gid`, `node_type` of the current nodes that have an external id."""
+    def _index(self, keys: list[str] | None = None) -> DataFrame:
+        """`node_id`, `gid`, `node_type` of the current nodes that have an external id, of `keys` only if given."""
         parts = [self.graph.nodes(n).select(F.col("node_id").cast("string"), "gid", F.lit(n).alias("node_type")) for n, df in self.graph.stored_nodes.items() if "node_id" in df.columns]
-        return union_all(parts) if parts else self.spark.createDataFrame([], "node_id string, gid bigint, node_type string")
+        if not parts:
+            return self.spark.createDataFrame([], "node_id string, gid bigint, node_type string")
+        return union_all([p if keys is None else p.where(F.col("node_id").isin(keys)) for p in parts])
+
+    def _known(self, batch: DataFrame, *columns: str) -> DataFrame:
+        """The index of the nodes that `batch` names in `columns`, one row per id."""
+        named = reduce(DataFrame.union, [batch.select(F.col(c).alias("node_id")) for c in columns])
+        keys = few(named, "node_id")
+        index = self._index(keys)
+        if keys is None:
+            index = index.join(named.distinct(), "node_id", "left_semi")
+        return keep(index.groupBy("node_id").agg(F.min(F.struct("gid", "node_type")).alias("x")).select("node_id", "x.*"))
 
     def insert_nodes(self, cls: str, data) -> int:  # noqa: ANN001
         """Nodes of a defined class, without external id."""
         name = self.catalog.find(cls).name
         self.lsn += 1
-        df = cut(self.frame(data).drop(*OPEN))
-        keyed = df.withColumn("key", F.monotonically_increasing_id().cast("string"))
-        keyed = cut(keyed)
-        gids = self._gids(keyed.select("key"))
-        self._append(f"nodes/{name}", self._versioned(keyed.join(gids, "key").drop("key")))
+        df = self._batch(data).withColumn("key", F.col("_row").cast("string")).drop("_row")
+        before = self.next_gid
+        self._append(f"nodes/{name}", df.join(self._gids(df.select("key")), "key").drop("key"))
         self.commit()
-        return df.count()
+        return self.next_gid - before
 
     def insert_node_table(self, data, key: str = "node_id", type_col: str = "type") -> int:  # noqa: ANN001
-        """Rows of any classes, grouped by type; a key seen before keeps its gid and gets a further row."""
+        """Rows of any classes, grouped by type; a key seen before keeps its gid and gets a further row. A row without
+        key or type is an error, and then nothing is inserted. Returns the number of rows."""
+        df = self._batch(data, key, type_col)
+        n, bad = df.agg(F.count("*"), F.count_if(F.col(key).isNull() | F.col(type_col).isNull())).first()
+        if bad:
+            raise GraphError(7011, f"{bad} of {n} rows have no {key} or {type_col}")
         self.lsn += 1
-        df = cut(self.frame(data).withColumn(key, F.col(key).cast("string")).drop(*OPEN))
-        known = self._index().select(F.col("node_id").alias("key"), "gid").dropDuplicates(["key"])
-        fresh = self._gids(df.select(F.col(key).alias("key")).join(known, "key", "left_anti"))
-        ids = cut(known.unionByName(fresh))
-        rows = cut(df.join(ids, F.col(key) == F.col("key")).drop("key").withColumnRenamed(key, "node_id"))
+        known = self._known(df, key).select(F.col("node_id").alias("key"), "gid")
+        ids = known.unionByName(self._gids(df.select(F.col(key).alias("key")).join(known, "key", "left_anti")))
+        rows = keep(df.join(ids, F.col(key) == F.col("key")).drop("key", "_row").withColumnRenamed(key, "node_id"))
         for (t,) in rows.select(type_col).distinct().orderBy(type_col).collect():  # one per class
             self.catalog.define_class(local_name(t))
             mine = rows.where(F.col(type_col) == t).drop(type_col)
-            self._append(f"nodes/{local_name(t)}", self._versioned(_without_empty(mine, self.tables.get(f"nodes/{local_name(t)}"))))
+            self._append(f"nodes/{local_name(t)}", _without_empty(mine, self.store.get(f"nodes/{local_name(t)}")))
         self.commit()
-        return df.count()
+        return n
 
     def insert_edge_table(self, data, type_col: str = "type", src: str = "src", dst: str = "dst") -> int:  # noqa: ANN001
-        """Edges between external ids; an unknown id is an error."""
+        """Edges between external ids; an unknown or missing id is an error, and then nothing is inserted."""
+        df = self._batch(data, type_col, src, dst)
+        rows = self._with_ends(df, src, dst)
+        n, lost = rows.agg(F.count("*"), F.min(F.when(F.col("s_").isNull() | F.col("d_").isNull(), F.struct(src, dst)))).first()
+        if lost is not None:
+            raise GraphError(7021, f"unknown node in edge {tuple(lost)}")
         self.lsn += 1
-        df = cut(self.frame(data).withColumns({src: F.col(src).cast("string"), dst: F.col(dst).cast("string")}))
-        ids = cut(self._index().select("node_id", "gid").dropDuplicates(["node_id"]))
-        named = lambda end: ids.select(F.col("node_id").alias(f"{end}_key"), F.col("gid").alias(f"{end}_gid"))
-        rows = cut(df.join(named("s"), F.col(src) == F.col("s_key"), "left").join(named("d"), F.col(dst) == F.col("d_key"), "left"))
-        lost = rows.where("s_gid is null or d_gid is null").select(src, dst).limit(1).collect()
-        if lost:
-            raise GraphError(7021, f"unknown node in edge {tuple(lost[0])}")
-        rows = rows.drop(src, dst, "s_key", "d_key").withColumnsRenamed({"s_gid": "src", "d_gid": "dst"})
+        rows = rows.drop(src, dst).withColumnsRenamed({"s_": "src", "d_": "dst"})
         for (t,) in rows.select(type_col).distinct().orderBy(type_col).collect():
             self._add_edges(local_name(t), rows.where(F.col(type_col) == t).drop(type_col))
         self.commit()
-        return df.count()
+        return n
+
+    def _with_ends(self, df: DataFrame, src: str, dst: str) -> DataFrame:
+        known = self._known(df, src, dst)
+        named = lambda end, out: known.select(F.col("node_id").alias(end), F.col("gid").alias(out))
+        return keep(df.join(named(src, "s_"), src, "left").join(named(dst, "d_"), dst, "left"))
 
     def _add_edges(self, name: str, rows: DataFrame) -> None:
-        old = self.tables.get(f"edges/{name}")
+        """Appends edges; their ids go on from the last one, in order of `_row`."""
         self.catalog.define_property(name)
-        last = old.agg(F.max("eid")).first()[0] if old is not None else None
-        top = -1 if last is None else last
-        keyed = cut(rows.withColumn("id_", F.monotonically_increasing_id()).withColumn("one_", F.lit(1)))
-        keyed = running_before(keyed, [], F.shiftright("id_", 33), [F.col("id_")], {"n_": ("sum", "one_")})
-        keyed = keyed.withColumn("eid", F.coalesce("n_", F.lit(0)) + top + 1).drop("id_", "one_", "n_")
-        self._append(f"edges/{name}", self._versioned(_without_empty(keyed, old)))
+        keyed = keep(rows)
+        n, top = keyed.count(), self.next_eid.get(name, 0)
+        if n <= IN_KEYS:
+            order = {r[0]: top + i for i, r in enumerate(sorted(keyed.select("_row").collect()))}
+            eids = self.spark.createDataFrame(list(order.items()), "_row bigint, eid bigint")
+            keyed = keyed.join(eids, "_row").drop("_row")
+        else:
+            keyed = running_before(keyed.withColumn("one_", F.lit(1)), [], F.shiftright("_row", 33), [F.col("_row")], {"n_": ("sum", "one_")})
+            keyed = keyed.withColumn("eid", F.coalesce("n_", F.lit(0)) + top).drop("_row", "one_", "n_")
+        self.next_eid[name] = top + n
+        self._append(f"edges/{name}", _without_empty(keyed, self.store.get(f"edges/{name}")))
 
     def upsert_node_table(self, data, key: str = "node_id", type_col: str = "type", update_existing: bool = True) -> dict[str, int]:  # noqa: ANN001
-        """Merge by key: given columns override, others keep their value, and the gid stays. Replaced versions are
-        ended, not rewritten, so older snapshots still see them. A key repeated in one batch: the later row (the
-        greater one, if the rows have no order) counts as an update."""
+        """Merge by key: given columns override, others keep their value, and the gid stays.
+
+        Replaced versions are ended, not rewritten, so older snapshots still see them. Of a key repeated in one batch the
+        last row counts (a DataFrame's rows are taken in its order), the others count as updates. A key given with
+        another class than it has moves there with its values. Rows without key or type count as failed.
+        """
         self.lsn += 1
-        df = cut(self.frame(data).withColumn(key, F.col(key).cast("string")).drop(*OPEN))
-        bad = df.where(F.col(key).isNull() | F.col(type_col).isNull()).count()
-        df = df.where(F.col(key).isNotNull() & F.col(type_col).isNotNull())
-        values = [c for c in df.columns if c not in (key, type_col)]
-        one = cut(df.groupBy(F.col(key).alias("node_id"), F.col(type_col).alias("type_")).agg(F.max(F.struct(*values)).alias("v"), F.count("*").alias("n_")).select("node_id", "type_", "v.*", "n_"))
-        index = cut(self._index().dropDuplicates(["node_id"]))
-        known = index.join(one.select("node_id"), "node_id", "left_semi").count()
-        repeats = df.count() - one.count()
-        fresh = one.join(index.select("node_id"), "node_id", "left_anti")
-        counts = {"inserted": fresh.count(), "updated": known + repeats if update_existing else 0, "skipped": 0 if update_existing else known + repeats, "failed": bad}
-        gids = index.select("node_id", "gid").unionByName(self._gids(fresh.select(F.col("node_id").alias("key"))).withColumnRenamed("key", "node_id"))
-        batch = cut((one if update_existing else fresh).drop("n_").join(gids, "node_id"))
-        for (t,) in batch.select("type_").distinct().orderBy("type_").collect():
-            name = f"nodes/{local_name(t)}"
-            self.catalog.define_class(local_name(t))
-            self._merge(name, batch.where(F.col("type_") == t).drop("type_"), ["node_id"], ["gid"])
+        df = self._batch(data, key, type_col)
+        values = [c for c in df.columns if c not in (key, type_col, "_row")]
+        ok = F.col(key).isNotNull() & F.col(type_col).isNotNull()
+        last = F.max_by(F.struct(F.element_at(F.split(type_col, "[/#:]"), -1).alias("type_"), *values), "_row")
+        one = keep(df.where(ok).groupBy(F.col(key).alias("node_id")).agg(last.alias("v"), F.count("*").alias("n_")).select("node_id", "v.*", "n_"))
+        known = self._known(one, "node_id")
+        j = keep(one.join(known.withColumnRenamed("node_type", "was_"), "node_id", "left"))
+        rows, keys, old = j.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.count("*"), F.count("gid")).first()
+        again = rows - (keys - old)  # rows for keys that were there, or came earlier in the batch
+        counts = {"inserted": keys - old, "updated": again if update_existing else 0, "skipped": 0 if update_existing else again, "failed": df.where(~ok).count()}
+        if not update_existing:
+            j = j.where("gid is null")
+        fresh = self._gids(j.where("gid is null").select(F.col("node_id").alias("key"))).withColumnsRenamed({"gid": "new_"})
+        batch = keep(j.join(fresh, F.col("node_id") == F.col("key"), "left").withColumn("gid", F.coalesce("gid", "new_")).drop("key", "new_", "n_"))
+        for r in batch.groupBy("type_").agg(F.collect_set("was_").alias("was")).orderBy("type_").collect():  # one per class
+            self.catalog.define_class(r["type_"])
+            mine = batch.where(F.col("type_") == r["type_"]).drop("type_", "was_")
+            self._merge(f"nodes/{r['type_']}", mine, "gid", [f"nodes/{w}" for w in r["was"]])
         self.commit()
         return counts
 
-    def _merge(self, name: str, batch: DataFrame, keys: list[str], fixed: list[str]) -> None:
-        old = self.tables.get(name)
-        if old is None:
-            self._put(name, self._versioned(batch))
-            return
-        live, dead = old.where(F.col(DELETED).isNull()), old.where(F.col(DELETED).isNotNull())
-        columns = [*[c for c in old.columns if c not in (CREATED, DELETED)], *[c for c in batch.columns if c not in old.columns]]
-        ended = live.join(batch.select(*keys), keys, "left_semi").withColumn(DELETED, F.lit(self.lsn).cast("long"))
-        stay = live.join(batch.select(*keys), keys, "left_anti")
-        was = live.select(*keys, *[F.col(c).alias(f"{c}_was") for c in columns if c in live.columns and c not in keys])
-        merged = batch.join(was, keys, "left")
-
-        def value(c: str) -> Column:
-            if c in keys:
-                return F.col(c)
-            if c in batch.columns and c not in fixed:
-                return F.col(c)
-            return F.coalesce(F.col(f"{c}_was"), F.col(c)) if c in batch.columns and f"{c}_was" in merged.columns else F.col(c if c in batch.columns else f"{c}_was")
-
-        new = self._versioned(merged.select(*[value(c).alias(c) for c in columns]))
-        self._put(name, union_all([x.drop() for x in (dead, ended, stay, new)]))
+    def _merge(self, name: str, batch: DataFrame, key: str, was: list[str]) -> None:
+        """Ends the live rows of `batch`'s keys in the tables `was`, and appends them to `name` with the batch's values."""
+        ids = few(batch, key)
+        live = []
+        for t in was:
+            rows = self.store.get(t).where(F.col(DELETED).isNull())
+            rows = rows.join(batch.select(key), key, "left_semi") if ids is None else rows.where(F.col(key).isin(ids))
+            live.append((t, keep(rows)))
+        new = batch
+        if live:
+            old = union_all([df.drop(DELETED) for _, df in live])
+            # Of several live rows of a key the last one counts.
+            old = old.groupBy(key).agg(F.max_by(F.struct(*[c for c in old.columns if c not in (key, CREATED)]), CREATED).alias("w_"))
+            kept = [c for c in old.schema["w_"].dataType.names if c not in batch.columns]
+            new = batch.join(old, key, "left").select(*batch.columns, *[F.col(f"w_.{c}").alias(c) for c in kept])
+        new = keep(new)
+        for t, df in live:
+            self.store.end(t, df, self.lsn)
+        self._append(name, _without_empty(new, self.store.get(name)))
 
     def upsert_edge_table(self, data, type_col: str = "type", src: str = "src", dst: str = "dst") -> dict[str, int]:  # noqa: ANN001
-        """Merge of edges by type, source, target, and index_name and metric where given."""
+        """Merge of edges by type, source, target, and index_name and metric where given. The last of repeated rows counts;
+        rows without type or with an unknown end count as failed."""
         self.lsn += 1
-        df = self.frame(data)
-        keys = [c for c in ("index_name", "metric") if c in df.columns]
-        ids = cut(self._index().select("node_id", "gid").dropDuplicates(["node_id"]))
-        rows = df.join(ids.select(F.col("node_id").alias(src), F.col("gid").alias("s_")), src, "left").join(ids.select(F.col("node_id").alias(dst), F.col("gid").alias("d_")), dst, "left")
-        rows = cut(rows.drop(src, dst).withColumnsRenamed({"s_": "src", "d_": "dst"}))
-        failed = rows.where("src is null or dst is null").count()
-        rows = rows.where("src is not null and dst is not null")
-        total = {"inserted": 0, "updated": 0, "skipped": 0, "failed": failed}
+        df = self._batch(data, type_col, src, dst)
+        keys = ["src", "dst", *[c for c in ("index_name", "metric") if c in df.columns]]
+        rows = self._with_ends(df, src, dst).drop(src, dst).withColumnsRenamed({"s_": "src", "d_": "dst"})
+        ok = F.col(type_col).isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()
+        total = {"inserted": 0, "updated": 0, "skipped": 0, "failed": rows.where(~ok).count()}
+        rows = rows.where(ok)
         for (t,) in rows.select(type_col).distinct().orderBy(type_col).collect():
-            name, by = local_name(t), ["src", "dst", *keys]
+            name = local_name(t)
             mine = rows.where(F.col(type_col) == t).drop(type_col)
-            values = [c for c in mine.columns if c not in by]
-            one = mine.groupBy(*by).agg(*([F.max(F.struct(*values)).alias("v")] if values else [F.count("*").alias("c_")]))
-            one = cut(one.select(*by, "v.*") if values else one.select(*by))
-            old = self.tables.get(f"edges/{name}")
-            shared = [k for k in by if old is None or k in old.columns]
-            hit = one.limit(0) if old is None else one.join(old.where(F.col(DELETED).isNull()).select(*shared), shared, "left_semi")
-            known, size = hit.count(), one.count()
+            values = [c for c in mine.columns if c not in keys]
+            one = keep(mine.groupBy(*keys).agg(F.max_by(F.struct(*values), "_row").alias("v"), F.count("*").alias("n_")).select(*keys, "v.*", "n_"))
+            old = self.store.get(f"edges/{name}")
+            if old is None:
+                hit = one.withColumn("eid", F.lit(None).cast("long"))
+            else:
+                shared = [k for k in keys if k in old.columns]
+                same = reduce(lambda a, b: a & b, [one[k].eqNullSafe(F.col(f"{k}_was")) for k in shared])
+                hit = one.join(old.where(F.col(DELETED).isNull()).select(*[F.col(k).alias(f"{k}_was") for k in shared], "eid"), same, "left").drop(*[f"{k}_was" for k in shared])
+            hit = keep(hit)
+            n, size, known = hit.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.count("*"), F.count("eid")).first()
             total["inserted"] += size - known
-            total["updated"] += mine.count() - (size - known)
-            fresh = one if old is None else one.join(hit.select(*shared), shared, "left_anti")
+            total["updated"] += n - (size - known)
             if known:
-                eids = old.where(F.col(DELETED).isNull()).select(*shared, "eid")
-                self._merge(f"edges/{name}", cut(hit.join(eids, shared)), shared, ["eid"])
+                self._merge(f"edges/{name}", hit.where("eid is not null").drop("n_", "_row"), "eid", [f"edges/{name}"])
             if size > known:
-                self._add_edges(name, fresh)
+                self._add_edges(name, hit.where("eid is null").drop("n_", "eid"))
         self.commit()
         return total
 
-    def insert_triples(self, triples) -> dict[str, int]:  # noqa: ANN001
-        """Triples of strings or numbers (rows or a DataFrame `subject, predicate, object`) as nodes and edges."""
-        nodes, edges = ingest.lower_triples(self.frame([{"subject": s, "predicate": p, "object": str(o)} for s, p, o in triples]) if not isinstance(triples, DataFrame) else triples)
-        counts = {"nodes": 0, "edges": 0}
+    def delete_nodes(self, cls: str, gids: DataFrame) -> int:
+        """Ends the live rows of a class with these `gid`s, and the edges from and to them."""
+        self.lsn += 1
+        gids, n = keep(gids.select("gid").distinct()), 0
+        for name in [f"nodes/{self.catalog.find(cls).name}", *[t for t in self.store.names() if t.startswith("edges/")]]:
+            live = self.store.get(name).where(F.col(DELETED).isNull())
+            if name.startswith("nodes/"):
+                gone = live.join(gids, "gid", "left_semi")
+            else:
+                ends = lambda c: live.join(gids, F.col(c) == gids["gid"], "left_semi").select("eid", CREATED)  # noqa: B023, E731
+                gone = ends("src").union(ends("dst")).distinct()
+            gone = keep(gone)
+            count = gone.count()
+            n += count if name.startswith("nodes/") else 0
+            if count:
+                self.store.end(name, gone, self.lsn)
+        self.commit()
+        return n
+
+    def _nodes_of_triples(self, nodes: dict[str, DataFrame]) -> int:
+        """Merges nodes; an id that was only referred to (`_placeholder`) is left alone if it is known."""
+        known, n = self._index(), 0
         for name, df in nodes.items():
+            n += df.count()
+            if "_placeholder" in df.columns:
+                df = df.where(~F.col("_placeholder")).unionByName(df.where("_placeholder").join(known.select("node_id"), "node_id", "left_anti"))
             self.upsert_node_table(df.withColumn("type", F.lit(name)))
-            counts["nodes"] += df.count()
-        if edges is not None:
-            counts["edges"] = self.insert_edge_table(edges)
-        return counts
+        return n
+
+    def insert_triples(self, triples) -> dict[str, int]:  # noqa: ANN001
+        """Triples of strings or numbers (rows or a DataFrame `subject, predicate, object`) as nodes and edges. Of several
+        literals of one property the last counts; `replaced` is the number of the others."""
+        given = triples if isinstance(triples, DataFrame) else self.frame([{"subject": s, "predicate": p, "object": str(o)} for s, p, o in triples])
+        nodes, edges, replaced = ingest.lower_triples(keep(given.withColumn("_row", F.monotonically_increasing_id())), self._index().select("node_id", F.col("node_type").alias("known_")))
+        return {"nodes": self._nodes_of_triples(nodes), "edges": self.insert_edge_table(edges) if edges is not None else 0, "replaced": replaced}
 
     def import_ntriples(self, path: str, default_class: str = "Resource") -> dict[str, int]:
         triples, skipped = ingest.read_ntriples(self.spark, path)
-        nodes, edges = ingest.lower_ntriples(triples, default_class)
-        for name, df in nodes.items():
-            self.upsert_node_table(df.withColumn("type", F.lit(name)))
-        n = self.insert_edge_table(edges) if edges is not None and not edges.isEmpty() else 0
-        return {"nodes": sum(df.count() for df in nodes.values()), "edges": n, "skipped": skipped}
-
-    def import_resource(self, obj) -> None:  # noqa: ANN001
-        """A dict or triple in one of the known shapes: see `ingest.shape_of`."""
-        kind, data = ingest.shape_of(obj)
-        if kind == "node":
-            self.upsert_node_table([data])
-        elif kind == "edge":
-            self.insert_edge_table([data])
-        else:
-            self.insert_triples([data])
+        nodes, edges, replaced = ingest.lower_ntriples(triples, default_class, self._index().select("node_id", F.col("node_type").alias("known_")))
+        n = self._nodes_of_triples(nodes)
+        return {"nodes": n, "edges": self.insert_edge_table(edges) if edges is not None and not edges.isEmpty() else 0, "skipped": skipped, "replaced": replaced}
+
+    def ingest_nodes_from_parquet(self, cls: str, path: str, column_map: dict[str, str] | None = None, types: dict[str, str] | None = None, max_rejected: int | None = None) -> dict:
+        """Loads files into a class; rows with values of the wrong type are set aside. `accepted`, `rejected`, and the
+        latter as `quarantine`. More than `max_rejected` of them are an error, and nothing is loaded."""
+        good, bad = ingest.nodes_from_parquet(self.spark, path, column_map, types)
+        bad = self._rejected(bad, max_rejected)
+        self.catalog.define_class(local_name(cls))
+        n = self.insert_nodes(cls, good) if "node_id" not in good.columns else self.insert_node_table(good.withColumn("type", F.lit(local_name(cls))))
+        return {"accepted": n, "rejected": bad.count(), "quarantine": bad}
+
+    def ingest_edges_from_parquet(self, relation: str, path: str, column_map: dict[str, str] | None = None, types: dict[str, str] | None = None, max_rejected: int | None = None) -> dict:
+        """The same for edges whose `src` and `dst` are gids."""
+        good, bad = ingest.edges_from_parquet(self.spark, path, column_map, types)
+        bad = self._rejected(bad, max_rejected)
+        self.lsn += 1
+        df = self._batch(good)
+        self._add_edges(local_name(relation), df)
+        self.commit()
+        return {"accepted": df.count(), "rejected": bad.count(), "quarantine": bad}
+
+    @staticmethod
+    def _rejected(bad: DataFrame, most: int | None) -> DataFrame:
+        bad = keep(bad)
+        if most is not None and (n := bad.count()) > most:
+            raise GraphError(7032, f"{n} rows rejected, more than {most}")
+        return bad
+
+    def import_resources(self, objects: Iterable, policy: str = "merge") -> dict[str, int]:
+        """Dicts or triples in the known shapes (see `ingest.shape_of`), in batches by shape: nodes first. With the policy
+        `merge` a known node takes the new values, with `skip` it stays as it is, with `error` it is an error."""
+        if policy not in ("merge", "skip", "error"):
+            raise GraphError(7060, f"unknown policy {policy!r}")
+        shaped: dict[str, list] = {"node": [], "edge": [], "triple": []}
+        for o in objects:
+            kind, data = ingest.shape_of(o)
+            shaped[kind].append(data)
+        if policy == "error" and shaped["node"]:
+            hit = self._index([str(d["node_id"]) for d in shaped["node"]]).limit(1).collect()
+            if hit:
+                raise GraphError(7061, f"{hit[0]['node_id']!r} exists")
+        out = {"nodes": 0, "edges": 0}
+        if shaped["node"]:
+            counts = self.upsert_node_table(shaped["node"], update_existing=policy != "skip")
+            out["nodes"] += counts["inserted"] + counts["updated"]
+        if shaped["triple"]:
+            counts = self.insert_triples(shaped["triple"])
+            out = {k: out[k] + counts[k] for k in out}
+        if shaped["edge"]:
+            out["edges"] += self.insert_edge_table(shaped["edge"])
+        return out
+
+    def import_resource(self, obj, policy: str = "merge") -> dict[str, int]:  # noqa: ANN001
+        return self.import_resources([obj], policy)
 
     # --- reading
 
@@ -423,15 +546,46 @@ class Database:
     def capabilities() -> dict:
         return {"language": ["MATCH", "OPTIONAL MATCH", "WHERE", "WITH", "UNWIND", "CALL", "RETURN", "AS_OF"], "vector_metrics": sorted(vector.METRICS), "path_scores": list(traverse.SCORES), "engine": "spark"}
 
-    # --- indexes: definitions only; Parquet statistics and cached tables do the work
+    # --- indexes: stored tables, built when they are first used and again after their class has changed
 
     def _define_index(self, d: IndexDef) -> IndexDef:
         old = self.catalog.indexes.get(d.name)
         if old is not None and old != d:
             raise GraphError(7090, f"index {d.name!r} exists with another definition")
         self.catalog.indexes[d.name] = d
+        self.commit()
         return d
 
+    def _index_def(self, name: str, kind: str) -> IndexDef:
+        i = self.catalog.indexes.get(name)
+        if i is None or i.kind != kind:
+            raise GraphError(7090, f"no {kind} index {name!r}")
+        return i
+
+    def built(self, name: str) -> dict | vector.InvertedFile:
+        """The stored form of an index over the class as it is now."""
+        i = self.catalog.indexes.get(name)
+        if i is None:
+            raise GraphError(7090, f"no index {name!r}")
+        state = json.dumps(self.store.files.get(f"nodes/{self.catalog.find(i.node_type).name}"))
+        have = self._built.get(name)
+        if have is None or have[0] != state:
+            nodes, folder = self.graph.nodes(i.node_type), f"{self.store.folder}/indexes/{name}-{uuid.uuid4().hex}"
+            if i.kind == "text":
+                made = indexes.build_text(nodes, i.columns, folder)
+            elif i.kind == "property":
+                made = indexes.build_property(nodes, i.columns[0], folder)
+            else:
+                made = vector.InvertedFile(nodes, "gid", i.columns[0], folder=folder)
+            have = self._built[name] = (state, made)
+        return have[1]
+
+    def is_stale(self, name: str) -> bool:
+        """Whether an index has to be built (again) before it is used."""
+        i = self.catalog.indexes[name]
+        have = self._built.get(name)
+        return have is None or have[0] != json.dumps(self.store.files.get(f"nodes/{self.catalog.find(i.node_type).name}"))
+
     def create_property_index(self, name: str, node_type: str, column: str) -> IndexDef:
         return self._define_index(IndexDef(name, "property", node_type, [column]))
 
@@ -443,12 +597,19 @@ class Database:
             raise GraphError(7091, f"{node_type}.{column} has vectors without {dim} numbers")
         return self._define_index(IndexDef(name, "vector", node_type, [column], {"dim": dim, "metric": metric}))
 
+    def rebuild_vector_index(self, name: str) -> None:
+        self._index_def(name, "vector")
+        self._built.pop(name, None)
+        self.built(name)
+
     def create_text_index(self, name: str, node_type: str, columns: list[str]) -> IndexDef:
         return self._define_index(IndexDef(name, "text", node_type, columns))
 
     def drop_index(self, name: str) -> None:
         if self.catalog.indexes.pop(name, None) is None:
             raise GraphError(7090, f"no index {name!r}")
+        self._built.pop(name, None)
+        self.commit()
 
     def list_indexes(self, kind: str | None = None) -> list[IndexDef]:
         return [i for i in self.catalog.indexes.values() if kind in (None, i.kind)]
@@ -457,46 +618,66 @@ class Database:
         return {i.name: (i.node_type, i.columns[0], i.options["metric"]) for i in self.list_indexes("vector")}
 
     def property_lookup(self, name: str, value) -> DataFrame:  # noqa: ANN001
-        i = self.catalog.indexes[name]
-        return self.graph.nodes(i.node_type).where(F.col(i.columns[0]).eqNullSafe(F.lit(value)))
+        """The nodes with a value (None: without one), found by the index."""
+        i = self._index_def(name, "property")
+        hits = indexes.property_gids(self.spark, self.built(name), value)
+        gids = few(hits, "gid")
+        nodes = self.graph.nodes(i.node_type)
+        return nodes.join(hits, "gid", "left_semi") if gids is None else nodes.where(F.col("gid").isin(gids))
 
     def text_search(self, index: str, query: str, top_k: int = 10) -> DataFrame:
-        i = self.catalog.indexes[index]
-        return text.text_search(text.text_entries(self.graph.nodes(i.node_type), i.columns), query, top_k)
-
-    def vector_search(self, index: str, query: list[float], top_k: int = 10, filters: dict | None = None, boosts: list[dict] | None = None) -> DataFrame:
-        i = self.catalog.indexes[index]
-        if len(query) != i.options["dim"]:
-            raise GraphError(6061, f"the query has {len(query)} numbers, the index {i.options['dim']}")
-        return vector.vector_search(self.graph.nodes(i.node_type), i.columns[0], query, top_k, i.options["metric"], filters, boosts, self.graph.adjacency(None, "both") if boosts else None)
+        return text.text_search(self.text_hits(index, query), query, top_k)
+
+    def vector_search(self, index: str, query: list[float], top_k: int = 10, filters: dict | None = None, boosts: list[dict] | None = None, probes: int | None = None, return_properties: Iterable[str] | None = None) -> DataFrame:
+        """The nearest nodes: by a scan, which is exact, or with `probes` (cosine only) in so many lists of the index.
+        Entities of boosts are external ids or gids."""
+        rows, column, q = self._vectors(index, query)
+        i = self._index_def(index, "vector")
+        for b in boosts or []:
+            if "entities" in b:
+                b["entities"] = [r["gid"] for r in self._refs(b["entities"]).collect()]
+        if probes is not None:
+            if i.options["metric"] != "cosine":
+                raise GraphError(6062, "lists are by cosine")
+            rows = self.built(index).near(q, probes)
+        return self._with_properties(vector.vector_search(rows, column, q, top_k, i.options["metric"], filters, boosts, lambda gids: self.graph.adjacency(None, "both", only=gids, properties=False)), "gid", return_properties)
 
     # --- versions, inference, exchange
 
     def create_snapshot(self, name: str) -> int:
-        g = self.graph
-        g.create_snapshot(name, self.lsn)
-        self.snapshots = g.snapshots
+        self.graph.create_snapshot(name, self.lsn)
+        self.snapshots = self.graph.snapshots
         self.commit()
         return self.lsn
 
+    def list_snapshots(self) -> dict[str, int]:
+        return dict(self.snapshots)
+
+    def release_snapshot(self, name: str) -> None:
+        self.graph.release_snapshot(name)
+        self.snapshots = self.graph.snapshots
+        self.commit()
+
+    def at(self, snapshot: str | int) -> PropertyGraph:
+        return self.graph.at(snapshot)
+
     def infer_closure(self, names: list[str]) -> dict:
+        """Adds the edges that the characteristics of properties imply, as new versions of their own."""
         self.lsn += 1
         g, report = ontology.infer_closure(self.graph, names)
         for n in names:
             if report[n]["added"]:
-                df = g.stored_edges[n]
-                self._put(f"edges/{n}", df.withColumn(CREATED, F.coalesce(CREATED, F.lit(self.lsn).cast("long"))))
+                new = g.stored_edges[n].where(F.col(CREATED).isNull() & F.coalesce("_inferred", F.lit(False))).drop(CREATED, DELETED, "eid")
+                self._add_edges(n, new.withColumn("_row", F.monotonically_increasing_id()))
         self.commit()
         return report
 
 
 def _without_empty(df: DataFrame, like: DataFrame | None) -> DataFrame:
-    """`df` with the columns of the table it goes to, if there is one and it lacks some."""
-    if like is None:
-        return df
-    for f in like.schema.fields:
-        if f.name not in df.columns and f.name not in (CREATED, DELETED):
-            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-    extra = [c for c in df.columns if c not in like.columns]
-    empty = df.agg(*[F.count(c).alias(c) for c in extra]).first() if extra else ()
-    return df.drop(*[c for c, n in zip(extra, empty, strict=True) if not n])
+    """`df` without columns that are null throughout and that the table it goes to doesn't have; of the table's types where
+    a column of nulls has another one."""
+    have = {} if like is None else dict(like.dtypes)
+    doubtful = [c for c, t in df.dtypes if (like is not None and c not in have) or have.get(c, t) != t]
+    empty = df.agg(*[F.count(c).alias(c) for c in doubtful]).first() if doubtful else ()
+    nulls = {c for c, n in zip(doubtful, empty, strict=True) if not n}
+    return df.drop(*[c for c in nulls if c not in have]).withColumns({c: F.lit(None).cast(have[c]) for c in nulls if c in have})

@@ -38,15 +38,23 @@ class FeatureView:
         return {"lookups": len(self.times), "p50_ms": float(np.percentile(t, 50)), "p99_ms": float(np.percentile(t, 99))}
 
 
-def gnn_subgraph(g: PropertyGraph, seeds: list[int], fanouts: list[int], edge_types: list[str], direction: str = "out", strategy: str = "uniform", seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def gnn_subgraph(g: PropertyGraph, seeds: list[int], fanouts: list[int], edge_types: list[str], direction: str = "out", strategy: str = "uniform", seed: int = 0, replace: bool = False, max_nodes: int | None = None, max_edges: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """`edge_index` (2 by edges, local numbers) and `n_id` (gids): the seeds, then the other nodes, in gid order.
 
-    A mini-batch: its size is bounded by the seeds and fanouts, so it goes to the driver.
+    A mini-batch: its size is bounded by the seeds and fanouts, so it goes to the driver. With `max_nodes` or `max_edges`
+    the first so many in order of layer, source, relation and edge id; edges to nodes left out are left out, too.
     """
     frame = g.spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "gid bigint")
-    edges = sample_layers(g, frame, fanouts, edge_types, direction, strategy, seed).toPandas()
+    edges = sample_layers(g, frame, fanouts, edge_types, direction, strategy, seed, replace).toPandas().sort_values(["layer", "src", "edge_type", "eid"], kind="stable")
     first = list(dict.fromkeys(seeds))
-    rest = sorted({*edges["src"], *edges["dst"]} - set(first))
+    if max_nodes is not None:
+        order = list(dict.fromkeys([*first, *edges[["src", "dst"]].to_numpy().ravel().tolist()]))[:max_nodes]
+        edges, first = edges[edges["src"].isin(order) & edges["dst"].isin(order)], [s for s in first if s in set(order)]
+    else:
+        order = [*first, *edges["src"], *edges["dst"]]
+    if max_edges is not None:
+        edges = edges[:max_edges]
+    rest = sorted(set(order) - set(first))
     n_id = np.array([*first, *rest], np.int64)
     local = {n: i for i, n in enumerate(n_id.tolist())}
     index = np.array([[local[x] for x in edges["src"]], [local[x] for x in edges["dst"]]], np.int64).reshape(2, -1)

@@ -11,21 +11,24 @@ from grafloom.graph import PropertyGraph
 from grafloom.operators.text import text_search
 from grafloom.operators.traverse import path_score, simple_paths, steps_of
 from grafloom.operators.vector import vector_search
-from grafloom.plans.runtime import cut
+from grafloom.plans.runtime import few, keep
 
 LINK_WEIGHTS = {"exact_phrase": 1.0, "canonical_phrase": 1.0, "alias_phrase": 0.9, "token_overlap": 0.45, "semantic": 0.35, "degree_prior": 0.05, "evidence_chunk_prior": 0.15}
 EVIDENCE_WEIGHTS = {"path_weight": 0.55, "seed_score": 0.30, "depth_penalty": 0.15}
 
 
-def link_entities(g: PropertyGraph, query: str, entries: DataFrame, top_k: int = 5, policies: dict | None = None, vectors: tuple[DataFrame, str, list[float]] | None = None, chunk_type: str = "Chunk") -> DataFrame:
+def link_entities(g: PropertyGraph, query: str, entries: DataFrame | None, top_k: int = 5, policies: dict | None = None, vectors: tuple[DataFrame, str, list[float]] | None = None, chunk_type: str = "Chunk") -> DataFrame:
     """Entities that a text names: `gid`, `score`, `lexical_score`, `semantic_score`, `graph_prior_score`, `kind`,
     `text`, `rank`.
 
-    Text hits are weighted by kind and property (canonical name, alias, other exact, rest); vector hits by
+    `entries` are texts of nodes, or those of them that share a token with the query (None: no texts). Text hits are
+    weighted by kind and property (canonical name, alias, other exact, rest); vector hits by
     `semantic`; priors are x / (1 + x) of the degree and of the number of distinct chunks next to the entity.
     """
     w = LINK_WEIGHTS | (policies or {})
     inner = max(4 * top_k, 16)
+    if entries is None:
+        entries = g.spark.createDataFrame([], "gid bigint, property string, pos int, text string, norm string, tokens array<string>")
     hits = text_search(entries, query, inner)
     full = F.col("kind").isin("exact", "normalized")
     weight = F.when(full & (F.col("property") == "canonical_name"), w["canonical_phrase"]).when(full & (F.col("property") == "aliases"), w["alias_phrase"]).when(full, w["exact_phrase"]).otherwise(w["token_overlap"])
@@ -36,8 +39,8 @@ def link_entities(g: PropertyGraph, query: str, entries: DataFrame, top_k: int =
         found = found.join(near, "gid", "full")
     else:
         found = found.withColumn("semantic_score", F.lit(0.0))
-    found = cut(found)  # at most 2 * inner rows
-    near = g.adjacency(None, "both").join(F.broadcast(found.select("gid")), F.col("node") == F.col("gid"))
+    found = keep(found)  # at most 2 * inner rows
+    near = g.adjacency(None, "both", only=few(found, "gid"), properties=False).select(F.col("node").alias("gid"), "next")
     chunks = near.join(g.node_index([chunk_type]).select(F.col("gid").alias("c")), F.col("next") == F.col("c"), "left")
     prior = chunks.groupBy("gid").agg(F.count("*").alias("d"), F.count_distinct("c").alias("n"))
     bounded = lambda c: F.coalesce(F.col(c) / (1.0 + F.col(c)), F.lit(0.0))
@@ -86,20 +89,20 @@ def graphrag_search(
     g: PropertyGraph, query: str, entries: DataFrame, vectors: tuple[DataFrame, str, list[float]], top_k: int = 8, edge_types: list[str] | None = None, direction: str = "out", max_depth: int = 2, scoring: dict | None = None,
 ) -> GraphRAGResult:
     """Links entities, searches chunks by vector with a boost for chunks next to them, follows evidence from both."""
-    links = cut(link_entities(g, query, entries, top_k))
+    links = keep(link_entities(g, query, entries, top_k))
     entities = [r["gid"] for r in links.select("gid").collect()]  # top_k rows
     boosts = [{"signal": "mentions_entity", "entities": entities, "weight": (scoring or {}).get("entity_link", 0.25)}] if entities else None
     rows, column, q = vectors
-    semantic = cut(vector_search(rows, column, q, top_k, boosts=boosts, adjacency=g.adjacency(None, "both"), oversample=4))
+    semantic = keep(vector_search(rows, column, q, top_k, boosts=boosts, adjacency=lambda gids: g.adjacency(None, "both", only=gids, properties=False), oversample=4))
     seeds = semantic.select("gid", F.col("score").alias("seed_score"), F.lit(0).alias("first")).unionByName(links.select("gid", F.col("score").alias("seed_score"), F.lit(1).alias("first")))
     seeds = seeds.groupBy("gid").agg(F.max_by("seed_score", "first").alias("seed_score"))  # an entity's score goes first
-    seeds = cut(seeds.withColumn("pos", F.col("gid")))
-    evidence = cut(evidence_search(g, seeds, edge_types=edge_types, direction=direction, max_depth=max_depth, top_k=top_k * 4, scoring=scoring))
+    seeds = keep(seeds.withColumn("pos", F.col("gid")))
+    evidence = keep(evidence_search(g, seeds, edge_types=edge_types, direction=direction, max_depth=max_depth, top_k=top_k * 4, scoring=scoring))
     semantic_part = semantic.select(F.col("gid").alias("target"), F.col("score").alias("semantic"))
     merged = evidence.select("target", F.col("score").alias("evidence")).join(semantic_part, "target", "full")
     merged = merged.select("target", F.greatest("evidence", "semantic").alias("score"), "evidence", "semantic")
     order = [F.desc("score"), F.col("target")]
-    chunks = cut(merged.withColumn("rank", F.row_number().over(Window.orderBy(*order))))  # 5 * top_k rows at most
+    chunks = keep(merged.withColumn("rank", F.row_number().over(Window.orderBy(*order))))  # 5 * top_k rows at most
     cited = chunks.where(F.col("rank") <= top_k)
     profile = {"entities": len(entities), "semantic_hits": semantic.count(), "evidence": evidence.count(), "fallback_flags": []}
     return GraphRAGResult(links, semantic, chunks, cited, evidence.select("seed", "target", "path_node_ids", "path_edge_ids", "path_edge_types", "score"), profile)

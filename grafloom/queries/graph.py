@@ -298,7 +298,7 @@ def _chunk_vectors(spark: S, sf: str, g) -> DataFrame:  # noqa: ANN001
 def vector_search_boosted(spark: S, sf: str) -> DataFrame:
     g = store_graph(spark, sf)
     boosts = [{"signal": "degree", "weight": 0.001}, {"signal": "edge_weight_sum", "weight": 0.01}, {"signal": "mentions_entity", "weight": 0.25, "entities": [7, 19]}]
-    r = vector.vector_search(_chunk_vectors(spark, sf, g), "embedding", _query(spark, sf), 10, boosts=boosts, adjacency=g.adjacency(KNOWLEDGE, "both"))
+    r = vector.vector_search(_chunk_vectors(spark, sf, g), "embedding", _query(spark, sf), 10, boosts=boosts, adjacency=lambda gids: g.adjacency(KNOWLEDGE, "both", only=gids, properties=False))
     return _round(r.select("gid", "node_id", "score", "vector_score", "graph_boost_score", "rank"), "score", "vector_score", "graph_boost_score")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grafloom.catalog import local_name
 from grafloom.errors import GraphError
+from grafloom.plans.runtime import keep
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 #: A line of N-Triples: subject, predicate, object (IRI, blank node or literal).
@@ -38,42 +39,65 @@ def _unescaped(c: Column) -> Column:
     return c
 
 
-def lower_ntriples(triples: DataFrame, default_class: str) -> tuple[dict[str, DataFrame], DataFrame | None]:
-    """Nodes by class (one row per subject or object, literals as columns) and edges `src, dst, type`."""
-    local = lambda c: F.regexp_extract(c, "([^/#:]*)$", 1)
-    types = triples.where(F.col("predicate") == RDF_TYPE).groupBy(F.col("subject").alias("node_id")).agg(F.min(local("object")).alias("type"))
+_LOCAL = "([^/#:]*)$"
+
+
+def _wide(ids: DataFrame, literals: DataFrame) -> tuple[DataFrame, int]:
+    """`ids` with a column per property (`node_id`, `name`, `value`, `_row`): the last value of each, and how many values
+    others replaced."""
+    one = keep(literals.groupBy("node_id", "name").agg(F.max_by("value", "_row").alias("value"), F.count("*").alias("n")))
+    names = [r[0] for r in one.select("name").distinct().orderBy("name").collect()]  # properties, few
+    replaced = one.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    return (ids.join(one.groupBy("node_id").pivot("name", names).agg(F.first("value")), "node_id", "left") if names else ids), replaced
+
+
+def _by_class(nodes: DataFrame) -> dict[str, DataFrame]:
+    nodes = keep(nodes)
+    return {r[0]: nodes.where(F.col("type") == r[0]).drop("type") for r in nodes.select("type").distinct().orderBy("type").collect()}
+
+
+def lower_ntriples(triples: DataFrame, default_class: str, known: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame | None, int]:
+    """Nodes by class (one row per subject or object, literals as columns, the last of several), edges `src, dst, type`,
+    and the number of literals that later ones replaced. Ids without a type keep the class that they have in `known`
+    (`node_id`, `known_`)."""
+    local = lambda c: F.regexp_extract(c, _LOCAL, 1)
+    triples = keep(triples.withColumn("_row", F.monotonically_increasing_id()))
+    types = triples.where(F.col("predicate") == RDF_TYPE).groupBy(F.col("subject").alias("node_id")).agg(F.max_by(local("object"), "_row").alias("type"))
     ids = triples.select(F.col("subject").alias("node_id")).union(triples.where(f"predicate <> '{RDF_TYPE}'").select("object")).where("node_id is not null").distinct()
-    typed = ids.join(types, "node_id", "left").fillna(default_class, ["type"])
-    literals = triples.where("literal is not null").select(F.col("subject").alias("node_id"), local("predicate").alias("name"), "literal")
-    names = [r[0] for r in literals.select("name").distinct().orderBy("name").collect()]  # properties, few
-    wide = literals.groupBy("node_id").pivot("name", names).agg(F.min("literal")) if names else None
-    nodes = typed if wide is None else typed.join(wide, "node_id", "left")
-    out = {r[0]: nodes.where(F.col("type") == r[0]).drop("type") for r in typed.select("type").distinct().orderBy("type").collect()}
+    typed = _typed(ids, types, known, F.lit(default_class))
+    nodes, replaced = _wide(typed, triples.where("literal is not null").select(F.col("subject").alias("node_id"), local("predicate").alias("name"), F.col("literal").alias("value"), "_row"))
     edges = triples.where(f"object is not null and predicate <> '{RDF_TYPE}'").select(F.col("subject").alias("src"), F.col("object").alias("dst"), local("predicate").alias("type"))
-    return out, edges
+    return _by_class(nodes), edges, replaced
+
+
+def _typed(ids: DataFrame, types: DataFrame, known: DataFrame | None, default: Column) -> DataFrame:
+    out = ids.join(types, "node_id", "left")
+    if known is None:
+        return out.withColumn("type", F.coalesce("type", default))
+    return out.join(known.groupBy("node_id").agg(F.min("known_").alias("known_")), "node_id", "left").withColumn("type", F.coalesce("type", "known_", default)).drop("known_")
 
 
-def lower_triples(triples: DataFrame) -> tuple[dict[str, DataFrame], DataFrame | None]:
-    """Loose triples: `rdf:type`, `type` or `a` give the class, else the id's prefix (`employee/E1`: Employee);
-    objects that look like ids (`<..>`, with `://`, `urn:`, `/` or a colon in a word) are edges, others properties.
-    Objects never seen as a subject become nodes with `_placeholder` true."""
+def lower_triples(triples: DataFrame, known: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame | None, int]:
+    """Loose triples: `rdf:type`, `type` or `a` give the class, else the class in `known` (`node_id`, `known_`), else the
+    id's prefix (`employee/E1`: Employee); objects that look like ids (`<..>`, with `://`, `urn:`, `/` or a colon in a
+    word) are edges, others properties, of which the last value (`_row`) counts. Objects never seen as a subject become
+    nodes with `_placeholder` true. Nodes by class, edges, and the number of values that later ones replaced."""
     t = triples.where("subject is not null and predicate is not null and object is not null")
+    if "_row" not in t.columns:
+        t = t.withColumn("_row", F.monotonically_increasing_id())
     is_type = F.col("predicate").isin("rdf:type", "type", "a", RDF_TYPE)
     resource = F.col("object").rlike(r"^<.*>$|://|^urn:|^[^\s/]+/[^\s/]+$|^[A-Za-z_]\w*:\S+$")
     strip = lambda c: F.regexp_replace(c, "^<|>$", "")
-    t = t.select(strip("subject").alias("node_id"), strip("predicate").alias("predicate"), strip("object").alias("object"), is_type.alias("is_type"), resource.alias("resource"))
-    local = lambda c: F.regexp_extract(c, "([^/#:]*)$", 1)
+    t = keep(t.select(strip("subject").alias("node_id"), strip("predicate").alias("predicate"), strip("object").alias("object"), is_type.alias("is_type"), resource.alias("resource"), "_row"))
+    local = lambda c: F.regexp_extract(c, _LOCAL, 1)
     guess = F.initcap(F.regexp_extract("node_id", "([^/#:]+)[/#:][^/#:]*$", 1))
-    types = t.where("is_type").groupBy("node_id").agg(F.min(local("object")).alias("type"))
+    types = t.where("is_type").groupBy("node_id").agg(F.max_by(local("object"), "_row").alias("type"))
     edges = t.where("not is_type and resource").select(F.col("node_id").alias("src"), F.col("object").alias("dst"), local("predicate").alias("type"))
     subjects = t.select("node_id").distinct().withColumn("_placeholder", F.lit(False))
     ends = edges.select(F.col("dst").alias("node_id")).distinct().join(subjects, "node_id", "left_anti").withColumn("_placeholder", F.lit(True))
-    ids = subjects.unionByName(ends).join(types, "node_id", "left").withColumn("type", F.coalesce("type", F.when(guess != "", guess), F.lit("Resource")))
-    literals = t.where("not is_type and not resource").select("node_id", local("predicate").alias("name"), "object")
-    names = [r[0] for r in literals.select("name").distinct().orderBy("name").collect()]
-    nodes = ids.join(literals.groupBy("node_id").pivot("name", names).agg(F.min("object")), "node_id", "left") if names else ids
-    out = {r[0]: nodes.where(F.col("type") == r[0]).drop("type") for r in ids.select("type").distinct().orderBy("type").collect()}
-    return out, None if edges.isEmpty() else edges
+    ids = _typed(subjects.unionByName(ends), types, known, F.coalesce(F.when(guess != "", guess), F.lit("Resource")))
+    nodes, replaced = _wide(ids, t.where("not is_type and not resource").select("node_id", local("predicate").alias("name"), F.col("object").alias("value"), "_row"))
+    return _by_class(nodes), None if edges.isEmpty() else edges, replaced
 
 
 def shape_of(obj) -> tuple[str, dict | tuple]:  # noqa: ANN001

@@ -12,40 +12,40 @@ def ids(rows, *names):
 @pytest.fixture(scope="module")
 def db(spark):
     d = Database(spark)
-    d.insert_node_table([{"node_id": i, "type": t, "name": n, "w": w} for i, t, n, w in (("g1", "Gene", "TP53", 1.0), ("g2", "Gene", "BRCA1", 2.0), ("g3", "Gene", "EGFR", None), ("t1", "Tissue", "liver", 3.0), ("t2", "Tissue", "lung", 4.0))])
-    d.insert_edge_table([{"src": s, "dst": t, "type": "expressed_in", "weight": w} for s, t, w in (("g1", "t1", 0.5), ("g1", "t2", 0.7), ("g2", "t1", 0.9))])
+    d.insert_node_table([{"node_id": i, "type": t, "name": n, "w": w} for i, t, n, w in (("g1", "Plant", "alder", 1.0), ("g2", "Plant", "birch", 2.0), ("g3", "Plant", "cedar", None), ("t1", "Plot", "north", 3.0), ("t2", "Plot", "south", 4.0))])
+    d.insert_edge_table([{"src": s, "dst": t, "type": "grows_in", "weight": w} for s, t, w in (("g1", "t1", 0.5), ("g1", "t2", 0.7), ("g2", "t1", 0.9))])
     return d
 
 
 def test_query_language(db):
-    rows = db.sql("MATCH (g:Gene)-[:expressed_in]->(t:Tissue) RETURN g.name, t.name AS tissue ORDER BY tissue").rows()
-    assert ids(rows, "name", "tissue") == [("BRCA1", "liver"), ("TP53", "liver"), ("TP53", "lung")]
-    assert db.sql('MATCH (g:Gene) WHERE g.name = $n RETURN degree(g, "expressed_in") AS d', {"n": "TP53"}).rows() == [{"d": 2}]
-    assert db.sql("MATCH (g:Gene) RETURN g.w ORDER BY w DESC LIMIT 2").rows() == [{"w": 2.0}, {"w": 1.0}]
-    assert db.sql("MATCH (g:Gene) WHERE g.w > 100 RETURN count(*) AS n").rows() == [{"n": 0}]
-    for bad, code in (("MATCH (g:Nope) RETURN g", 6070), ("MATCH (g:Gene)-[:nope]->(x) RETURN g", 6023), ("MATCH (g:Gene) RETURN g.nope", 6020), ("MATCH (g:Gene)", 6020), ("MATCH (g:Gene RETURN g", 2001), ("MATCH (g) WHERE # RETURN g", 1001)):
+    rows = db.sql("MATCH (g:Plant)-[:grows_in]->(t:Plot) RETURN g.name, t.name AS plot ORDER BY plot").rows()
+    assert ids(rows, "name", "plot") == [("alder", "north"), ("alder", "south"), ("birch", "north")]
+    assert db.sql('MATCH (g:Plant) WHERE g.name = $n RETURN degree(g, "grows_in") AS d', {"n": "alder"}).rows() == [{"d": 2}]
+    assert db.sql("MATCH (g:Plant) RETURN g.w ORDER BY w DESC LIMIT 2").rows() == [{"w": 2.0}, {"w": 1.0}]
+    assert db.sql("MATCH (g:Plant) WHERE g.w > 100 RETURN count(*) AS n").rows() == [{"n": 0}]
+    for bad, code in (("MATCH (g:Nope) RETURN g", 6070), ("MATCH (g:Plant)-[:nope]->(x) RETURN g", 6023), ("MATCH (g:Plant) RETURN g.nope", 6020), ("MATCH (g:Plant)", 6020), ("MATCH (g:Plant RETURN g", 2001), ("MATCH (g) WHERE # RETURN g", 1001)):
         with pytest.raises(GraphError) as e:
             db.sql(bad)
         assert e.value.code == code, bad
 
 
 def test_fluent_and_predicates(db):
-    assert db.nodes("Gene").where(w=None).select("name").rows() == [{"name": "EGFR"}]
-    assert db.nodes("Gene").where(name="TP53").count() == 1
-    assert db.query_nodes("Gene", "w >= 2").count() == 1
-    assert db.query_nodes("Gene", "name = 'TP53'", "w").first()["w"] == 1.0
+    assert db.nodes("Plant").where(w=None).select("name").rows() == [{"name": "cedar"}]
+    assert db.nodes("Plant").where(name="alder").count() == 1
+    assert db.query_nodes("Plant", "w >= 2").count() == 1
+    assert db.query_nodes("Plant", "name = 'alder'", "w").first()["w"] == 1.0
     with pytest.raises(GraphError):
-        db.query_nodes("Gene", "name ~ x")
-    assert db.resource("t1").node_type == "Tissue"
+        db.query_nodes("Plant", "name ~ x")
+    assert db.resource("t1").node_type == "Plot"
     with pytest.raises(GraphError):
         db.resource("zzz")
-    assert "TP53" in export.turtle(db.graph, "g1")
-    assert "expressed_in" in export.turtle(db.graph, "g1")
+    assert "alder" in export.turtle(db.graph, "g1")
+    assert "grows_in" in export.turtle(db.graph, "g1")
 
 
 def test_unknown_ends(db):
     with pytest.raises(GraphError) as e:
-        db.insert_edge_table([{"src": "g1", "dst": "nope", "type": "expressed_in", "weight": 1.0}])
+        db.insert_edge_table([{"src": "g1", "dst": "nope", "type": "grows_in", "weight": 1.0}])
     assert e.value.code == 7021
 
 
@@ -84,7 +84,7 @@ def test_statements(spark):
     assert ids(rows, "name", "class_iri") == [("l1", "local:Liver"), ("l2", "local:Liver"), ("o1", "local:Organ")]
     with pytest.raises(GraphError):
         d.execute("INSERT Liver { other: 'x' }")
-    d.execute("INSERT TRIPLES { emp/e1 a Person . emp/e1 name \"Ann\" . }") if False else d.insert_triples([("employee/E1", "rdf:type", "Employee"), ("employee/E1", "name", "Ann"), ("employee/E1", "knows", "employee/E2"), ("employee/E2", "knows", "person/P3")])
+    d.insert_triples([("employee/E1", "rdf:type", "Employee"), ("employee/E1", "name", "Ann"), ("employee/E1", "knows", "employee/E2"), ("employee/E2", "knows", "person/P3")])
     assert d.catalog.ancestors("Liver") == ["Liver", "Organ"]
     assert d.node_table("Employee").where("node_id = 'employee/E1'").first()["name"] == "Ann"
     report = d.infer_closure(["knows"])["knows"]
@@ -99,7 +99,7 @@ def test_ntriples(spark, tmp_path):
     f = tmp_path / "x.nt"
     f.write_text('<http://x/a> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://x/Person> .\n# note\n<http://x/a> <http://x/name> "An\\"n"@en .\n<http://x/a> <http://x/knows> <http://x/b> .\n_:q <http://x/knows> <http://x/b> .\n')
     d = Database(spark)
-    assert d.import_ntriples(str(f)) == {"nodes": 2, "edges": 1, "skipped": 1}
+    assert d.import_ntriples(str(f)) == {"nodes": 2, "edges": 1, "skipped": 1, "replaced": 0}
     assert d.node_table("Person").first()["name"] == 'An"n'
     f.write_text("nonsense\n")
     with pytest.raises(GraphError) as e:
@@ -130,11 +130,118 @@ def test_indexes(db, spark):
     assert [r.node_id for r in d.vector_search("v", [1.0, 0.0, 0.0], 3, {"source_type": "document"}).orderBy("rank").collect()] == ["c0", "c2"]
     rows = d.sql("CALL vector.search('v', [1.0, 0.0, 0.0], 2) YIELD node_id, score, rank RETURN node_id, rank ORDER BY rank").rows()
     assert [r["node_id"] for r in rows] == ["c0", "c2"]
-    db.create_text_index("t", "Gene", ["name"])
-    assert db.text_search("t", "tp53", 3).first()["kind"] == "normalized"
-    db.create_property_index("p", "Gene", "name")
-    assert db.property_lookup("p", "EGFR").count() == 1
+    db.create_text_index("t", "Plant", ["name"])
+    assert db.text_search("t", "Alder", 3).first()["kind"] == "normalized"
+    db.create_property_index("p", "Plant", "name")
+    assert db.property_lookup("p", "cedar").count() == 1
     assert [i.name for i in db.list_indexes()] == ["t", "p"]
     db.drop_index("p")
     with pytest.raises(GraphError):
         db.drop_index("p")
+
+
+def rows_of(df, *names):
+    return sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
+def test_insert_refuses_rows_without_key(spark):
+    d = Database(spark)
+    for bad in ([{"node_id": "a", "type": "E"}, {"node_id": None, "type": "E"}], [{"node_id": "a", "type": None}, {"node_id": "b", "type": "E"}]):
+        with pytest.raises(GraphError) as e:
+            d.insert_node_table(bad)
+        assert e.value.code == 7011
+    assert d.tables == {}
+    assert d.upsert_node_table([{"node_id": "a", "type": "E"}, {"node_id": None, "type": "E"}]) == {"inserted": 1, "updated": 0, "skipped": 0, "failed": 1}
+
+
+def test_the_later_of_repeated_rows_counts(spark):
+    d = Database(spark)
+    d.insert_node_table([{"node_id": "r", "type": "E", "x": 5.0}, {"node_id": "s", "type": "E", "x": 5.0}])
+    assert d.upsert_node_table([{"node_id": "r", "type": "E", "x": 9.0}, {"node_id": "r", "type": "E", "x": 1.0}, {"node_id": "n", "type": "E", "x": 2.0}, {"node_id": "n", "type": "E", "x": 1.0}]) == {"inserted": 1, "updated": 3, "skipped": 0, "failed": 0}
+    assert rows_of(d.node_table("E"), "node_id", "x") == [("n", 1.0), ("r", 1.0), ("s", 5.0)]
+    edges = [{"src": "r", "dst": "s", "type": "R", "weight": w} for w in (9.0, 1.0)]
+    assert d.upsert_edge_table(edges) == {"inserted": 1, "updated": 1, "skipped": 0, "failed": 0}
+    assert d.upsert_edge_table([*edges[::-1], {"src": "r", "dst": "zzz", "type": "R", "weight": 1.0}]) == {"inserted": 0, "updated": 2, "skipped": 0, "failed": 1}
+    assert rows_of(d.edge_table("R"), "eid", "weight") == [(0, 9.0)]
+
+
+def test_a_key_that_changes_class_moves(spark):
+    d = Database(spark)
+    d.insert_node_table([{"node_id": "a", "type": "E", "x": 1, "only": "e"}, {"node_id": "b", "type": "F", "x": 2}])
+    gid = d.resource("a").gid
+    d.create_snapshot("before")
+    assert d.upsert_node_table([{"node_id": "a", "type": "F", "x": 7}]) == {"inserted": 0, "updated": 1, "skipped": 0, "failed": 0}
+    assert rows_of(d.node_table("E"), "node_id") == []
+    assert rows_of(d.node_table("F").na.fill("-"), "node_id", "x", "only", "gid") == [("a", 7, "e", gid), ("b", 2, "-", d.resource("b").gid)]
+    assert rows_of(d.at("before").nodes("E"), "node_id", "x") == [("a", 1)]
+
+
+def test_triples_keep_classes_and_count_replaced_values(spark):
+    d = Database(spark)
+    assert d.insert_triples([("e/1", "a", "Person"), ("e/1", "tag", "x"), ("e/1", "tag", "y"), ("e/1", "tag", "w")]) == {"nodes": 1, "edges": 0, "replaced": 2}
+    assert d.insert_triples([("q/2", "knows", "e/1")]) == {"nodes": 2, "edges": 1, "replaced": 0}
+    assert rows_of(d.graph.node_index(), "node_id", "node_type") == [("e/1", "Person"), ("q/2", "Q")]
+    assert rows_of(d.node_table("Person"), "node_id", "tag", "_placeholder") == [("e/1", "w", False)]
+    d.execute('INSERT TRIPLES { e:x3 a Person . e:x3 tag "z" . e:x3 knows e:x4 . }')
+    assert d.node_table("Person").count() == 2
+    assert d.edge_table("knows").count() == 2
+
+
+def test_appends_rewrite_nothing(spark, tmp_path):
+    d = Database(spark, str(tmp_path / "db"))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "db").rglob("*.parquet")}
+    d.insert_node_table([{"node_id": f"n{i}", "type": "E", "x": i} for i in range(50)])
+    for batch in ([{"node_id": "n1", "type": "E", "x": -1}], [{"node_id": "m", "type": "E", "y": "new"}], [{"node_id": "n1", "type": "E", "x": -2}]):
+        before = files()
+        d.upsert_node_table(batch)
+        assert before.items() <= files().items()
+    got = {r["node_id"]: (r["x"], r["y"]) for r in Database(spark, str(tmp_path / "db")).node_table("E").collect()}
+    assert len(got) == 51
+    assert (got["n1"], got["n2"], got["m"]) == ((-2, None), (2, None), (None, "new"))
+    d.store.compact("nodes/E")
+    d.commit()
+    assert {r["node_id"]: (r["x"], r["y"]) for r in Database(spark, str(tmp_path / "db")).node_table("E").collect()} == got
+    assert d.graph.at(1).nodes("E").where("node_id = 'n1'").first()["x"] == 1
+
+
+def test_transactions(spark, tmp_path):
+    d = Database(spark, str(tmp_path / "db"))
+    d.insert_node_table([{"node_id": "a", "type": "E", "x": 1}])
+    d.begin()
+    d.upsert_node_table([{"node_id": "a", "type": "E", "x": 2}])
+    assert Database(spark, str(tmp_path / "db")).node_table("E").first()["x"] == 1
+    d.rollback()
+    assert d.node_table("E").first()["x"] == 1
+    other = Database(spark, str(tmp_path / "db"))
+    d.begin()
+    d.upsert_node_table([{"node_id": "a", "type": "E", "x": 3}])
+    other.upsert_node_table([{"node_id": "a", "type": "E", "x": 4}])
+    with pytest.raises(GraphError) as e:
+        d.commit_transaction()
+    assert e.value.code == 8002
+    assert d.node_table("E").first()["x"] == 1
+    assert Database(spark, str(tmp_path / "db")).node_table("E").first()["x"] == 4
+    with pytest.raises(GraphError):
+        d.rollback()
+
+
+def test_loading_files_with_bad_rows(spark, tmp_path):
+    spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3")], "node_id string, n string").write.parquet(str(tmp_path / "n"))
+    d = Database(spark)
+    with pytest.raises(GraphError):
+        d.ingest_nodes_from_parquet("E", str(tmp_path / "n"), types={"n": "int"}, max_rejected=0)
+    r = d.ingest_nodes_from_parquet("E", str(tmp_path / "n"), types={"n": "int"})
+    assert (r["accepted"], r["rejected"], r["quarantine"].first()["node_id"]) == (2, 1, "b")
+    gids = [x["gid"] for x in d.node_table("E").collect()]
+    spark.createDataFrame([(gids[0], gids[1]), (None, 1)], "src long, dst long").write.parquet(str(tmp_path / "e"))
+    r = d.ingest_edges_from_parquet("R", str(tmp_path / "e"))
+    assert (r["accepted"], r["rejected"], d.edge_table("R").count()) == (1, 1, 1)
+
+
+def test_import_policies(spark):
+    d = Database(spark)
+    assert d.import_resources([{"id": "a", "type": "E", "x": 1}, {"src": "a", "dst": "b", "type": "R"}, {"labels": ["E"], "id": "b", "properties": {"x": 2}}, ("b", "likes", "a/c")]) == {"nodes": 4, "edges": 2}
+    assert d.import_resource({"id": "a", "type": "E", "x": 5}, "skip") == {"nodes": 0, "edges": 0}
+    with pytest.raises(GraphError):
+        d.import_resource({"id": "a", "type": "E", "x": 5}, "error")
+    assert d.node_table("E").where("node_id = 'a'").first()["x"] == 1
