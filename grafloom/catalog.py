@@ -110,6 +110,16 @@ class Catalog:
         rest = [n for n in self.classes if n != base and base in self.ancestors(n)]
         return [base, *rest] if reflexive else rest
 
+    def subproperties(self, ref: str) -> list[str]:
+        """A property and all below it."""
+        out, todo = [], [local_name(ref)]
+        while todo:
+            n = todo.pop(0)
+            if n not in out:
+                out.append(n)
+                todo += [p.name for p in self.properties.values() if n in map(local_name, p.parents)]
+        return out
+
     def is_a(self, ref: str, base: str) -> bool:
         return self.find(base).name in self.ancestors(ref)
 

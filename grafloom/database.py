@@ -19,11 +19,11 @@ from grafloom.errors import GraphError
 from grafloom.functions.prefix import running_before
 from grafloom.graph import CREATED, DELETED, PropertyGraph, union_all
 from grafloom.graph_api import GraphApi, Result
-from grafloom.lang.compiler import compile_query
-from grafloom.lang.parser import Query, parse
+from grafloom.lang.compiler import Compiler, compile_query
+from grafloom.lang.parser import Clause, Node, Pattern, Query, Statement, parse
 from grafloom.operators import indexes, ontology, text, traverse, vector
 from grafloom.plans.runtime import IN_KEYS, few, keep
-from grafloom.sources import ingest
+from grafloom.sources import export, ingest
 from grafloom.storage import Store, read_text, write_text
 
 OPEN = {"nid", "gid", CREATED, DELETED}
@@ -181,39 +181,156 @@ class Database(GraphApi):
     def define_class(self, name: str, iri: str | None = None, parents: list[str] | None = None):  # noqa: ANN201
         return self.catalog.define_class(name, iri, parents)
 
-    def execute(self, script: str) -> list:
-        """Runs statements; queries give a `Result`."""
+    def execute(self, script: str, params: dict | None = None) -> list:
+        """Runs statements; queries give a `Result`, updates and deletes the number of nodes and edges."""
         out = []
         for s in parse(script):
-            if isinstance(s, Query):
-                from grafloom.lang.compiler import Compiler
+            got = Result(Compiler(self.graph, params, self._vector_indexes()).run(s)) if isinstance(s, Query) else self._statement(s, params)
+            if got is not None:
+                out.append(got)
+        return out
 
-                out.append(Result(Compiler(self.graph, None, self._vector_indexes()).run(s)))
+    def _statement(self, s: Statement, params: dict | None):  # noqa: ANN202
+        d = s.data
+        if s.kind == "prefix":
+            self.catalog.prefixes[d["name"]] = d["iri"]
+        elif s.kind == "create_class":
+            return self.catalog.define_class(local_name(d["name"]), d["name"] if ":" in d["name"] else None, d["parents"], d["fields"], d["required"])
+        elif s.kind == "create_property":
+            return self.catalog.define_property(local_name(d["name"]), kind=d["kind"], characteristics=d["characteristics"], domain=d["domain"], range=d["range"])
+        elif s.kind == "create_snapshot":
+            self.create_snapshot(d["name"])
+        elif s.kind == "create_index":
+            return self._create_index(d)
+        elif s.kind == "drop_index":
+            self.drop_index(d["name"])
+        elif s.kind == "insert":
+            values = {k: v[1] for k, v in d["props"].items() if v[0] == "lit"}
+            missing = [r for r in self.catalog.find(d["class"]).required if r not in values]
+            if missing or len(values) != len(d["props"]):
+                raise GraphError(9501, f"{d['class']} needs literals for {missing or list(d['props'])}")
+            self.insert_nodes(d["class"], [values])
+        elif s.kind == "insert_triples":
+            self.insert_triples([tuple(x[1] for x in t) for t in d["triples"]])
+        elif s.kind == "infer":
+            return self.infer_closure(d["names"])
+        elif s.kind in ("explain", "profile"):
+            return (self.explain_query if s.kind == "explain" else self.profile_query)(d["query"])
+        elif s.kind == "update":
+            return self._update(d["query"], d["sets"], params)
+        elif s.kind == "delete":
+            return self._delete(d["query"], d["aliases"], params)
+        elif s.kind == "merge":
+            return self._merge_node(d, params)
+        elif s.kind == "export":
+            return self._export(d)
+        else:
+            {"begin": self.begin, "commit": self.commit_transaction, "rollback": self.rollback}[s.kind]()
+        return None
+
+    def _create_index(self, d: dict) -> IndexDef:
+        cls = self.catalog.find(d["class"]).name
+        name, options = d["name"] or f"{cls}_{'_'.join(d['columns'])}_{d['kind'].lower()}", d["options"]
+        if d["kind"] in ("HNSW", "IVF", "VECTOR"):
+            size = options.get("dim") or options.get("dimension") or self.graph.nodes(cls).where(F.col(d["columns"][0]).isNotNull()).select(F.size(d["columns"][0])).first()[0]
+            return self.create_vector_index(name, cls, d["columns"][0], size, options.get("metric", "cosine"))
+        if d["kind"] in ("TEXT", "FULLTEXT"):
+            return self.create_text_index(name, cls, d["columns"])
+        if d["kind"] in ("BTREE", "HASH", "BITMAP", "PROPERTY"):
+            return self.create_property_index(name, cls, d["columns"][0])
+        raise GraphError(7090, f"unknown kind of index {d['kind']}")
+
+    def _found(self, q: Query, params: dict | None) -> Compiler:
+        c = Compiler(self.graph, params, self._vector_indexes())
+        c.body(q)
+        return c
+
+    def _tables_of(self, c: Compiler, alias: str) -> tuple[str, list[str]]:
+        """The key of an alias's rows, and the tables that may hold them."""
+        if alias in c.labels:
+            return "gid", [f"nodes/{n}" for n in c.labels[alias]]
+        if alias in c.edges:
+            return "eid", [t for t in self.store.names() if t.startswith("edges/")]
+        raise GraphError(3001, f"unknown name {alias}")
+
+    def _update(self, q: Query, sets: list[tuple[tuple, tuple]], params: dict | None) -> int:
+        """New versions of the matched nodes and edges with the given values, all computed from the state before. Of
+        several values for one row the greatest counts."""
+        c = self._found(q, params)
+        rows = keep(c._with_degrees([e for _, e in sets], c.df))
+        c.df, n, todo = rows, 0, []
+        for alias in dict.fromkeys(t[1][0] for t, _ in sets):
+            key, tables = self._tables_of(c, alias)
+            new = {t[1][1]: c.expr(e) for t, e in sets if t[1][0] == alias}
+            if {"gid", "eid", "node_id", "src", "dst"} & set(new):
+                raise GraphError(6020, "ids can't be set")
+            which = [F.col(f"`{alias}.type`").alias("t_")] if key == "eid" else []
+            per = rows.select(F.col(f"`{alias}.{key}`").alias(key), *which, *[v.alias(k) for k, v in new.items()]).where(F.col(key).isNotNull())
+            todo.append((key, tables, keep(per.groupBy(key, *["t_"] * len(which)).agg(F.max(F.struct(*new)).alias("v")).select(key, *["t_"] * len(which), "v.*"))))
+        self.lsn += 1
+        for key, tables, batch in todo:
+            for t in tables:
+                mine = batch.where(F.col("t_") == t.split("/", 1)[1]).drop("t_") if "t_" in batch.columns else batch
+                live, types = self.store.get(t).where(F.col(DELETED).isNull()), dict(self.store.get(t).dtypes)
+                mine = keep(mine.join(live.select(key), key, "left_semi").select(*[F.col(x).cast(types[x]).alias(x) if x in types else x for x in mine.columns]))
+                count = mine.count()
+                if count:
+                    n += count
+                    self._merge(t, mine, key, [t])
+        self.commit()
+        return n
+
+    def _delete(self, q: Query, aliases: list[str], params: dict | None) -> int:
+        """Ends the matched nodes, with their edges, and edges. The number of those named, without the nodes' edges."""
+        c, n = self._found(q, params), 0
+        rows, todo = keep(c.df), []
+        for alias in aliases:
+            key, tables = self._tables_of(c, alias)
+            todo.append((key, tables, rows.select(F.col(f"`{alias}.{key}`").alias(key), *([F.col(f"`{alias}.type`").alias("t_")] if key == "eid" else [])).where(F.col(key).isNotNull()).distinct()))
+        for key, tables, ids in todo:
+            if key == "gid":
+                n += sum(self.delete_nodes(t.split("/", 1)[1], ids) for t in tables)
                 continue
-            d = s.data
-            if s.kind == "prefix":
-                self.catalog.prefixes[d["name"]] = d["iri"]
-            elif s.kind == "create_class":
-                out.append(self.catalog.define_class(local_name(d["name"]), d["name"] if ":" in d["name"] else None, d["parents"], d["fields"], d["required"]))
-            elif s.kind == "create_property":
-                out.append(self.catalog.define_property(local_name(d["name"]), kind=d["kind"], characteristics=d["characteristics"], domain=d["domain"], range=d["range"]))
-            elif s.kind == "create_snapshot":
-                self.create_snapshot(d["name"])
-            elif s.kind == "insert":
-                values = {k: v[1] for k, v in d["props"].items() if v[0] == "lit"}
-                missing = [r for r in self.catalog.find(d["class"]).required if r not in values]
-                if missing or len(values) != len(d["props"]):
-                    raise GraphError(9501, f"{d['class']} needs literals for {missing or list(d['props'])}")
-                self.insert_nodes(d["class"], [values])
-            elif s.kind == "insert_triples":
-                self.insert_triples([tuple(x[1] for x in t) for t in d["triples"]])
-            elif s.kind == "infer":
-                out.append(self.infer_closure(d["names"]))
-            elif s.kind in ("explain", "profile"):
-                out.append((self.explain_query if s.kind == "explain" else self.profile_query)(d["query"]))
-            else:
-                raise GraphError(8001, f"{s.kind} takes a transaction manager")
-        return out
+            self.lsn += 1
+            for t in tables:
+                mine = ids.where(F.col("t_") == t.split("/", 1)[1]).select(key)
+                gone = keep(self.store.get(t).where(F.col(DELETED).isNull()).join(mine, key, "left_semi"))
+                count = gone.count()
+                if count:
+                    n += count
+                    self.store.end(t, gone, self.lsn)
+            self.commit()
+        return n
+
+    def _merge_node(self, d: dict, params: dict | None) -> dict[str, int]:
+        """Sets values of the nodes that match, or makes one with the properties of the pattern."""
+        node = d["node"]
+        alias = node.alias or "n"
+        c = Compiler(self.graph, params)
+        name = self.catalog.define_class(local_name(node.labels[0])).name if node.labels else None
+        if name is None:
+            raise GraphError(6020, "MERGE takes a label")
+        q = Query([Clause("match", [Pattern(None, [Node(alias, node.labels, node.props)], [])])])
+        if f"nodes/{name}" in self.store.files and not self._found(q, params).df.isEmpty():
+            return {"created": 0, "matched": self._update(q, d["match"], params) if d["match"] else self._found(q, params).df.count()}
+        values = {k: c._constant(v) for k, v in node.props.items()} | {t[1][1]: c._constant(e) for t, e in d["create"]}
+        if "node_id" in values:
+            self.insert_node_table([values | {"type": name}])
+        else:
+            self.insert_nodes(name, [values])
+        return {"created": 1, "matched": 0}
+
+    def _export(self, d: dict) -> list[str]:
+        g = self.graph
+        classes = [self.catalog.find(n).name for n in d["nodes"]] if d["nodes"] is not None else (list(g.stored_nodes) if d["edges"] is None else [])
+        relations = [local_name(n) for n in d["edges"]] if d["edges"] is not None else (list(g.stored_edges) if d["nodes"] is None else [])
+        if d["format"] == "PARQUET":
+            return export.export_parquet(g, d["path"], classes, relations)
+        if d["format"] != "ARROW":
+            raise GraphError(6160, f"unknown format {d['format']}")
+        tables = {f"nodes/{n}": g.nodes(n) for n in classes} | {f"edges/{n}": g.edges(n) for n in relations}
+        export.export_arrow(tables, d["path"])
+        return list(tables)
 
     # --- ingest
 
@@ -526,15 +643,11 @@ class Database(GraphApi):
         return self.explain_query(next(s for s in parse(script) if isinstance(s, Query)))
 
     def explain_query(self, q: Query) -> dict:
-        from grafloom.lang.compiler import Compiler
-
         df = Compiler(self.graph, None, self._vector_indexes()).run(q)
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         return {"plan": plan, "columns": df.columns, "clauses": [c.kind for c in q.clauses], "indexes_used": []}
 
     def profile_query(self, q: Query) -> dict:
-        from grafloom.lang.compiler import Compiler
-
         began = time.time()
         rows = Compiler(self.graph, None, self._vector_indexes()).run(q).count()
         return {"rows": rows, "seconds": time.time() - began}

@@ -52,6 +52,10 @@ AGGREGATES = {
 }
 
 
+#: Names in SQL of aggregates that have another one there.
+DISTINCT = {"stddev": "stddev_samp"}
+
+
 def call(name: str, args: list[Column]) -> Column:
     least, most, f = SCALAR.get(name, (0, 0, None))
     if f is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grafloom.catalog import local_name
 from grafloom.errors import GraphError
 from grafloom.functions import builtins as fn
-from grafloom.graph import CREATED, DELETED, PropertyGraph, union_all
+from grafloom.graph import CREATED, DELETED, PropertyGraph, union_all, visible
 from grafloom.lang.parser import Clause, Node, Pattern, Query, Rel, parse
 from grafloom.operators import traverse, vector
 
@@ -27,10 +27,31 @@ class Compiler:
         self.edges: set[str] = set()
         self.paths: set[str] = set()
         self.names = 0
+        self.distinct: dict[str, Column] = {}  # arguments of aggregates over distinct values, columns while they are computed
 
     # --- clauses
 
     def run(self, q: Query) -> DataFrame:
+        out = self._single(q)
+        for op, whole, other in q.more:
+            part = Compiler(self.g, self.params, self.vectors)._single(other)
+            if len(part.columns) != len(out.columns):
+                raise GraphError(6020, f"{op} of {len(out.columns)} and {len(part.columns)} columns")
+            part = part.toDF(*out.columns)
+            if op == "UNION":
+                out = out.unionAll(part) if whole else out.unionAll(part).distinct()
+            else:
+                out = {("INTERSECT", False): out.intersect, ("INTERSECT", True): out.intersectAll, ("EXCEPT", False): out.subtract, ("EXCEPT", True): out.exceptAll}[op, whole](part)
+        return out
+
+    def _single(self, q: Query) -> DataFrame:
+        self.body(q)
+        if q.clauses[-1].kind != "return":
+            raise GraphError(6020, "a query ends with RETURN")
+        return self._project(q.clauses[-1], q)
+
+    def body(self, q: Query) -> None:
+        """The clauses before RETURN; the rows are in `df`."""
         clauses = list(q.clauses)
         for i, c in enumerate(clauses):
             if c.kind == "match":
@@ -48,9 +69,6 @@ class Compiler:
                 self._call(c)
             elif c.kind == "with":
                 self._project(c, Query([]), keep=True)
-            else:
-                return self._project(c, q)
-        raise GraphError(6020, "a query ends with RETURN")
 
     def _match(self, c: Clause, g: PropertyGraph, where: Clause | None) -> None:
         self._subclasses = _subclass_terms(where.expr) if where else {}
@@ -124,7 +142,7 @@ class Compiler:
                 rows = rows.join(g.nodes(other).select("gid"), "gid", "left_semi")
         else:
             names = list(g.stored_nodes)
-            rows = union_all([g.nodes(x).select("gid", *[c for c in g.stored_nodes[x].columns if c in ("node_id",)], F.lit(x).alias("node_type")) for x in names])
+            rows = _any_nodes(g)
         self.labels[alias] = names
         for k, v in n.props.items():
             rows = rows.where(F.lit(False) if k not in rows.columns else F.col(k) == self.expr(v))
@@ -209,6 +227,8 @@ class Compiler:
         aggregates = [_has_aggregate(e) for e, _ in columns]
         carried = [(f"{new}.{x.partition('.')[2]}", F.col(f"`{x}`")) for new, old in kept.items() for x in df.columns if x.partition(".")[0] == old]
         order = [(self._order(e, names), d) for e, d in q.order]
+        if self.distinct:
+            df, self.distinct = df.withColumns(self.distinct), {}
         if any(aggregates):
             keys = [col.alias(f"k{i}") for i, ((_, col), agg) in enumerate(zip(columns, aggregates, strict=True)) if not agg] + [col.alias(n) for n, col in carried]
             out = df.groupBy(*keys).agg(*[col.alias(f"k{i}") for i, ((_, col), agg) in enumerate(zip(columns, aggregates, strict=True)) if agg])
@@ -294,6 +314,11 @@ class Compiler:
             return self.expr(e[1]).isNull()
         if kind == "subclass":
             return F.lit(True)  # decided when the label is scanned
+        if kind == "subproperty":
+            edge = e[1][2][0] if e[1][0] == "call" and e[1][1] == "type" else e[1]
+            if edge[0] != "name" or edge[1][0] not in self.edges:
+                raise GraphError(6020, "SUBPROPERTYOF* takes an edge")
+            return F.col(f"`{edge[1][0]}.type`").isin(self.g.catalog.subproperties(_expand(e[2], self.g)))
         if kind == "case":
             out = None
             for c, v in e[1]:
@@ -333,11 +358,13 @@ class Compiler:
             if not args:
                 return F.count("*")
             values = [self.expr(a) for a in args]
-            if distinct:
-                if name in ("count", "sum"):
-                    return F.count_distinct(values[0]) if name == "count" else F.sum_distinct(values[0])
-                if name == "collect":
-                    return F.collect_set(values[0])
+            if distinct and name not in ("min", "max"):
+                if name == "collect":  # null counts as a value, as without DISTINCT
+                    return F.transform(F.collect_set(F.struct(values[0].alias("v"))), lambda y: y["v"])
+                column = f"distinct_{len(self.distinct)}"
+                self.distinct[column] = values[0]
+                given = "".join(f", {self._constant(a)}" for a in args[1:])
+                return F.expr(f"{fn.DISTINCT.get(name, name)}(distinct {column}{given})")
             return fn.AGGREGATES[name](*values)
         return fn.call(name, [self.expr(a) for a in args])
 
@@ -364,6 +391,19 @@ class Compiler:
         raise GraphError(3001, f"unknown name {head}")
 
 
+def _any_nodes(g: PropertyGraph) -> DataFrame:
+    """The nodes of all classes with all their properties, null where a class lacks one; a property whose type differs
+    from class to class is text."""
+    if g.all_nodes is not None:
+        return visible(g.all_nodes, g.lsn)
+    types: dict[str, set[str]] = {}
+    for df in g.stored_nodes.values():
+        for c, t in df.dtypes:
+            types.setdefault(c, set()).add(t)
+    mixed = {c for c, t in types.items() if len(t) > 1}
+    return union_all([g.nodes(n).select(*[F.col(c).cast("string").alias(c) if c in mixed else c for c in df.columns if c != "node_type"], F.lit(n).alias("node_type")) for n, df in g.stored_nodes.items()])
+
+
 def _expand(ref: str, g: PropertyGraph) -> str:
     prefix, colon, rest = ref.partition(":")
     return g.catalog.prefixes[prefix] + rest if colon and prefix in g.catalog.prefixes else ref

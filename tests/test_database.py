@@ -245,3 +245,58 @@ def test_import_policies(spark):
     with pytest.raises(GraphError):
         d.import_resource({"id": "a", "type": "E", "x": 5}, "error")
     assert d.node_table("E").where("node_id = 'a'").first()["x"] == 1
+
+
+def test_statements_that_change_rows(spark, tmp_path):
+    d = Database(spark)
+    d.insert_node_table([{"node_id": i, "type": t, "x": x, "tag": None} for i, t, x in (("a", "E", 1), ("b", "E", 2), ("c", "E", 3), ("z", "F", 9))])
+    d.insert_edge_table([{"src": s, "dst": t, "type": r, "weight": w} for s, t, r, w in (("a", "b", "R", 0.1), ("b", "c", "R", 0.2), ("b", "z", "S", 0.3))])
+    assert d.execute("MATCH (e:E)-[:R]->(f:E) WHERE e.x < 2 SET e.x = f.x + 10, e.tag = 'new'") == [1]
+    assert rows_of(d.node_table("E").na.fill("-"), "node_id", "x", "tag") == [("a", 12, "new"), ("b", 2, "-"), ("c", 3, "-")]
+    assert d.execute("MATCH (a)-[r:R]->(b) SET r.weight = $w", {"w": 5}) == [2]
+    assert rows_of(d.edge_table("R"), "weight") == [(5.0,), (5.0,)]
+    assert d.execute("MATCH (a:E)-[r:S]->(b) DELETE r") == [1]
+    assert d.edge_table("S").count() == 0
+    assert d.execute("MATCH (e:E) WHERE e.x = 2 DETACH DELETE e") == [1]
+    assert d.edge_table("R").count() == 0
+    assert d.graph.at(1).nodes("E").count() == 3
+    assert d.execute("MERGE (e:E {node_id: 'q'}) ON CREATE SET e.x = 7 ON MATCH SET e.x = 8") == [{"created": 1, "matched": 0}]
+    assert d.execute("MERGE (e:E {node_id: 'q'}) ON CREATE SET e.x = 7 ON MATCH SET e.x = 8") == [{"created": 0, "matched": 1}]
+    assert d.node_table("E").where("node_id = 'q'").first()["x"] == 8
+    d.execute("BEGIN; MERGE (e:E {node_id: 'r'}); ROLLBACK; BEGIN; MERGE (e:E {node_id: 's'}); COMMIT")
+    assert rows_of(d.node_table("E"), "node_id") == [("a",), ("c",), ("q",), ("s",)]
+    with pytest.raises(GraphError):
+        d.execute("MATCH (e:E) SET e.gid = 1")
+    assert d.execute("CREATE INDEX ON E(x) USING BTREE")[0].name == "E_x_btree"
+    assert rows_of(d.property_lookup("E_x_btree", 8), "node_id") == [("q",)]
+    assert rows_of(d.property_lookup("E_x_btree", None), "node_id") == [("s",)]
+    assert not d.is_stale("E_x_btree")
+    d.execute("MATCH (e:E) WHERE e.node_id = 's' SET e.x = 8")
+    assert d.is_stale("E_x_btree")
+    assert rows_of(d.property_lookup("E_x_btree", 8), "node_id") == [("q",), ("s",)]
+    d.execute("DROP INDEX E_x_btree")
+    assert d.execute(f"EXPORT SUBGRAPH AS PARQUET NODES(E) EDGES(R) TO '{tmp_path}/out'") == [["nodes/E", "edges/R"]]
+    assert spark.read.parquet(f"{tmp_path}/out/nodes/E").count() == 4
+
+
+def test_sets_of_queries_and_distinct_aggregates(spark):
+    d = Database(spark)
+    d.insert_node_table([{"node_id": f"n{i}", "type": t, "x": x} for i, (t, x) in enumerate([("E", 1), ("E", 1), ("E", 3), ("E", None), ("F", 3)])])
+    one = lambda q: sorted(tuple(r.values()) for r in d.sql(q).rows())
+    assert one("MATCH (e:E) RETURN avg(DISTINCT e.x) AS a, sum(DISTINCT e.x) AS s, count(DISTINCT e.x) AS n, stddev(DISTINCT e.x) AS d, percentile(DISTINCT e.x, 0.5) AS p") == [(2.0, 4, 2, 2**0.5, 2.0)]
+    assert sorted(map(str, d.sql("MATCH (e:E) RETURN collect(DISTINCT e.x) AS c").rows()[0]["c"])) == ["1", "3", "None"]
+    assert sorted(str(r["x"]) for r in d.sql("MATCH (e:E) RETURN e.x AS x UNION MATCH (f:F) RETURN f.x AS y").rows()) == ["1", "3", "None"]
+    assert len(d.sql("MATCH (e:E) RETURN e.x AS x UNION ALL MATCH (f:F) RETURN f.x AS y").rows()) == 5
+    assert one("MATCH (e:E) RETURN e.x AS x INTERSECT MATCH (f:F) RETURN f.x AS x") == [(3,)]
+    assert one("MATCH (e:E) WHERE e.x > 0 RETURN e.x AS x EXCEPT MATCH (f:F) RETURN f.x AS x") == [(1,)]
+    assert one("MATCH (n) WHERE n.x = 3 RETURN n.node_id AS i, n.node_type AS t") == [("n2", "E"), ("n4", "F")]
+
+
+def test_subproperties(spark):
+    d = Database(spark)
+    d.catalog.define_property("related")
+    d.catalog.define_property("likes", parents=["related"])
+    d.insert_node_table([{"node_id": i, "type": "E"} for i in "abc"])
+    d.insert_edge_table([{"src": s, "dst": t, "type": r} for s, t, r in (("a", "b", "likes"), ("b", "c", "hates"), ("a", "c", "related"))])
+    rows = d.sql("MATCH (a)-[r]->(b) WHERE type(r) SUBPROPERTYOF* related RETURN a.node_id AS a, b.node_id AS b").rows()
+    assert ids(rows, "a", "b") == [("a", "b"), ("a", "c")]
