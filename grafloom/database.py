@@ -335,16 +335,16 @@ class Database(GraphApi):
     # --- ingest
 
     def _gids(self, keys: DataFrame) -> DataFrame:
-        """`key`, `gid` for distinct new keys: dense numbers after those in use, in order of hash and key."""
-        k = keep(keys.where("key is not null").distinct().select("key", F.xxhash64("key").alias("h")))
+        """`key_`, `gid` for distinct new keys: dense numbers after those in use, in order of hash and key."""
+        k = keep(keys.where("key_ is not null").distinct().select("key_", F.xxhash64("key_").alias("h")))
         got = k.limit(IN_KEYS + 1).collect()
         if len(got) <= IN_KEYS:
-            n, rows = len(got), sorted((r["h"], r["key"]) for r in got)
-            out = self.spark.createDataFrame([(key, self.next_gid + i) for i, (_, key) in enumerate(rows)], "key string, gid bigint")
+            n, rows = len(got), sorted((r["h"], r["key_"]) for r in got)
+            out = self.spark.createDataFrame([(key, self.next_gid + i) for i, (_, key) in enumerate(rows)], "key_ string, gid bigint")
         else:  # the same numbers, block by block
             n = k.count()
-            out = running_before(k.withColumn("one", F.lit(1)), [], F.shiftright("h", 52), [F.col("h"), F.col("key")], {"n": ("sum", "one")})
-            out = keep(out.select("key", (F.coalesce("n", F.lit(0)) + self.next_gid).alias("gid")))
+            out = running_before(k.withColumn("one", F.lit(1)), [], F.shiftright("h", 52), [F.col("h"), F.col("key_")], {"n": ("sum", "one")})
+            out = keep(out.select("key_", (F.coalesce("n", F.lit(0)) + self.next_gid).alias("gid")))
         self.next_gid += n
         return out
 
@@ -368,9 +368,9 @@ class Database(GraphApi):
         """Nodes of a defined class, without external id."""
         name = self.catalog.find(cls).name
         self.lsn += 1
-        df = self._batch(data).withColumn("key", F.col("_row").cast("string")).drop("_row")
+        df = self._batch(data).withColumn("key_", F.col("_row").cast("string")).drop("_row")
         before = self.next_gid
-        self._append(f"nodes/{name}", df.join(self._gids(df.select("key")), "key").drop("key"))
+        self._append(f"nodes/{name}", df.join(self._gids(df.select("key_")), "key_").drop("key_"))
         self.commit()
         return self.next_gid - before
 
@@ -382,9 +382,9 @@ class Database(GraphApi):
         if bad:
             raise GraphError(7011, f"{bad} of {n} rows have no {key} or {type_col}")
         self.lsn += 1
-        known = self._known(df, key).select(F.col("node_id").alias("key"), "gid")
-        ids = known.unionByName(self._gids(df.select(F.col(key).alias("key")).join(known, "key", "left_anti")))
-        rows = keep(df.join(ids, F.col(key) == F.col("key")).drop("key", "_row").withColumnRenamed(key, "node_id"))
+        known = self._known(df, key).select(F.col("node_id").alias("key_"), "gid")
+        ids = known.unionByName(self._gids(df.select(F.col(key).alias("key_")).join(known, "key_", "left_anti")))
+        rows = keep(df.join(ids, F.col(key) == F.col("key_")).drop("key_", "_row").withColumnRenamed(key, "node_id"))
         for (t,) in rows.select(type_col).distinct().orderBy(type_col).collect():  # one per class
             self.catalog.define_class(local_name(t))
             mine = rows.where(F.col(type_col) == t).drop(type_col)
@@ -446,8 +446,8 @@ class Database(GraphApi):
         counts = {"inserted": keys - old, "updated": again if update_existing else 0, "skipped": 0 if update_existing else again, "failed": df.where(~ok).count()}
         if not update_existing:
             j = j.where("gid is null")
-        fresh = self._gids(j.where("gid is null").select(F.col("node_id").alias("key"))).withColumnsRenamed({"gid": "new_"})
-        batch = keep(j.join(fresh, F.col("node_id") == F.col("key"), "left").withColumn("gid", F.coalesce("gid", "new_")).drop("key", "new_", "n_"))
+        fresh = self._gids(j.where("gid is null").select(F.col("node_id").alias("key_"))).withColumnsRenamed({"gid": "new_"})
+        batch = keep(j.join(fresh, F.col("node_id") == F.col("key_"), "left").withColumn("gid", F.coalesce("gid", "new_")).drop("key_", "new_", "n_"))
         for r in batch.groupBy("type_").agg(F.collect_set("was_").alias("was")).orderBy("type_").collect():  # one per class
             self.catalog.define_class(r["type_"])
             mine = batch.where(F.col("type_") == r["type_"]).drop("type_", "was_")

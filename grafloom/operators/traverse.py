@@ -274,36 +274,30 @@ def simple_paths(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame
         targets = targets.select("gid").distinct()
         if max_depth is None or (max_depth > 1 and few(targets, "gid") is not None):
             left = _distances(steps.all(), targets, None if max_depth is None else max_depth - 1)
-    found, at_work = Kept(spark), Kept(spark)
-    frontier = at_work.add(_seed_paths(sources).withColumn("seed", F.col("at")))
-    found.add(frontier.limit(0).select("seed", "at", "key", F.lit(0).alias("depth")))  # there may be no path
+    known = Kept(spark)
+    at_work = known.add(_seed_paths(sources).select(F.col("at").alias("seed"), "at", "key", F.lit(0).alias("depth"), F.lit(False).alias("hit")))
+    last = None
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
-        nodes = few(frontier, "at")
+        nodes = few(at_work, "at")
         if nodes == []:
             break
-        live = frontier
-        if stop and d > 1:
-            live = frontier.join(_among(targets, nodes), F.col("at") == F.col("gid"), "left_anti")
+        live = at_work.where(~F.col("hit")) if stop else at_work
         # The new node is checked against the path before it, so that the arrays are only made for paths that stay.
-        step = _extend(live.withColumn("before", F.col("key.n")), steps.of(nodes), by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
+        step = _extend(live.select("seed", "at", "key", F.col("key.n").alias("before")), steps.of(nodes), by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
+        hit = F.lit(True)
         if left is not None:
             step = step.join(left.select(F.col("id").alias("at"), "left"), "at").where(F.lit(True) if max_depth is None else F.col("left") <= max_depth - d)
-        elif targets is not None and d == max_depth:
-            step = step.join(targets, F.col("at") == F.col("gid"), "left_semi")
-        step = step.select("seed", "at", "key", F.lit(d).alias("depth"))
+            hit = F.col("left") == 0
+        elif targets is not None:
+            step = step.join(targets, F.col("at") == F.col("gid"), "left_semi" if d == max_depth else "left")
+            hit = F.lit(True) if d == max_depth else F.col("gid").isNotNull()
+        step = step.select("seed", "at", "key", F.lit(d).alias("depth"), hit.alias("hit"))
         if d == max_depth:  # the widest level is not written
-            return with_path(found.all().unionByName(step))
-        if d >= min_depth and targets is None:
-            frontier = found.add(step)
-            continue
-        frontier = at_work.add(step)
-        if d >= min_depth:
-            found.add(frontier.join(_among(targets, few(frontier, "at")), F.col("at") == F.col("gid"), "left_semi").select("seed", "at", "key", "depth"))
-    return with_path(found.all())
-
-
-def _among(nodes: DataFrame, gids: list[int] | None) -> DataFrame:
-    return nodes if gids is None else nodes.where(F.col("gid").isin(gids))
+            last = step
+        else:
+            at_work = known.add(step)
+    found = known.all().where(F.col("hit") & (F.col("depth") >= min_depth))
+    return with_path((found if last is None else found.unionByName(last)).drop("hit"))
 
 
 def paths(g: PropertyGraph, source: int, target: int, edge_types: list[str] | None = None, max_depth: int = 3, limit: int | None = 20, direction: str = "out", edge_filters: dict | None = None, score: str | None = None, weight: str = "weight", order: str = "desc") -> DataFrame:

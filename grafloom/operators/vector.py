@@ -112,18 +112,18 @@ def _ranked(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, id_: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries as matrices of at most `MATRIX_BYTES`, one after the other, in order of hash."""
+def _query_blocks(queries: DataFrame, id_: str, vector: str, block: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries as matrices of at most `MATRIX_BYTES` and about `block` rows, one after the other, by hash."""
     q = keep(queries.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v")))
     n, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    blocks = max(1, -(-n * width * 8 // MATRIX_BYTES))
+    blocks = max(1, -(-n * width * 8 // MATRIX_BYTES), -(-n // (block or max(n, 1))))
     for b in range(blocks if n else 0):
         t = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
         if t.num_rows:
             yield t["q"].to_numpy(), _matrix(t["v"].combine_chunks())
 
 
-def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
+def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, metric: str = "cosine", block: int | None = None) -> DataFrame:
     """The `k` rows nearest to each of `queries` (same columns; the query itself left out): `query`, `id`, `score`, `rank`.
 
     A stated query set against all rows, in blocks: the queries are broadcast as matrices of at most `MATRIX_BYTES`; for
@@ -134,7 +134,7 @@ def knn_join(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
     ship(spark)
     data = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
     parts = []
-    for qs, matrix in _query_blocks(queries, id_, vector):
+    for qs, matrix in _query_blocks(queries, id_, vector, block):
         shared = spark.sparkContext.broadcast((qs, matrix))
 
         def best(batches: Iterator, shared=shared) -> Iterator:  # noqa: ANN001
@@ -231,14 +231,14 @@ class InvertedFile:
                 enough &= shares(got[self.id].to_numpy(), _matrix(got[self.vector].combine_chunks())).mean(0) >= recall
         return next((p for p in range(1, n) if enough[p]), n)
 
-    def search_join(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    def search_join(self, queries: DataFrame, k: int, probes: int, block: int | None = None) -> DataFrame:
         """As `knn_join` by cosine, but each of `queries` (same columns) sees the rows of its nearest `probes` lists only.
 
         Queries are broadcast in blocks with the lists they look at. A task takes the rows of a batch list by list, each
         with the queries that look there."""
         parts, c = [], self.centres
         data = self.rows.select("list_", F.col(self.id).cast("long").alias("id"), F.col(self.vector).alias("v"))
-        for qs, matrix in _query_blocks(queries, self.id, self.vector):
+        for qs, matrix in _query_blocks(queries, self.id, self.vector, block):
             near = np.argsort(-(matrix @ c.T), axis=1, kind="stable")[:, :probes]
             asked = {int(x): np.flatnonzero((near == x).any(1)) for x in np.unique(near)}
             shared = self.spark.sparkContext.broadcast((qs, matrix, asked))

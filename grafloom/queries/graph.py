@@ -17,6 +17,8 @@ S = SparkSession
 #: Seeds of the traversals in the graph store, and its relations of knowledge.
 SEEDS = (4, 7, 19, 18)
 KNOWLEDGE = ["MENTIONS", "RELATED_TO", "EVIDENCED_BY"]
+#: Two accounts, three transfers apart in the middle table.
+ACCOUNTS = (9, 1081)
 QUERY_VECTOR_ID = 7
 #: Least mean recall of the search through the inverted file.
 RECALL = 0.9
@@ -156,13 +158,28 @@ def simple_paths_scored(spark: S, sf: str) -> DataFrame:
 
 
 def multi_seed_paths(spark: S, sf: str) -> DataFrame:
-    r = traverse.multi_seed_paths(store_graph(spark, sf), _seeds(spark), ["Tissue"], ["interactsWith", "expressedIn"], max_depth=2, max_paths_per_seed=10)
+    r = traverse.multi_seed_paths(store_graph(spark, sf), _seeds(spark), ["Chunk"], KNOWLEDGE, max_depth=2, max_paths_per_seed=10)
     return _round(r.select("seed", "target", "depth", "score", "path_edge_ids"), "score")
 
 
-def multi_seed_paths_knowledge(spark: S, sf: str) -> DataFrame:
-    r = traverse.multi_seed_paths(store_graph(spark, sf), _seeds(spark), ["Chunk"], KNOWLEDGE, max_depth=2, max_paths_per_seed=10)
-    return _round(r.select("seed", "target", "depth", "score", "path_edge_ids"), "score")
+def path_scores(spark: S, sf: str) -> DataFrame:
+    """The best path by each of the other scores, between two accounts."""
+    g, out = store_graph(spark, sf), []
+    for mode in ("average", "min", "max"):
+        r = traverse.paths(g, *ACCOUNTS, ["transferredTo"], max_depth=3, limit=5, score=mode)
+        out.append(r.select(F.lit(mode).alias("mode"), "depth", "internal_node_ids", "edge_ids", "path_score"))
+    return _round(traverse.union_levels(out), "path_score")
+
+
+def shortest_path_deep(spark: S, sf: str) -> DataFrame:
+    return traverse.shortest_path(store_graph(spark, sf), *ACCOUNTS, ["transferredTo"], max_depth=3).select("depth", "nodes", "eids")
+
+
+def neighbors_of_class(spark: S, sf: str) -> DataFrame:
+    """From all chunks at once: what they mention, and what is related to that."""
+    g = store_graph(spark, sf)
+    r = traverse.neighbors(g, g.nodes("Chunk").select(F.col("gid").alias("pos"), "gid"), ["MENTIONS", "RELATED_TO"], depth=2)
+    return r.select("node_id", "internal_id", "depth")
 
 
 def shortest_path(spark: S, sf: str) -> DataFrame:
@@ -260,6 +277,13 @@ def ivf_search(spark: S, sf: str) -> DataFrame:
     return _round(index.search_join(queries, 10, index.probes_for(RECALL, 10, queries)), "score")
 
 
+def ivf_recall(spark: S, sf: str) -> DataFrame:
+    """Whether the stated queries find at least `RECALL` of their nearest rows through the index."""
+    exact, found = knn_join(spark, sf).select("query", "id"), ivf_search(spark, sf).select("query", "id")
+    hit = exact.join(found.withColumn("hit", F.lit(1)), ["query", "id"], "left")
+    return hit.agg((F.sum(F.coalesce("hit", F.lit(0))) >= RECALL * F.count("*")).alias("enough"), F.count("*").alias("pairs"))
+
+
 # --- text, retrieval
 
 
@@ -322,13 +346,6 @@ def as_of_edges(spark: S, sf: str) -> DataFrame:
     return store_graph(spark, sf).at(20_000).adjacency(["RELATED_TO"]).select("eid", "node", "next")
 
 
-def upsert_merge(spark: S, sf: str) -> DataFrame:
-    """New balances merged into the customers by key: given values win, the rest stays, new keys are added."""
-    old = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("balance")).unionByName(table(spark, sf, "node_store").where("balance is not null and not isnan(balance)").groupBy((F.col("nid") + 1_000_000).alias("c_custkey")).agg(F.max("balance").alias("balance")))
-    return old.join(new, "c_custkey", "full").select("c_custkey", "c_name", F.coalesce("balance", "c_acctbal").alias("c_acctbal"))
-
-
 def bundle_diff(spark: S, sf: str) -> DataFrame:
     g = store_graph(spark, sf)
     return export.diff(g.at(60_000), g.at(120_000))
@@ -350,8 +367,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         join_inner, join_probe_outer, join_null_safe, agg_all_kernels, agg_global, agg_collect, topk_sorted, union_all_drop_rename, expression_filter, degree_out, degree_in, degree_both_with_zero, adjacent_edges,
-        common_neighbors, overlap_topk, top_edges_per_node, edge_filters, neighbors_bfs, neighbors_scored, k_hop_nodes, k_hop_edges, reachability, reachable_per_depth, simple_paths_scored, multi_seed_paths, multi_seed_paths_knowledge, shortest_path,
-        sample_first, sample_uniform, random_walks, closure_scan, closure_pairs, infer_symmetric, infer_transitive, triple_constant, triple_pattern_join, vector_functions, knn_join, ivf_search, text_search, token_index,
-        link_entities, evidence_search, vector_search_boosted, graphrag, as_of_nodes, as_of_edges, upsert_merge, bundle_diff, feature_lookup, event_windows,
+        common_neighbors, overlap_topk, top_edges_per_node, edge_filters, neighbors_bfs, neighbors_scored, k_hop_nodes, k_hop_edges, reachability, reachable_per_depth, simple_paths_scored, multi_seed_paths, path_scores, shortest_path, shortest_path_deep, neighbors_of_class,
+        sample_first, sample_uniform, random_walks, closure_scan, closure_pairs, infer_symmetric, infer_transitive, triple_constant, triple_pattern_join, vector_functions, knn_join, ivf_search, ivf_recall, text_search, token_index,
+        link_entities, evidence_search, vector_search_boosted, graphrag, as_of_nodes, as_of_edges, bundle_diff, feature_lookup, event_windows,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"), "knn_dot": _knn("dot"), "knn_filtered": _knn("cosine", 3), "knn_join_l2": _knn_join("l2"), "knn_join_dot": _knn_join("dot"), "knn_join_filtered": _knn_join("cosine", 3)}

@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the rows of the queries in `graph`."""
 
-from grafloom.queries.graph import KNOWLEDGE, NAME, QUERY_VECTOR_ID, SEEDS
+from grafloom.queries.graph import ACCOUNTS, KNOWLEDGE, NAME, QUERY_VECTOR_ID, SEEDS
 from grafloom.queries.world import BASE, PLACE, STORE_SQL
 
 _W = f"with recursive {STORE_SQL}"
@@ -74,7 +74,19 @@ _DIFF = f"""with n as (select distinct node_type as name, node_id id, '' id2, 'c
     p as (select kind, name, id, id2, count(distinct side) n, min(side) side from n group by all)
     select kind, name, sum((n = 1 and side = 'a') :: int) :: bigint only_a, sum((n = 1 and side = 'b') :: int) :: bigint only_b, sum((n = 2) :: int) :: bigint as "both", false schema_changed from p group by 1, 2"""
 
+_WALKS = _W + _adj("'transferredTo'", "out") + f""", w1 as (select [{ACCOUNTS[0]} :: bigint, next] nodes, [eid] eids, [w] ws, next here from adj where node = {ACCOUNTS[0]} and next <> {ACCOUNTS[0]}),
+    w2 as (select list_append(nodes, a.next) nodes, list_append(eids, a.eid) eids, list_append(ws, a.w) ws, a.next here from w1 join adj a on a.node = here where not list_contains(nodes, a.next)),
+    w3 as (select list_append(nodes, a.next) nodes, list_append(eids, a.eid) eids, list_append(ws, a.w) ws, a.next here from w2 join adj a on a.node = here where not list_contains(nodes, a.next)),
+    walks as (select *, len(eids) :: int depth from (select * from w1 union all select * from w2 union all select * from w3) where here = {ACCOUNTS[1]})"""
+
 SQL = {
+    "path_scores": _WALKS + """, s as (select 'average' as mode, *, list_sum(ws) / len(ws) score from walks union all select 'min', *, list_min(ws) from walks union all select 'max', *, list_max(ws) from walks)
+        select mode, depth, nodes internal_node_ids, eids edge_ids, round(score, 6) path_score from (select *, row_number() over (partition by mode order by score desc, depth, nodes, eids) n from s) where n <= 5""",
+    "shortest_path_deep": _WALKS + " select depth, nodes, eids from walks order by depth, nodes, eids limit 1",
+    "neighbors_of_class": _W + _adj("'MENTIONS', 'RELATED_TO'", "out") + """, z as (select distinct gid from nodes where node_type = 'Chunk'), a1 as (select distinct next g from adj where node in (select gid from z) and next not in (select gid from z)),
+        a2 as (select distinct next g from adj where node in (select g from a1) and next not in (select gid from z) and next not in (select g from a1))
+        select coalesce(n.node_id, g :: varchar) node_id, g internal_id, depth from (select g, 1 as depth from a1 union all select g, 2 from a2) left join nodes n on n.gid = g""",
+    "ivf_recall": "select true as enough, count(*) * 10 as pairs from embeddings where vec_id % 100 = 0",
     "join_inner": "select c_custkey, c_name, o_orderkey, o_custkey from customer join orders on c_custkey = o_custkey",
     "join_probe_outer": """select nid, node_type, eid, src from (select distinct eid, src from edge_store where _deleted_lsn is null) e
         left join (select distinct nid, node_type from node_store where _deleted_lsn is null) n on n.nid is not distinct from e.src""",
@@ -105,9 +117,7 @@ SQL = {
     "reachability": f"with recursive {_SALES}, r as (select {PLACE['Customer'] * BASE} + c_custkey seed, {PLACE['Customer'] * BASE} + c_custkey dst, 0 hop from customer union all select r.seed, s.dst, hop + 1 from r join sales s on s.src = r.dst where hop < 3) select seed, dst, min(hop) hop from r group by 1, 2",
     "reachable_per_depth": _W + _adj(_K, "out") + f", r as (select gid seed, gid node, 0 depth from (values {_SEED_ROWS}) s(pos, gid) union select r.seed, a.next, depth + 1 from r join adj a on a.node = r.node where depth < 2) select seed :: bigint seed, node :: bigint node, depth from r where depth > 0",
     "simple_paths_scored": _W + _adj("'MENTIONS', 'RELATED_TO'", "out") + _paths("(0, 1)", "adj", 2) + "select depth, nodes internal_node_ids, eids edge_ids, round(total, 6) path_score from walk where here = 13 and depth > 0 order by total desc, depth, nodes, eids limit 50",
-    "multi_seed_paths": _W + _adj("'interactsWith', 'expressedIn'", "out") + _paths(_SEED_ROWS, "adj", 2) + """select seed, here target, depth, round(prod, 6) score, eids path_edge_ids from (select *, row_number() over (partition by seed order by prod desc, depth, here, eids) n
-        from walk where depth > 0 and here in (select gid from nodes where node_type = 'Tissue')) where n <= 10""",
-    "multi_seed_paths_knowledge": _W + _adj(_K, "out") + _paths(_SEED_ROWS, "adj", 2) + """select seed, here target, depth, round(prod, 6) score, eids path_edge_ids from (select *, row_number() over (partition by seed order by prod desc, depth, here, eids) n
+    "multi_seed_paths": _W + _adj(_K, "out") + _paths(_SEED_ROWS, "adj", 2) + """select seed, here target, depth, round(prod, 6) score, eids path_edge_ids from (select *, row_number() over (partition by seed order by prod desc, depth, here, eids) n
         from walk where depth > 0 and here in (select gid from nodes where node_type = 'Chunk')) where n <= 10""",
     "shortest_path": _W + _adj(_K, "both") + _paths("(0, 7)", "adj", 2) + "select depth, nodes, eids from walk where here = 13 and depth > 0 order by depth, nodes, eids limit 1",
     "sample_first": _W + _adj(_K, "both") + f""", l0 as (select * from (select *, row_number() over (partition by node, edge_type order by eid) n from adj where node in ({", ".join(map(str, SEEDS))})) where n <= 4),
@@ -138,8 +148,6 @@ SQL = {
         select here target, seed, round(score, 6) score, row_number() over (order by score desc, depth, here, seed, eids) :: int as "rank", depth, round(prod, 6) path_score, eids path_edge_ids from b order by score desc, depth, here, seed, eids limit 36""",
     "as_of_nodes": "select node_type, count(distinct nid) as nodes from node_store where _created_lsn <= 50000 and (_deleted_lsn is null or _deleted_lsn > 50000) group by 1",
     "as_of_edges": "select distinct eid, src node, dst as next from edge_store where edge_type = 'RELATED_TO' and src is not null and dst is not null and _created_lsn <= 20000 and (_deleted_lsn is null or _deleted_lsn > 20000)",
-    "upsert_merge": """with n as (select s_suppkey k, s_acctbal b from supplier union all select nid + 1000000, max(balance) from node_store where balance is not null and not isnan(balance) group by 1)
-        select coalesce(c_custkey, k) c_custkey, c_name, coalesce(b, c_acctbal) c_acctbal from customer full join n on k = c_custkey""",
     "bundle_diff": _DIFF,
     "feature_lookup": _W + """, d as (select dst gid, count(*) degree from edges where edge_type = 'MENTIONS' and dst is not null group by 1)
         select gid, degree from (select distinct try_cast(regexp_extract(target_node_id, '([0-9]+)$', 1) as bigint) gid from graphrag_result) t left join d using (gid) where gid is not null""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grafloom.lang.compiler import compile_query
-from grafloom.queries.world import STORE_SQL, sales_graph, store_graph
+from grafloom.queries.world import STORE_SQL, chain_graph, sales_graph, store_graph
 
 #: name: (graph, text, SQL)
 _ALL = {
@@ -46,6 +46,20 @@ _ALL = {
     "list_functions": (store_graph, "MATCH (e:Entity) RETURN e.gid, size(e.aliases) AS n, head(e.aliases) AS first, last(e.aliases) AS final, sort(e.aliases) AS sorted, e.aliases[1] AS second",
         f"with {STORE_SQL} select gid, len(aliases) :: int n, aliases[1] as first, aliases[-1] final, list_sort(aliases) sorted, aliases[2] as second from nodes where node_type = 'Entity'"),
     "aggregate_functions": (sales_graph, "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_mktsegment AS segment, count(*) AS n, min(o.o_totalprice) AS low, max(o.o_totalprice) AS high, count(DISTINCT o.o_orderstatus) AS states", "select c_mktsegment segment, count(*) n, min(o_totalprice) low, max(o_totalprice) high, count(distinct o_orderstatus) states from customer join orders on o_custkey = c_custkey group by 1"),
+    "distinct_aggregates": (sales_graph, "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_nationkey AS nation, round(avg(DISTINCT c.c_acctbal) * 1000) AS a, sum(DISTINCT o.o_orderkey) AS s, count(DISTINCT o.o_custkey) AS n, max(DISTINCT o.o_orderkey) AS m, size(collect(DISTINCT c.c_mktsegment)) AS segments",
+        "select c_nationkey nation, round_even(avg(distinct c_acctbal) * 1000, 0) a, sum(distinct o_orderkey) :: bigint s, count(distinct o_custkey) n, max(o_orderkey) m, count(distinct c_mktsegment) :: int segments from customer join orders on o_custkey = c_custkey group by 1"),
+    "spread_aggregates": (sales_graph, "MATCH (c:Customer) RETURN c.c_mktsegment AS segment, round(stddev(c.c_acctbal) * 1000) AS sd, percentile(c.c_nationkey, 0.25) AS low",
+        "select c_mktsegment segment, round_even(stddev_samp(c_acctbal) * 1000, 0) sd, quantile_cont(c_nationkey, 0.25) :: double low from customer group by 1"),
+    "xor_and_casts": (sales_graph, "MATCH (p:Part) WHERE p.p_size > 25 XOR p.p_retailprice > 1400 RETURN p.p_partkey, p.p_retailprice::INT AS whole, p.p_size::STRING AS size, p.p_name::INT64 AS none",
+        "select p_partkey, trunc(p_retailprice) :: bigint whole, p_size :: varchar size, null :: bigint as none from part where (p_size > 25) <> (p_retailprice > 1400)"),
+    "unlabelled_properties": (store_graph, "MATCH (a:Chunk)-[:MENTIONS]->(b) WHERE b.entity_type = 'person' RETURN b.node_type AS type, b.canonical_name AS name, count(*) AS n",
+        f"with {STORE_SQL} select b.node_type as type, b.canonical_name as name, count(*) n from edges join nodes a on a.gid = src join nodes b on b.gid = dst where edge_type = 'MENTIONS' and a.node_type = 'Chunk' and b.entity_type = 'person' group by 1, 2"),
+    "union_queries": (sales_graph, "MATCH (c:Customer) RETURN c.c_nationkey AS nation UNION MATCH (s:Supplier) WHERE s.s_acctbal > 5000 RETURN s.s_nationkey AS nation", "select c_nationkey nation from customer union select s_nationkey from supplier where s_acctbal > 5000"),
+    "except_queries": (sales_graph, "MATCH (c:Customer) RETURN c.c_custkey AS key EXCEPT MATCH (s:Supplier) RETURN s.s_suppkey AS key", "select c_custkey as key from customer except select s_suppkey from supplier"),
+    "no_upper_bound": (chain_graph, "MATCH p = (a:Nation)-[:NEXT*]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, length(p) AS hops",
+        "with n as (select n_nationkey k, row_number() over (order by n_nationkey) :: int i from nation) select a.k a, b.k b, b.i - a.i hops from n a join n b on b.i > a.i"),
+    "sixteen_hops_or_more": (chain_graph, "MATCH p = (a:Nation)-[:NEXT*16..]->(b) RETURN a.n_nationkey AS a, length(p) AS hops, relationships(p) AS eids",
+        "with n as (select n_nationkey k, row_number() over (order by n_nationkey) :: int i from nation) select a.k a, b.i - a.i hops, range(a.i :: bigint, b.i :: bigint) eids from n a join n b on b.i >= a.i + 16"),
 }
 
 

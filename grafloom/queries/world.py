@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafloom.catalog import Catalog
@@ -44,6 +44,13 @@ def sales_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     return PropertyGraph(spark, nodes, edges, catalog)
 
 
+def chain_graph(spark: SparkSession, sf: str) -> PropertyGraph:
+    """The nations one after the other, in order of key: a path as long as there are nations."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("gid"), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("node_id"), "n_nationkey")
+    steps = n.select(F.col("gid").alias("src"), F.lead("gid").over(Window.orderBy("gid")).alias("dst"), F.row_number().over(Window.orderBy("gid")).cast("bigint").alias("eid"))  # 25 rows
+    return PropertyGraph(spark, {"Nation": n}, {"NEXT": steps.where("dst is not null")})
+
+
 def store_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     """The versioned graph store: one row per version and per edge, repeated rows once; NaN weights are null.
 

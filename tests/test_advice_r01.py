@@ -44,9 +44,9 @@ def test_best_paths_per_seed(spark, depth, best):
 
 
 def test_knowledge_paths_reach_targets(spark, sf_dir):
-    rows = graph.QUERIES["multi_seed_paths_knowledge"](spark, sf_dir).toArrow()
+    rows = graph.QUERIES["multi_seed_paths"](spark, sf_dir).toArrow()
     assert rows.num_rows > 0
-    assert oracle.differences(rows, oracle.duck(sf_dir).execute(graph_sql.SQL["multi_seed_paths_knowledge"]).to_arrow_table()) == ""
+    assert oracle.differences(rows, oracle.duck(sf_dir).execute(graph_sql.SQL["multi_seed_paths"]).to_arrow_table()) == ""
 
 
 def recall(found, exact):
