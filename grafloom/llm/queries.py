@@ -51,6 +51,12 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _quality(spark, sf, False)
 
 
+def p8_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that SQL can express."""
+    df = p8_statistics(spark, sf).select("doc_id", "words", "mean_word_length", "common_share")
+    return df.withColumns({c: F.round(c, 6) for c in ("mean_word_length", "common_share")})
+
+
 def p8_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """The texts that break published rules and prove to be no prose, with the reasons."""
     return _quality(spark, sf, True).where(F.size("no_prose") > 0).select("doc_id", "published", "no_prose")
@@ -60,7 +66,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_reasons(spark, sf).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best, p6_ids, p7_mixture, p7_shares, p8_found, p8_reasons, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best, p6_ids, p7_mixture, p7_shares, p8_found, p8_reasons, p8_words, p8_statistics)}
 
 _BEST = """
 with best as (
@@ -69,7 +75,14 @@ with best as (
 ranked as (select *, row_number() over (partition by search_id order by score desc, depth asc nulls last, encode(target_node_id)) :: int as "rank" from best where n = 1)
 """
 
+_WORDS = """
+with w as (select doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{00ad}]', '', 'g')), '[\\p{L}\\p{M}]+') ws from documents)
+select doc_id, len(ws) :: int words, case when len(ws) = 0 then 0 else round(length(array_to_string(ws, '')) / len(ws), 6) end :: double mean_word_length,
+  case when len(ws) = 0 then 0 else round(len(list_filter(ws, lambda x: list_contains(l, regexp_replace(x, '\u03c3$', '\u03c2')))) / len(ws), 6) end :: double common_share from w, (select list(distinct word) l from common_word where word is not null)
+"""
+
 SQL = {
+    "p8_words": _WORDS,
     "p1_found": _BEST + f'select search_id, target_node_id from ranked where "rank" <= {TOP}',
     "p1_best": _BEST + f'select search_id, target_node_id, score, depth, "rank" from ranked where "rank" <= {TOP}',
 }
