@@ -107,7 +107,7 @@ class PropertyGraph:
         index = self.node_index()
         if gids is not None:
             index = index.where(F.col("gid").isin(gids))
-        return rows.join(index, F.col(column) == F.col("gid"), "left").drop("gid")
+        return rows.join(index.withColumnRenamed("gid", "gid_i"), F.col(column) == F.col("gid_i"), "left").drop("gid_i")
 
     def closure(self, base: str, include_self: bool = True) -> DataFrame:
         """Rows of a class and all below it: the columns that all of them have, in the first one's order, and

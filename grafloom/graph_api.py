@@ -231,6 +231,7 @@ class GraphApi:
 
     def text_hits(self, index: str, query: str) -> DataFrame:
         """The entries of a text index that share a token with the query."""
+        self._index_def(index, "text")
         return indexes.text_candidates(self.spark, self.built(index), query)
 
     def _vectors(self, index: str, query: list[float] | None) -> tuple[DataFrame, str, list[float]]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from grafloom.operators import text
 from grafloom.plans.runtime import keep
@@ -31,9 +33,6 @@ def _bucket(token, buckets: int):  # noqa: ANN001, ANN202
 def text_candidates(spark: SparkSession, built: dict, query: str) -> DataFrame:
     """The texts that share a token with `query`: only the folders of its tokens are read, and of these the row groups
     that may have them."""
-    from pyspark.sql.types import StructType
-    import json
-
     norm = text.normalized(F.lit(query))
     row = spark.range(1).select(F.array_distinct(F.split(norm, " ")).alias("t")).select(F.explode("t").alias("t")).where("t <> ''").select("t", _bucket(F.col("t"), built["buckets"]).alias("b")).collect()
     rows = spark.read.schema(StructType.fromJson(json.loads(built["schema"]))).parquet(built["folder"])

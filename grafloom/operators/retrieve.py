@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafloom.functions.prefix import running_before
 from grafloom.graph import PropertyGraph
 from grafloom.operators.text import text_search
 from grafloom.operators.traverse import path_score, simple_paths, steps_of
@@ -53,25 +54,31 @@ def link_entities(g: PropertyGraph, query: str, entries: DataFrame | None, top_k
 
 
 def evidence_search(
-    g: PropertyGraph, seeds: DataFrame, target_type: str = "Chunk", edge_types: list[str] | None = None, direction: str = "both", max_depth: int = 2, top_k: int = 36,
-    max_paths_per_seed: int = 8, top_edges_per_node: int | None = 24, scoring: dict | None = None, weight: str = "weight",
+    g: PropertyGraph, seeds: DataFrame, target_type: str = "Chunk", edge_types: list[str] | None = None, direction: str = "both", max_depth: int = 2, top_k: int | None = 36,
+    max_paths_per_seed: int | None = 8, top_edges_per_node: int | None = 24, scoring: dict | None = None, weight: str = "weight",
 ) -> DataFrame:
     """The best path from any seed (`pos`, `gid`, `seed_score`) to each target: `target`, `seed`, `score`, `depth`,
     `path_score`, the path's columns and `rank`.
 
     Simple paths that end at the first node of the target type; score = 0.55 * product of weights + 0.30 * seed score
-    - 0.15 * depth. Of each seed the best so many paths, of these the best per target; ties by depth, target, seed, edges.
+    - 0.15 * depth. Of each seed the best so many paths, of these the best per target, of these the first `top_k` (None:
+    all, each time); ties by depth, target, seed, edges.
     """
     w = EVIDENCE_WEIGHTS | (scoring or {})
     targets = g.node_index([target_type]).select("gid")
     steps = steps_of(g, edge_types, direction, None, weight, top_edges_per_node)
     p = simple_paths(steps, seeds, targets, max_depth, stop=True, by_weight=top_edges_per_node is not None)
-    p = p.join(F.broadcast(seeds.select(F.col("gid").alias("seed"), "seed_score")), "seed").withColumn("path_score", path_score(F.col("weights"), "product"))
+    p = p.join(seeds.select(F.col("gid").alias("seed"), "seed_score"), "seed").withColumn("path_score", path_score(F.col("weights"), "product"))
     p = p.withColumn("score", w["path_weight"] * F.col("path_score") + w["seed_score"] * F.col("seed_score") - w["depth_penalty"] * F.col("depth"))
     order = [F.desc("score"), F.col("depth"), F.col("at"), F.col("seed"), F.col("eids")]
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).where(F.col("n") <= max_paths_per_seed)
+    if max_paths_per_seed is not None:
+        p = p.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).where(F.col("n") <= max_paths_per_seed)
     p = p.withColumn("n", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where("n = 1")
-    p = p.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if top_k is not None:
+        p = p.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    else:  # ranks of any number of rows, block by block of scores
+        p = p.withColumn("one", F.lit(1))
+        p = running_before(keep(p), [], F.floor(-F.col("score") * 64), order, {"before": ("sum", "one")}).withColumn("rank", (F.coalesce("before", F.lit(0)) + 1).cast("int"))
     return p.select(F.col("at").alias("target"), "seed", "score", "rank", "depth", "path_score", F.col("nodes").alias("path_node_ids"), F.col("eids").alias("path_edge_ids"), F.col("types").alias("path_edge_types"))
 
 

@@ -380,16 +380,17 @@ def best_products(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame
     return union_levels(out).select("seed", "at", "depth", "score", "nodes", "eids", "types")
 
 
-def multi_seed_paths(g: PropertyGraph, seeds: DataFrame, target_types: list[str], edge_types: list[str] | None = None, max_depth: int = 2, direction: str = "out", max_paths_per_seed: int = 20, score: str = "product", weight: str = "weight", limit: int | None = None) -> DataFrame:
-    """Paths from each seed to any node of `target_types`, going on through targets; the best so many of each seed,
-    and of all: `rank`, `seed`, `target`, `depth`, `score`, the path's columns."""
+def multi_seed_paths(g: PropertyGraph, seeds: DataFrame, target_types: list[str], edge_types: list[str] | None = None, max_depth: int = 2, direction: str = "out", max_paths_per_seed: int | None = 20, score: str = "product", weight: str = "weight", limit: int | None = None) -> DataFrame:
+    """Paths from each seed to any node of `target_types`, going on through targets; the best so many of each seed
+    (None: all), and of all: `seed`, `target`, `depth`, `score`, the path's columns."""
     targets, adj = g.node_index(target_types).select("gid"), steps_of(g, edge_types, direction, None, weight)
-    if score == "product" and max_paths_per_seed > 0:
+    if score == "product" and max_paths_per_seed:
         p = best_products(adj, seeds, targets, max_depth, max_paths_per_seed)
     else:
         p = simple_paths(adj, seeds, targets, max_depth).withColumn("score", path_score(F.col("weights"), score))
     by = [F.desc_nulls_last("score"), F.col("depth"), F.col("at"), F.col("eids")]
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*by))).where(F.col("n") <= max_paths_per_seed).drop("n")
+    if max_paths_per_seed is not None:
+        p = p.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*by))).where(F.col("n") <= max_paths_per_seed).drop("n")
     by = [F.desc_nulls_last("score"), F.col("depth"), F.col("seed"), F.col("at"), F.col("eids")]
     p = p.orderBy(*by)
     if limit is not None:

@@ -46,6 +46,12 @@ def p3_state(spark: SparkSession, sf: str) -> DataFrame:
     return changefeed.last_writer_wins(changes, NODE, "lsn", "op", "props", "pos")
 
 
+def p3_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """The state with values of their own types."""
+    changes = _changes(spark, sf).withColumn("props", F.expr(wal.typed_fields_of("props")))
+    return wal.typed(changefeed.last_writer_wins(changes, NODE, "lsn", "op", "props", "pos"), "value")
+
+
 #: Salts of a heavy key, and the part of the edges (1 in so many) from which a key is heavy.
 SALTS, HEAVY_PART = 64, 100
 
@@ -99,4 +105,4 @@ def p5_containers(spark: SparkSession, sf: str) -> DataFrame:
     return p5_plan(spark, sf).where("state = 'copied'").groupBy("store_kind", "store", "container").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sum(F.col("take_stop") - F.col("take_start")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_state, p4_found, p4_totals, p5_found, p5_plan, p5_containers, p5_packed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_state, p3_typed, p4_found, p4_totals, p5_found, p5_plan, p5_containers, p5_packed)}

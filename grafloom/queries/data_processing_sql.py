@@ -61,6 +61,11 @@ SQL = {
         f as (select took.*, unnest(json_keys(props)) as field from took join resets using (bundle, class_name, nid) where r is null or lsn >= r),
         v as (select *, json_extract_string(props, '$."' || field || '"') x, json_type(props, '$."' || field || '"') t from f)
         select bundle, class_name, nid, field, arg_max_null(case when t = 'DOUBLE' then rtrim(rtrim(x, '0'), '.') else x end, lsn * 100000 + pos) as value, max(lsn) set_at from v group by all""",
+    "p3_typed": _CHANGES + """, resets as (select bundle, class_name, nid, max(lsn) filter (where op = 'insertnode') r from took group by all),
+        f as (select took.*, unnest(json_keys(props)) as field from took join resets using (bundle, class_name, nid) where r is null or lsn >= r),
+        v as (select bundle, class_name, nid, field, arg_max(struct_pack(t := json_type(props, '$."' || field || '"'), x := json_extract_string(props, '$."' || field || '"')), lsn * 100000 + pos) w, max(lsn) set_at from f group by all),
+        k as (select *, case w.t when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'object' else 'number' end kind from v)
+        select bundle, class_name, nid, field, set_at, kind, case when kind = 'string' then w.x end as text, case when kind = 'number' then try_cast(w.x as double) end number from k""",
     "p4_totals": _ENDS + "select endpoint, nid, count(*) :: bigint edges, sum(case when not isnan(weight) then weight :: double end) weight_sum from ends group by all",
     "p4_found": _ENDS + "select endpoint, nid from ends where nid is not null group by all having count(*) * 100 >= (select count(*) from one)",
     "p5_plan": _REFS + "select * from plan",

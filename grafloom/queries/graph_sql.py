@@ -86,6 +86,10 @@ SQL = {
     "neighbors_of_class": _W + _adj("'MENTIONS', 'RELATED_TO'", "out") + """, z as (select distinct gid from nodes where node_type = 'Chunk'), a1 as (select distinct next g from adj where node in (select gid from z) and next not in (select gid from z)),
         a2 as (select distinct next g from adj where node in (select g from a1) and next not in (select gid from z) and next not in (select g from a1))
         select coalesce(n.node_id, g :: varchar) node_id, g internal_id, depth from (select g, 1 as depth from a1 union all select g, 2 from a2) left join nodes n on n.gid = g""",
+    "vector_search_boosted": _W + _adj(_K, "both") + f""", c as (select gid, node_id, list_cosine_similarity(embedding :: double[], {_VEC} :: double[]) s from nodes join embeddings on vec_id = gid where node_type = 'Chunk' order by s desc, gid limit 40),
+        per as (select node gid, count(*) d, sum(w) w, bool_or(next in (7, 19)) :: int h from adj where node in (select gid from c) group by 1),
+        t as (select gid, node_id, s, 0.001 * coalesce(d, 0) + 0.01 * coalesce(w, 0) + 0.25 * coalesce(h, 0) + 0.5 * greatest(0, (s > 0.5) :: int + coalesce(h, 0) - 1) b from c left join per using (gid))
+        select gid, node_id, round(s + b, 6) score, round(s, 6) vector_score, round(b, 6) :: double graph_boost_score, row_number() over (order by s + b desc, gid) :: int as "rank" from t order by s + b desc, gid limit 10""",
     "ivf_recall": "select true as enough, count(*) * 10 as pairs from embeddings where vec_id % 100 = 0",
     "join_inner": "select c_custkey, c_name, o_orderkey, o_custkey from customer join orders on c_custkey = o_custkey",
     "join_probe_outer": """select nid, node_type, eid, src from (select distinct eid, src from edge_store where _deleted_lsn is null) e

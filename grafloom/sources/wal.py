@@ -72,5 +72,14 @@ def fields_of(props: str) -> str:
 
 
 def typed_fields_of(props: str) -> str:
-    """SQL for the same with JSON values: strings in quotes, numbers as they are written."""
-    return f"from_json({props}, 'map<string,string>')"
+    """SQL for the same as JSON: strings in quotes, numbers, booleans and null as they are."""
+    return f"transform_values(try_variant_get(try_parse_json({props}), '$', 'map<string,variant>'), (k, x) -> coalesce(to_json(x), 'null'))"
+
+
+def typed(df: DataFrame, value: str) -> DataFrame:
+    """`df` with `kind` (`string`, `number`, `boolean`, `null`, `object`), `text` (of strings) and `number` of the JSON in
+    `value`, which goes."""
+    v = F.col(value)
+    kind = F.when(F.startswith(v, F.lit('"')), "string").when(v.isin("true", "false"), "boolean").when(v == "null", "null").when(v.rlike("^[{\\[]"), "object").otherwise("number")
+    text = F.when(kind == "string", F.expr(f"try_variant_get(try_parse_json({value}), '$', 'string')"))
+    return df.withColumns({"kind": kind, "text": text, "number": F.when(kind == "number", v.try_cast("double"))}).drop(value)
