@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, _infer_type
 
+from grafloom import observability
 from grafloom.catalog import Catalog, IndexDef, local_name
 from grafloom.errors import GraphError
 from grafloom.functions.prefix import running_before
@@ -78,6 +78,7 @@ class Database(GraphApi):
         self.catalog, self.snapshots, self.lsn, self.next_gid, self.next_eid = Catalog(), {}, 0, 0, {}
         self.store, self._graph, self._saved, self._manifest = Store(spark, path), None, None, None
         self._built: dict[str, tuple] = {}
+        self.tracer = observability.Tracer()
         text = read_text(spark, f"{path}/manifest.json") if path else None
         if text:
             self._restore(text)
@@ -639,25 +640,37 @@ class Database(GraphApi):
     def sql(self, script: str, params: dict | None = None) -> Result:
         return Result(compile_query(self.graph, script, params, self._vector_indexes()))
 
+    def _only_query(self, script: str) -> Query:
+        return next(s for s in parse(script) if isinstance(s, Query))
+
     def explain(self, script: str) -> dict:
-        return self.explain_query(next(s for s in parse(script) if isinstance(s, Query)))
+        """The physical plan of a query. A variable-length pattern is searched while its plan is made."""
+        return self.explain_query(self._only_query(script))
 
     def explain_query(self, q: Query) -> dict:
         df = Compiler(self.graph, None, self._vector_indexes()).run(q)
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-        return {"plan": plan, "columns": df.columns, "clauses": [c.kind for c in q.clauses], "indexes_used": []}
+        used = [c.args[0][1] for c in q.clauses if c.kind == "call" and c.args and c.args[0][0] == "lit"]
+        return {"plan": plan, "columns": df.columns, "clauses": [c.kind for c in q.clauses], "indexes_used": used}
+
+    def explain_logical(self, script: str, optimized: bool = True) -> list[dict]:
+        """The operators of a query's logical plan, from the top."""
+        return observability.logical_plan(self.sql(script).df, optimized)
 
     def profile_query(self, q: Query) -> dict:
-        began = time.time()
-        rows = Compiler(self.graph, None, self._vector_indexes()).run(q).count()
-        return {"rows": rows, "seconds": time.time() - began}
+        with self.tracer.span("query", clauses=[c.kind for c in q.clauses]):
+            with self.tracer.span("plan"):
+                df = Compiler(self.graph, None, self._vector_indexes()).run(q)
+            with self.tracer.span("run"):
+                return observability.profile(df)
 
     def profile(self, script: str) -> dict:
-        return self.profile_query(next(s for s in parse(script) if isinstance(s, Query)))
+        """Runs a query: `rows`, `seconds`, and the operators that ran with their rows and metrics."""
+        return self.profile_query(self._only_query(script))
 
     @staticmethod
     def capabilities() -> dict:
-        return {"language": ["MATCH", "OPTIONAL MATCH", "WHERE", "WITH", "UNWIND", "CALL", "RETURN", "AS_OF"], "vector_metrics": sorted(vector.METRICS), "path_scores": list(traverse.SCORES), "engine": "spark"}
+        return {"language": ["MATCH", "OPTIONAL MATCH", "WHERE", "WITH", "UNWIND", "CALL", "RETURN", "AS_OF", "UNION", "SET", "DELETE", "MERGE", "BEGIN", "EXPORT"], "vector_metrics": sorted(vector.METRICS), "path_scores": list(traverse.SCORES), "engine": "spark"}
 
     # --- indexes: stored tables, built when they are first used and again after their class has changed
 

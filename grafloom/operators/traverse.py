@@ -426,23 +426,26 @@ def sample_layers(g: PropertyGraph, seeds: DataFrame, fanouts: list[int], edge_t
     In each layer, of every frontier node and relation `fanout` edges (0: all): the first by eid (`first`), or those
     with the least seeded hash (`uniform`), so the same seed gives the same sample. With `replace`, `fanout` draws
     that may repeat an edge, each the edge with the least hash of its own; all are found in one pass with partial
-    results per task. The next frontier is the distinct ends reached.
+    results per task. The next frontier is the distinct ends reached. With a column `batch` (bigint) in `seeds`, each
+    batch is sampled for itself, with `seed` plus its number, and the result has the column, too.
     """
     steps, known = steps_of(g, edge_types, direction), Kept(g.spark)
-    now = keep(seeds.select("gid").distinct())
+    by = ["batch"] if "batch" in seeds.columns else []
+    now = keep(seeds.select("gid", *by).distinct())
+    own = F.lit(seed).cast("bigint") + F.col("batch") if by else F.lit(seed).cast("bigint")
     for layer, fanout in enumerate(fanouts):
         nodes = few(now, "gid")
         j = now.join(steps.of(nodes).select("node", "next", "edge_type", "eid"), F.col("gid") == F.col("node")).drop("gid")
-        draw = lambda *more: F.xxhash64(F.lit(seed), F.lit(layer), "eid", "next", *more)  # noqa: B023, E731
+        draw = lambda *more: F.xxhash64(own, F.lit(layer), "eid", "next", *more)  # noqa: B023, E731
         if fanout and strategy != "all":
             if replace:
                 picks = [F.min_by(F.struct("eid", "next"), F.struct(draw(F.lit(k)), "eid", "next")).alias(f"x{k}") for k in range(fanout)]
-                j = j.groupBy("node", "edge_type").agg(*picks).select("node", "edge_type", F.explode(F.array(*[f"x{k}" for k in range(fanout)])).alias("x")).select("node", "x.next", "edge_type", "x.eid")
+                j = j.groupBy(*by, "node", "edge_type").agg(*picks).select(*by, "node", "edge_type", F.explode(F.array(*[f"x{k}" for k in range(fanout)])).alias("x")).select(*by, "node", "x.next", "edge_type", "x.eid")
             else:
                 order = [F.col("eid")] if strategy == "first" else [draw(), F.col("eid")]
-                j = j.withColumn("n", F.row_number().over(Window.partitionBy("node", "edge_type").orderBy(*order))).where(F.col("n") <= fanout).drop("n")
-        got = known.add(j.select(F.col("node").alias("src"), F.col("next").alias("dst"), "edge_type", "eid", F.lit(layer).alias("layer")))
-        now = got.select(F.col("dst").alias("gid")).distinct()
+                j = j.withColumn("n", F.row_number().over(Window.partitionBy(*by, "node", "edge_type").orderBy(*order))).where(F.col("n") <= fanout).drop("n")
+        got = known.add(j.select(F.col("node").alias("src"), F.col("next").alias("dst"), "edge_type", "eid", F.lit(layer).alias("layer"), *by))
+        now = got.select(F.col("dst").alias("gid"), *by).distinct()
     return known.all()
 
 

@@ -60,6 +60,30 @@ def test_features(spark):
     assert view.lookup_many([2, 9]) == [{"gid": 2, "f": 0.7}, None]
     assert view.join(spark.createDataFrame([(1,), (3,)], "gid long")).orderBy("gid").collect() == [(1, 0.5), (3, None)]
     assert view.stats()["lookups"] == 2
+    held = FeatureView(view.features).online()
+    assert [held.lookup(k) for k in (1, 9, 2)] == [{"gid": 1, "f": 0.5}, {}, {"gid": 2, "f": 0.7}]
+    assert held.lookup_many([2, 9]) == [{"gid": 2, "f": 0.7}, None]
+    assert held.stats()["p99_ms"] < 5
+    with pytest.raises(GraphError):
+        FeatureView(view.features).online(most=1)
+
+
+def test_batches_are_sampled_alone(g):
+    edges = ["REL"]
+    for batch, (index, n) in enumerate(neighbor_loader(g, g.nodes("Entity"), [1, 1], edges, batch_size=2, seed=5, prefetch=2)):
+        alone = gnn_subgraph(g, n.tolist()[: 2 if batch < 2 else 1], [1, 1], edges, seed=5 + 2 * batch)
+        assert (index.tolist(), n.tolist()) == (alone[0].tolist(), alone[1].tolist())
+
+
+def test_observability(spark):
+    db = Database(spark)
+    db.insert_node_table([{"node_id": f"n{i}", "type": "E", "x": i} for i in range(20)])
+    p = db.profile("MATCH (e:E) WHERE e.x > 4 RETURN e.x % 3 AS r, count(*) AS n")
+    assert p["rows"] == 3
+    assert any(o["operator"] == "HashAggregate" and o["rows"] == 3 for o in p["operators"])
+    assert {"Aggregate", "Filter"} <= {o["operator"] for o in db.explain_logical("MATCH (e:E) WHERE e.x > 4 RETURN count(*) AS n")}
+    assert [c.name for c in db.tracer.roots[0].children] == ["plan", "run"]
+    assert "query" in db.tracer.roots[0].tree()
 
 
 def test_user_functions(spark):
