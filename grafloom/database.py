@@ -22,7 +22,7 @@ from grafloom.graph_api import GraphApi, Result
 from grafloom.lang.compiler import Compiler, compile_query
 from grafloom.lang.parser import Clause, Node, Pattern, Query, Statement, parse
 from grafloom.operators import indexes, ontology, text, traverse, vector
-from grafloom.plans.runtime import IN_KEYS, few, keep
+from grafloom.plans.runtime import IN_KEYS, among, few, keep
 from grafloom.sources import export, ingest
 from grafloom.storage import Store, read_text, write_text
 
@@ -354,7 +354,7 @@ class Database(GraphApi):
         parts = [self.graph.nodes(n).select(F.col("node_id").cast("string"), "gid", F.lit(n).alias("node_type")) for n, df in self.graph.stored_nodes.items() if "node_id" in df.columns]
         if not parts:
             return self.spark.createDataFrame([], "node_id string, gid bigint, node_type string")
-        return union_all([p if keys is None else p.where(F.col("node_id").isin(keys)) for p in parts])
+        return union_all([p if keys is None else p.where(among("node_id", keys)) for p in parts])
 
     def _known(self, batch: DataFrame, *columns: str) -> DataFrame:
         """The index of the nodes that `batch` names in `columns`, one row per id."""
@@ -462,7 +462,7 @@ class Database(GraphApi):
         live = []
         for t in was:
             rows = self.store.get(t).where(F.col(DELETED).isNull())
-            rows = rows.join(batch.select(key), key, "left_semi") if ids is None else rows.where(F.col(key).isin(ids))
+            rows = rows.join(batch.select(key), key, "left_semi") if ids is None else rows.where(among(key, ids))
             live.append((t, keep(rows)))
         new = batch
         if live:
@@ -749,7 +749,7 @@ class Database(GraphApi):
         hits = indexes.property_gids(self.spark, self.built(name), value)
         gids = few(hits, "gid")
         nodes = self.graph.nodes(i.node_type)
-        return nodes.join(hits, "gid", "left_semi") if gids is None else nodes.where(F.col("gid").isin(gids))
+        return nodes.join(hits, "gid", "left_semi") if gids is None else nodes.where(among("gid", gids))
 
     def text_search(self, index: str, query: str, top_k: int = 10) -> DataFrame:
         return text.text_search(self.text_hits(index, query), query, top_k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grafloom.catalog import Catalog
 from grafloom.errors import GraphError
+from grafloom.plans.runtime import among
 
 CREATED, DELETED = "_created_lsn", "_deleted_lsn"
 #: Suffixes of edge filters, and what they compare.
@@ -106,7 +107,7 @@ class PropertyGraph:
         the column, where they are known to be few; then only these nodes are looked up."""
         index = self.node_index()
         if gids is not None:
-            index = index.where(F.col("gid").isin(gids))
+            index = index.where(among("gid", gids))
         return rows.join(index.withColumnRenamed("gid", "gid_i"), F.col(column) == F.col("gid_i"), "left").drop("gid_i")
 
     def closure(self, base: str, include_self: bool = True) -> DataFrame:
@@ -157,7 +158,7 @@ class PropertyGraph:
                 e = e.where(_edge_filter(e, f, value))
             ends = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
             if only is not None:
-                e = e.where(reduce(lambda a, b: a | b, [F.col(x).isin(only) for x in ends]))
+                e = e.where(reduce(lambda a, b: a | b, [among(x, only) for x in ends]))
             props = sorted(c for c in e.columns if c not in ("eid", "src", "dst", "edge_type", CREATED, DELETED)) if properties else []
             w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight in e.columns else F.lit(0.0)
             json = F.to_json(F.struct(*props), {"ignoreNullFields": "false"}) if props else F.lit("{}")
@@ -173,7 +174,7 @@ class PropertyGraph:
             return self.spark.createDataFrame([], f"node bigint, next bigint, edge_type string, eid bigint, src bigint, dst bigint, w double, {'properties string, ' if properties else ''}direction string")
         out = union_all(parts).where("node is not null and next is not null")
         if only is not None and direction == "both":
-            out = out.where(F.col("node").isin(only))
+            out = out.where(among("node", only))
         return out if top_per_node is None else first_steps(out, top_per_node)
 
 

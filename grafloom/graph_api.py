@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from grafloom.errors import GraphError
 from grafloom.graph import PropertyGraph, union_all
 from grafloom.operators import features, indexes, retrieve, traverse
-from grafloom.plans.runtime import few, keep
+from grafloom.plans.runtime import among, few, keep
 
 
 class Result:
@@ -69,7 +69,7 @@ class GraphApi:
             have = [c for c in names if c in df.columns]
             if have:
                 part = self.graph.nodes(n).select(F.col("gid").alias("p_"), *have)
-                parts.append(part if ids is None else part.where(F.col("p_").isin(ids)))
+                parts.append(part if ids is None else part.where(among("p_", ids)))
         if not parts:
             raise GraphError(6020, f"no class has {', '.join(names)}")
         got = union_all(parts)
@@ -153,7 +153,7 @@ class GraphApi:
             if not got:
                 return None
             row = {"depth": got[0]["depth"], "internal_node_ids": got[0]["nodes"], "edge_ids": got[0]["eids"]}
-        names = {r["gid"]: r["node_id"] for r in self.graph.node_index().where(F.col("gid").isin(row["internal_node_ids"])).collect()}
+        names = {r["gid"]: r["node_id"] for r in self.graph.node_index().where(among("gid", row["internal_node_ids"])).collect()}
         return row | {"node_ids": [names.get(n, str(n)) for n in row["internal_node_ids"]]}
 
     # --- retrieval

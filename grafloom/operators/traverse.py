@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from grafloom.errors import GraphError
 from grafloom.graph import PropertyGraph, first_steps
-from grafloom.plans.runtime import IN_KEYS, Kept, broadcast_if_small, cut, few, keep
+from grafloom.plans.runtime import IN_KEYS, Kept, among, broadcast_if_small, cut, few, keep
 
 SCORES = ("sum", "average", "avg", "min", "max", "product")
 
@@ -115,7 +115,7 @@ class Steps:
         else:
             steps = self.source if isinstance(self.source, DataFrame) else self.source(nodes)
         if nodes is not None:
-            steps = steps.where(F.col("node").isin(nodes))
+            steps = steps.where(among("node", nodes))
         return steps if self.top is None else first_steps(steps, self.top)
 
 
@@ -315,7 +315,7 @@ def paths(g: PropertyGraph, source: int, target: int, edge_types: list[str] | No
     each = p.select("nodes", "eids", F.posexplode(F.arrays_zip(F.col("types").alias("t"), F.col("eids").alias("e"))).alias("i", "x")).select("nodes", "eids", "i", F.col("x.t").alias("edge_type"), F.col("x.e").alias("eid"))
     used = few(each, "eid")
     known = g.adjacency(edge_types, "out").select("edge_type", "eid", "properties")
-    known = known if used is None else known.where(F.col("eid").isin(used))
+    known = known if used is None else known.where(among("eid", used))
     props = each.join(known, ["edge_type", "eid"]).groupBy("nodes", "eids").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "properties"))), lambda x: x["properties"]).alias("properties"))
     return p.join(props, ["nodes", "eids"]).orderBy(*by).select("seed", "at", "depth", F.col("nodes").alias("internal_node_ids"), F.col("eids").alias("edge_ids"), F.col("types").alias("relation_types"), "directions", F.col("properties").alias("edge_properties"), "path_score")
 

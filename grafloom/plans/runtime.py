@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which `broadcast_if_small` broadcasts: some tens of MB for the few narrow columns it is used with.
@@ -93,6 +93,16 @@ def few(df: DataFrame, column: str, most: int = IN_KEYS) -> list | None:
     return None if len(got) > most else sorted({r[0] for r in got if r[0] is not None})
 
 
+def among(column: str, values: list) -> Column:
+    """Whether a column (by name) is one of `values`, whole numbers or strings. One text for the parser, as a call per
+    value takes longer than the query."""
+    if not values:
+        return F.lit(False)
+    name = "`" + column.replace("`", "``") + "`"
+    write = lambda v: f"{v}L" if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"{name} in ({', '.join(map(write, values))})")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` computed once; marked for broadcast if it has at most `rows` rows, else left to a shuffle join.
 
