@@ -9,7 +9,6 @@ until the old and new last tokens agree again are looked at.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,44 +145,120 @@ class PrefixEncoder:
 
 @dataclass
 class _Piece:
-    start: int
-    stop: int
+    size: int  # characters
     data: bytes
     last: list[int]
+    ids: list[int]
+
+
+@dataclass
+class _Block:
+    """Some neighbouring pieces and their text; nothing in it depends on where in the whole text it is."""
+
+    text: str
+    pieces: list[_Piece]
 
 
 class EncodedText:
-    """A text with the last token of every byte prefix of its pieces, for exact appends and edits."""
+    """A text with the last token of every byte prefix of its pieces, for exact appends and edits.
+
+    It is held in blocks of some `BLOCK` pieces. An edit looks at the pieces from shortly before it until old and new pieces
+    begin at the same place again, and makes the blocks of these anew; all others stay as they are.
+    """
+
+    BLOCK = 64
 
     def __init__(self, encoder: PrefixEncoder, text: str = "") -> None:
-        self.encoder, self.text, self.pieces = encoder, "", []
+        self.encoder, self.blocks, self.looked_at = encoder, [], 0
         self.replace(0, 0, text)
 
+    @property
+    def text(self) -> str:
+        return "".join(b.text for b in self.blocks)
+
+    def __len__(self) -> int:
+        return sum(len(b.text) for b in self.blocks)
+
     def ids(self) -> list[int]:
-        return [t for p in self.pieces for t in self.encoder.walk(p.data, p.last)]
+        return [t for b in self.blocks for p in b.pieces for t in p.ids]
 
     def append(self, more: str) -> None:
-        self.replace(len(self.text), len(self.text), more)
+        n = len(self)
+        self.replace(n, n, more)
+
+    def _place(self, at: int) -> tuple[int, int]:
+        """The block that holds a character (the last one, past the end) and where it begins."""
+        begin = 0
+        for i, b in enumerate(self.blocks):
+            if at < begin + len(b.text) or i == len(self.blocks) - 1:
+                return i, begin
+            begin += len(b.text)
+        return 0, 0
 
     def replace(self, start: int, stop: int, new: str) -> None:
-        """Puts `new` in place of the characters `start` to `stop`; only what can change is split and encoded again."""
-        e, old, shift = self.encoder, self.pieces, len(new) - (stop - start)
-        self.text = self.text[:start] + new + self.text[stop:]
-        kept = bisect_right(old, start, key=lambda p: p.stop + LOOKAHEAD)
-        out = old[:kept]
-        at = out[-1].stop if out else 0
-        starts = {p.start + shift: i for i, p in enumerate(old) if p.start >= stop}
-        while at < len(self.text):
-            if at in starts and at >= start + len(new):
-                out += [_Piece(p.start + shift, p.stop + shift, p.data, p.last) for p in old[starts[at] :]]
+        """Puts `new` in place of the characters `start` to `stop`; only what can change is split and encoded again.
+        `looked_at` is the number of pieces that were made."""
+        first, begin = self._place(max(0, start - LOOKAHEAD))
+        pieces = list(self.blocks[first].pieces) if self.blocks else []
+        # Pieces that end well before the edit stay.
+        keep, at = 0, begin
+        while keep < len(pieces) and at + pieces[keep].size + LOOKAHEAD <= start:
+            at += pieces[keep].size
+            keep += 1
+        before = at - begin  # characters of the block that stay
+        old, taken, loaded = pieces[keep:], first + 1, begin + (len(self.blocks[first].text) if self.blocks else 0)
+        behind = self.blocks[first].text[before:] if self.blocks else ""
+
+        def load() -> bool:
+            """Takes one more block into the part that is looked at."""
+            nonlocal taken, loaded, behind
+            if taken >= len(self.blocks):
+                return False
+            old.extend(self.blocks[taken].pieces)
+            behind += self.blocks[taken].text
+            loaded += len(self.blocks[taken].text)
+            taken += 1
+            return True
+
+        while loaded < stop and load():
+            pass
+        build = lambda: behind[: start - at] + new + behind[stop - at :]
+        buffer, made, pos, same = build(), [], 0, None
+        begins, known, upto = {}, 0, 0  # of the old pieces behind the edit, in places of the buffer
+        shift, e = len(new) - (stop - start), self.encoder
+        while same is None:
+            while known < len(old):
+                if at + upto >= stop:
+                    begins[upto + shift] = known
+                upto += old[known].size
+                known += 1
+            if pos in begins and pos >= start - at + len(new):
+                same = begins[pos]
+                break
+            m = e.pattern.match(buffer, pos) if pos < len(buffer) else None
+            # What a match depends on must be there, or nothing more.
+            if (m is None or m.end() + LOOKAHEAD > len(buffer)) and load():
+                buffer = build()
+                continue
+            if m is None:
+                same = len(old)
                 break
-            m = e.pattern.match(self.text, at)
             data = m.group().encode("utf-8", "surrogatepass")
-            was = old[len(out)] if len(out) < len(old) else None
-            same = _common(was.data, data) if was else 0
-            out.append(_Piece(at, m.end(), data, e.last_tokens(data, was.last[: same + 1], same) if was else e.last_tokens(data, [-1])))
-            at = m.end()
-        self.pieces = out
+            was = old[len(made)] if len(made) < len(old) else None
+            n = _common(was.data, data) if was else 0
+            last = e.last_tokens(data, list(was.last[: n + 1]), n) if was else e.last_tokens(data, [-1])
+            made.append(_Piece(m.end() - pos, data, last, e.walk(data, last)))
+            pos = m.end()
+        self.looked_at = len(made)
+        whole = pieces[:keep] + made + old[same:]
+        text = (self.blocks[first].text[:before] if self.blocks else "") + buffer
+        blocks, done = [], 0
+        for i in range(0, len(whole), self.BLOCK):
+            part = whole[i : i + self.BLOCK]
+            size = sum(p.size for p in part)
+            blocks.append(_Block(text[done : done + size], part))
+            done += size
+        self.blocks[first:taken] = blocks
 
 
 def _common(a: bytes, b: bytes) -> int:

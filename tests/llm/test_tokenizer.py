@@ -52,6 +52,24 @@ def test_appends_and_edits_are_exact(encoder):
             assert held.ids() == encoder.encode(text)
 
 
+def test_an_edit_looks_at_few_pieces(encoder):
+    r = random.Random(5)
+    held = EncodedText(encoder, " ".join(some_text(r, 8) for _ in range(4000)))
+    text = held.text
+    for _ in range(60):
+        a = r.randint(0, len(text))
+        b, new = min(len(text), a + r.randint(0, 30)), some_text(r, 12)
+        held.replace(a, b, new)
+        text = text[:a] + new + text[b:]
+        assert held.looked_at < 60
+    assert held.text == text
+    assert held.ids() == encoder.encode(text)
+    held.replace(0, len(text), "")
+    assert (held.text, held.ids()) == ("", [])
+    held.append("again")
+    assert held.ids() == encoder.encode("again")
+
+
 def test_corpus(spark, library):
     rows = [(1, "Hello there world", "x"), (2, None, "y"), (3, "", None), (4, "  \n", "z"), (5, "ab " * 40_000, "long")]
     df = spark.createDataFrame(rows, "doc_id long, text string, other string")
