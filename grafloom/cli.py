@@ -1,4 +1,4 @@
-"""`python -m grafloom.cli`: init, run, explain, import-rdf, pack, unpack, diff, view."""
+"""`python -m grafloom.cli`: init, run, explain, profile, import-rdf, compact, pack, unpack, diff, view."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def main(argv: list[str] | None = None) -> int:
     """0; for `diff` 1 if the databases differ; 2 on an error."""
     p = argparse.ArgumentParser(prog="grafloom")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"init": ["path"], "run": ["path", "script"], "explain": ["path", "script"], "import-rdf": ["path", "file"], "pack": ["path", "file"], "unpack": ["file", "path"], "diff": ["path", "other"], "view": ["path"]}.items():
+    for name, args in {"init": ["path"], "run": ["path", "script"], "explain": ["path", "script"], "profile": ["path", "script"], "compact": ["path"], "import-rdf": ["path", "file"], "pack": ["path", "file"], "unpack": ["file", "path"], "diff": ["path", "other"], "view": ["path"]}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -38,6 +38,15 @@ def main(argv: list[str] | None = None) -> int:
             db.commit()
         elif a.command == "explain":
             print(db.explain(a.script)["plan"])
+        elif a.command == "profile":
+            p = db.profile(a.script)
+            print(p["rows"], "rows", round(p["seconds"], 3), "s")
+            for o in p["operators"]:
+                print("  " * o["depth"] + o["operator"], o["rows"] if o["rows"] is not None else "")
+        elif a.command == "compact":
+            for n in db.store.names():
+                db.store.compact(n)
+            db.commit()
         elif a.command == "import-rdf":
             print(db.import_ntriples(a.file))
         elif a.command == "view":

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -138,6 +139,17 @@ class Database(GraphApi):
         self._restore(self._saved)
         self._saved = None
 
+    @contextmanager
+    def transaction(self) -> Iterator[Database]:
+        """`with db.transaction(): ...` commits at the end, and undoes all of it on an error."""
+        self.begin()
+        try:
+            yield self
+        except BaseException:
+            self.rollback()
+            raise
+        self.commit_transaction()
+
     def _versioned(self, df: DataFrame) -> DataFrame:
         return df.withColumns({CREATED: F.lit(self.lsn).cast("long"), DELETED: F.lit(None).cast("long")})
 

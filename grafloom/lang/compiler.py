@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -165,6 +166,14 @@ class Compiler:
             self.df = rows if self.df is None else self.df.crossJoin(rows)
 
     def _pattern(self, p: Pattern, g: PropertyGraph) -> None:
+        if self.df is not None:
+            known = [n.alias in self.labels for n in p.nodes]
+            if known[-1] and not known[0] and p.path is None and not any(r.hops for r in p.rels):
+                # From the node that is known, so that each join has a key.
+                turned = [Rel(r.alias, r.types, {"out": "in", "in": "out"}.get(r.direction, r.direction), None, r.props) for r in reversed(p.rels)]
+                p = Pattern(None, p.nodes[::-1], turned)
+            elif not any(known):
+                warnings.warn("a pattern shares no name with those before it: all pairs of their rows", stacklevel=2)
         aliases = [self._alias(n.alias) for n in p.nodes]
         self._node(p.nodes[0], aliases[0], g, None)
         eids = []

@@ -12,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which `broadcast_if_small` broadcasts: some tens of MB for the few narrow columns it is used with.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of Parquet, up to which `broadcast_if_small` broadcasts.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 * 1024 * 1024
 #: Keys up to which a set of rows is looked up by an IN filter in the scan: some 100 kB in the plan.
 IN_KEYS = 10_000
 
@@ -104,12 +104,11 @@ def among(column: str, values: list) -> Column:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` computed once; marked for broadcast if it has at most `rows` rows, else left to a shuffle join.
-
-    Counting stops at `rows` + 1, and the joins that use this are right either way.
-    """
-    kept = cut(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    """`df` computed once; marked for broadcast if it has at most `rows` rows and `BROADCAST_BYTES` as written, else left to
+    the optimizer, which knows its size. The joins that use this are right either way."""
+    kept = keep(df)
+    size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(kept) if size <= BROADCAST_BYTES and kept.limit(rows + 1).count() <= rows else kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

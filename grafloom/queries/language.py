@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grafloom.lang.compiler import compile_query
-from grafloom.queries.world import STORE_SQL, chain_graph, sales_graph, store_graph
+from grafloom.queries.world import STORE_SQL, chain_graph, overlapping_graph, sales_graph, store_graph
 
 #: name: (graph, text, SQL)
 _ALL = {
@@ -56,6 +56,7 @@ _ALL = {
         f"with {STORE_SQL} select b.node_type as type, b.canonical_name as name, count(*) n from edges join nodes a on a.gid = src join nodes b on b.gid = dst where edge_type = 'MENTIONS' and a.node_type = 'Chunk' and b.entity_type = 'person' group by 1, 2"),
     "union_queries": (sales_graph, "MATCH (c:Customer) RETURN c.c_nationkey AS nation UNION MATCH (s:Supplier) WHERE s.s_acctbal > 5000 RETURN s.s_nationkey AS nation", "select c_nationkey nation from customer union select s_nationkey from supplier where s_acctbal > 5000"),
     "except_queries": (sales_graph, "MATCH (c:Customer) RETURN c.c_custkey AS key EXCEPT MATCH (s:Supplier) RETURN s.s_suppkey AS key", "select c_custkey as key from customer except select s_suppkey from supplier"),
+    "label_conjunction": (overlapping_graph, "MATCH (c:Builder&Rich) RETURN c.c_custkey, c.c_name", "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and c_acctbal > 5000"),
     "no_upper_bound": (chain_graph, "MATCH p = (a:Nation)-[:NEXT*]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, length(p) AS hops",
         "with n as (select n_nationkey k, row_number() over (order by n_nationkey) :: int i from nation) select a.k a, b.k b, b.i - a.i hops from n a join n b on b.i > a.i"),
     "sixteen_hops_or_more": (chain_graph, "MATCH p = (a:Nation)-[:NEXT*16..]->(b) RETURN a.n_nationkey AS a, length(p) AS hops, relationships(p) AS eids",

@@ -51,6 +51,12 @@ def chain_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     return PropertyGraph(spark, {"Nation": n}, {"NEXT": steps.where("dst is not null")})
 
 
+def overlapping_graph(spark: SparkSession, sf: str) -> PropertyGraph:
+    """Customers in two classes that have some in common, by the same gid."""
+    c = table(spark, sf, "customer").withColumns({"gid": F.col("c_custkey").cast("bigint"), "node_id": F.col("c_custkey").cast("string")})
+    return PropertyGraph(spark, {"Builder": c.where("c_mktsegment = 'BUILDING'"), "Rich": c.where("c_acctbal > 5000")})
+
+
 def store_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     """The versioned graph store: one row per version and per edge, repeated rows once; NaN weights are null.
 

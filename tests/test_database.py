@@ -223,6 +223,13 @@ def test_transactions(spark, tmp_path):
     assert Database(spark, str(tmp_path / "db")).node_table("E").first()["x"] == 4
     with pytest.raises(GraphError):
         d.rollback()
+    d = Database(spark, str(tmp_path / "db"))
+    with d.transaction():
+        d.upsert_node_table([{"node_id": "a", "type": "E", "x": 5}])
+    with pytest.raises(ZeroDivisionError), d.transaction():
+        d.upsert_node_table([{"node_id": "a", "type": "E", "x": 6}])
+        1 / 0  # noqa: B018
+    assert Database(spark, str(tmp_path / "db")).node_table("E").first()["x"] == d.node_table("E").first()["x"] == 5
 
 
 def test_loading_files_with_bad_rows(spark, tmp_path):

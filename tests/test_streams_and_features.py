@@ -123,6 +123,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["run", path, "MATCH (a:A) RETURN a.x"]) == 0
     assert "{'x': 1}" in capsys.readouterr().out
     assert cli.main(["explain", path, "MATCH (a:A) RETURN a.x"]) == 0
+    assert cli.main(["profile", path, "MATCH (a:A) RETURN a.x"]) == 0
+    assert "1 rows" in capsys.readouterr().out
+    assert cli.main(["compact", path]) == 0
     assert cli.main(["pack", path, str(tmp_path / "z.zip")]) == 0
     assert cli.main(["unpack", str(tmp_path / "z.zip"), str(tmp_path / "copy")]) == 0
     assert cli.main(["diff", path, str(tmp_path / "copy")]) == 0
