@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grafloom.errors import GraphError
 from grafloom.functions.builtins import cosine, dot, l2
-from grafloom.plans.runtime import few, keep, shared_folder, ship
+from grafloom.plans.runtime import few, keep, scratch, ship
 
 METRICS = {"cosine": "cosine", "l2": "l2", "dot": "dot", "ip": "dot", "dot_product": "dot"}
 
@@ -188,7 +187,7 @@ class InvertedFile:
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", list_ int"
         placed = some.mapInArrow(assign, schema)
-        self.folder = folder or f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+        self.folder = folder or scratch(spark, "lists")
         # A list with many rows is written by several tasks.
         placed.repartition("list_", F.shiftright(F.xxhash64(id_), 62)).write.partitionBy("list_").parquet(self.folder)
         self.rows = spark.read.schema(placed.schema).parquet(self.folder)

@@ -52,6 +52,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder. Where that is a mounted file system, such folders go when the program ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_sweep)
+    _scratch.add(folder)
+    return folder
+
+
+def _sweep() -> None:
+    for f in _scratch:
+        path = f.removeprefix("file:")
+        if path.startswith("/"):
+            shutil.rmtree("/" + path.lstrip("/"), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder, so that its plan ends here."""
     shared_folder(df.sparkSession)
@@ -65,7 +84,7 @@ class Kept:
     them takes the columns and rows that it needs, and the optimizer knows their size."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.paths, self.schema = spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", [], None
+        self.spark, self.folder, self.paths, self.schema = spark, scratch(spark, "kept"), [], None
 
     def add(self, df: DataFrame) -> DataFrame:
         """Writes `df` and returns it as written."""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafloom.operators import changefeed, compaction, references, skew
-from grafloom.plans.runtime import broadcast_if_small, shared_folder, table
+from grafloom.plans.runtime import broadcast_if_small, scratch, table
 from grafloom.sources import wal
 
 
@@ -94,7 +92,7 @@ def p5_packed(spark: SparkSession, sf: str) -> DataFrame:
     length in the index and the digest of the bytes read back, which had the index's checksum."""
     d = table(spark, sf, "documents")
     files = d.select(F.concat_ws("/", F.lit("documents"), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    folder = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    folder = scratch(spark, "packed")
     index = compaction.pack_files(files, folder, 1024 * 1024)
     back = compaction.read_packed(index, folder).select("path", F.md5("content").alias("digest"))
     return index.select("path", "length").join(back, "path")

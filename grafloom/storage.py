@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from grafloom.graph import CREATED, DELETED, union_all
-from grafloom.plans.runtime import shared_folder
+from grafloom.plans.runtime import scratch
 
 #: Files of ended versions from which a table is written anew.
 MOST_ENDED = 32
@@ -54,7 +54,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, folder: str | None, files: dict | None = None) -> None:
-        self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/database-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, folder or scratch(spark, "database")
         self.files: dict[str, dict] = files or {}
         self._frames: dict[str, DataFrame] = {}
 
