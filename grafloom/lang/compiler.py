@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,15 @@ from grafloom.operators import traverse, vector
 _TYPES = {"INT": "bigint", "INT64": "bigint", "INT32": "int", "INT16": "smallint", "INT8": "tinyint", "F32": "float", "F64": "double", "STRING": "string", "BOOL": "boolean", "DATE": "date", "DATETIME": "timestamp", "BYTES": "binary"}
 
 
+@dataclass
+class _Factor:
+    """One of several patterns of a MATCH for itself: its rows, its aliases and the columns it has in common with others."""
+
+    rows: DataFrame
+    aliases: set[str]
+    shared: set[str]
+
+
 class Compiler:
     """One query over one graph. Columns of an alias `a` are named `a.x`; values have their own name."""
 
@@ -28,6 +38,7 @@ class Compiler:
         self.edges: set[str] = set()
         self.paths: set[str] = set()
         self.names = 0
+        self.alone: tuple | None = None  # patterns, graph and WHERE of a first MATCH of several patterns, till another clause
         self.distinct: dict[str, Column] = {}  # arguments of aggregates over distinct values, columns while they are computed
 
     # --- clauses
@@ -59,6 +70,7 @@ class Compiler:
                 g = self.g.at(c.as_of) if c.as_of else self.g
                 where = clauses[i + 1] if i + 1 < len(clauses) and clauses[i + 1].kind == "where" else None
                 self._match(c, g, where)
+                self.alone = (c.patterns, g, where) if i == 0 and not c.optional and len(c.patterns) > 1 else None
             elif c.kind == "where":
                 if i and clauses[i - 1].kind == "match":
                     continue
@@ -70,6 +82,8 @@ class Compiler:
                 self._call(c)
             elif c.kind == "with":
                 self._project(c, Query([]), keep=True)
+            if c.kind not in ("match", "return"):
+                self.alone = None
 
     def _match(self, c: Clause, g: PropertyGraph, where: Clause | None) -> None:
         self._subclasses = _subclass_terms(where.expr) if where else {}
@@ -225,22 +239,25 @@ class Compiler:
     def _project(self, c: Clause, q: Query, keep: bool = False) -> DataFrame:
         exprs = [e for e, _ in c.items]
         df = self._with_degrees(exprs, self.df)
-        names, columns, kept = [], [], {}
+        names, columns, kept, distinct = [], [], {}, []
         for e, given in c.items:
             if keep and e[0] == "name" and len(e[1]) == 1 and e[1][0] in self.labels | dict.fromkeys(self.edges | self.paths):
                 a = given or e[1][0]
                 kept[a] = e[1][0]
                 continue
             names.append(given or _name(e))
+            before = len(self.distinct)
             columns.append((e, self.expr(e)))
+            distinct.append(list(self.distinct.items())[before:])
         aggregates = [_has_aggregate(e) for e, _ in columns]
         carried = [(f"{new}.{x.partition('.')[2]}", F.col(f"`{x}`")) for new, old in kept.items() for x in df.columns if x.partition(".")[0] == old]
         order = [(self._order(e, names), d) for e, d in q.order]
-        if self.distinct:
-            df, self.distinct = df.withColumns(self.distinct), {}
+        self.distinct = {}
         if any(aggregates):
-            keys = [col.alias(f"k{i}") for i, ((_, col), agg) in enumerate(zip(columns, aggregates, strict=True)) if not agg] + [col.alias(n) for n, col in carried]
-            out = df.groupBy(*keys).agg(*[col.alias(f"k{i}") for i, ((_, col), agg) in enumerate(zip(columns, aggregates, strict=True)) if agg])
+            keys = {f"k{i}": col for i, ((_, col), agg) in enumerate(zip(columns, aggregates, strict=True)) if not agg} | dict(carried)
+            values = {f"k{i}": (e, col, distinct[i]) for i, ((e, col), agg) in enumerate(zip(columns, aggregates, strict=True)) if agg}
+            out = self._apart(keys, [e for (e, _), agg in zip(columns, aggregates, strict=True) if not agg], values, set(kept.values()))
+            out = _grouped(df, keys, values) if out is None else out
             out = out.select(*[F.col(f"k{i}") for i in range(len(columns))], *[F.col(f"`{n}`") for n, _ in carried])
         else:
             out = df.select(*[col.alias(f"k{i}") for i, (_, col) in enumerate(columns)], *[col.alias(n) for n, col in carried])
@@ -262,6 +279,85 @@ class Compiler:
             out = out.limit(q.limit)
         return out.toDF(*names)
 
+    def _factors(self, exprs: list[tuple], kept: set[str]) -> list[_Factor] | None:
+        """The patterns of the MATCH, each with the terms of WHERE on its aliases. Their rows, joined on `shared` (the nodes
+        in several of them, with all that `exprs`, WHERE or a whole alias in `kept` takes from these), are those of the MATCH.
+        None if there is a path, or what takes two patterns together."""
+        patterns, g, where = self.alone
+        terms = _conjuncts(where.expr) if where else []
+        used = [_names(e) for e in [*exprs, *terms]]
+        if None in used or any(p.path or any(r.hops for r in p.rels) for p in patterns):
+            return None
+        first, single, turned = {}, [], []
+        for p in patterns:
+            here, nodes = set(), []
+            for n in p.nodes:
+                again = n.alias in first and n.alias not in here
+                if again and (n.labels or n.props):
+                    return None
+                nodes.append(first[n.alias] if again else n)
+                here.add(n.alias)
+            first |= {n.alias: n for n in reversed(p.nodes) if n.alias and n.alias not in first}
+            single += [r.alias for r in p.rels if r.alias]
+            turned.append(Pattern(None, nodes, p.rels))
+        if len(single) > len(set(single)) or set(single) & set(first):
+            return None
+        aliases = [{x.alias for x in [*p.nodes, *p.rels] if x.alias} for p in turned]
+        common = {a for a in first if sum(a in own for own in aliases) > 1}
+        wanted = {f"{n[0]}.{n[1]}" for names in used for n in names if len(n) > 1} | {f"{a}.gid" for a in common}
+        out, count = [], self.names
+        for p, own in zip(turned, aliases, strict=True):
+            part = Compiler(self.g, self.params, self.vectors)
+            part._subclasses, part.names = self._subclasses, count
+            part._pattern(p, g)
+            count = part.names
+            for t, names in zip(terms, used[len(exprs) :], strict=True):
+                if {n[0] for n in names} <= own:
+                    part.df = part.df.where(part.expr(t))
+            columns = [x for x in part.df.columns if x.split(".")[0] not in common or x in wanted or x.split(".")[0] in kept]
+            shared = {x for x in columns if x.split(".")[0] in common}
+            if any("map<" in t or "variant" in t for x, t in part.df.dtypes if x in shared):
+                return None
+            out.append(_Factor(part.df.select(*[F.col(f"`{x}`") for x in columns]), own, shared))
+        if any(not any({n[0] for n in names} <= f.aliases for f in out) for names in used[len(exprs) :]):
+            return None
+        return out
+
+    def _apart(self, keys: dict[str, Column], key_exprs: list[tuple], values: dict[str, tuple], kept: set[str]) -> DataFrame | None:
+        """The groups of a MATCH of several patterns without all pairs of their rows: each aggregate from the patterns it
+        needs, reduced to rows that have partners in the others, and then joined by `keys`. None where that isn't the same,
+        as repeats count in an aggregate, or where one needs all patterns."""
+        if self.alone is None or any(_counts_repeats(e) for e, _, _ in values.values()):
+            return None
+        factors = self._factors([*key_exprs, *[e for e, _, _ in values.values()]], kept)
+        if factors is None:
+            return None
+        everything = list(range(len(factors)))
+        cores: dict[tuple, dict] = {}
+        for name, value in values.items():
+            needed = {n[0] for e in [*key_exprs, value[0]] for n in _names(e)} | kept
+            core = []
+            # First those with aliases that no other has; these bring most of the others.
+            for a in sorted(needed, key=lambda a: sum(a in f.aliases for f in factors)):
+                if not any(a in factors[i].aliases for i in core):
+                    core += [i for i in everything if a in factors[i].aliases][:1]
+            if not core or len(core) == len(factors) or len(_reached(factors, core[:1], core)) < len(core) or len(_reached(factors, core[:1], everything)) < len(factors):
+                return None
+            cores.setdefault(tuple(sorted(core)), {})[name] = value
+        out = None
+        for core, some in cores.items():
+            rows = _joined(factors, _reached(factors, core[:1], core))
+            rest = [i for i in everything if i not in core]
+            while rest:
+                group = _reached(factors, rest[:1], rest)
+                rest = [i for i in rest if i not in group]
+                ends = set.union(*[factors[i].shared for i in core]) & set.union(*[factors[i].shared for i in group])
+                others = [_Factor(factors[i].rows.select(*[F.col(f"`{x}`") for x in sorted(factors[i].shared)]).distinct(), set(), factors[i].shared) for i in group]
+                rows = _meet(rows, _joined(others, range(len(others))).select(*[F.col(f"`{x}`") for x in sorted(ends)]).distinct(), ends, "left_semi")
+            part = _grouped(rows, keys, some)
+            out = part if out is None else _meet(out, part, keys, "inner")
+        return out
+
     def _order(self, e: tuple, names: list[str]) -> int:
         for name in (_name(e), ".".join(e[1]) if e[0] == "name" else ""):
             if name in names:
@@ -439,6 +535,57 @@ def _has_aggregate(e: tuple) -> bool:
     return any(n[0] == "call" and n[1] in fn.AGGREGATES for n in _walk(e))
 
 
+def _names(e: tuple) -> list[list[str]] | None:
+    """The names in an expression; None where it has some that are not seen here."""
+    nodes = list(_walk(e))
+    if any(n[0] in ("map", "exists") or n[:2] == ("call", "degree") for n in nodes):
+        return None
+    return [n[1] for n in nodes if n[0] == "name"]
+
+
+def _conjuncts(e: tuple) -> list[tuple]:
+    return [*_conjuncts(e[1]), *_conjuncts(e[2])] if e[0] == "and" else [e]
+
+
+def _counts_repeats(e: tuple) -> bool:
+    """Whether an aggregate in `e` changes if a row is there twice."""
+    return any(n[0] == "call" and n[1] in fn.AGGREGATES and not (n[2] and (n[3] or n[1] in ("min", "max"))) for n in _walk(e))
+
+
+def _grouped(df: DataFrame, keys: dict[str, Column], values: dict[str, tuple]) -> DataFrame:
+    """`values`: name to expression, its Column and the columns that this takes distinct values of."""
+    distinct = dict(x for _, _, columns in values.values() for x in columns)
+    df = df.withColumns(distinct) if distinct else df
+    return df.groupBy(*[col.alias(n) for n, col in keys.items()]).agg(*[col.alias(n) for n, (_, col, _) in values.items()])
+
+
+def _reached(factors: list[_Factor], start: tuple | list, among: tuple | list) -> list[int]:
+    """Those of `among` that `start` is joined with, directly or by others of them; each shares a column with one before it."""
+    out = list(start)
+    for i in out:
+        out += [j for j in among if j not in out and factors[i].shared & factors[j].shared]
+    return out
+
+
+def _joined(factors: list[_Factor], order: list[int] | range) -> DataFrame:
+    rows, has = None, set()
+    for i in order:
+        rows = factors[i].rows if rows is None else _meet(rows, factors[i].rows, has & factors[i].shared, "inner")
+        has |= factors[i].shared
+    return rows
+
+
+def _meet(left: DataFrame, right: DataFrame, columns, how: str) -> DataFrame:  # noqa: ANN001
+    """A join on columns of the same names, which are there once after it; null is equal to null, but for the gids of nodes."""
+    if not columns:
+        return left.crossJoin(right)
+    right = right.select(*[F.col(f"`{x}`").alias(f"{x}_o" if x in columns else x) for x in right.columns])
+    pairs = [(F.col(f"`{x}`"), F.col(f"`{x}_o`"), x) for x in sorted(columns)]
+    on = reduce(lambda a, b: a & b, [a == b if x.endswith(".gid") else a.eqNullSafe(b) for a, b, x in pairs])
+    out = left.join(right, on, how)
+    return out if how == "left_semi" else out.drop(*[f"{x}_o" for _, _, x in pairs])
+
+
 def _subclass_terms(e: tuple) -> dict[str, str]:
     """Alias to base class of the `a.class SUBCLASSOF* C` terms of an AND tree; anywhere else they are an error."""
     if e[0] == "and":
