@@ -8,8 +8,9 @@ nodes come from a filtered scan, those from many from a table that is written on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import count
 
@@ -258,13 +259,40 @@ def _distances(steps: DataFrame, targets: DataFrame, depth: int | None) -> DataF
     return known.all()
 
 
-def simple_paths(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame | None, max_depth: int | None, min_depth: int = 1, stop: bool = False, by_weight: bool = False) -> DataFrame:
+@dataclass
+class Best:
+    """What the first `limit` paths are looked for by: their score, or its negative, then depth, nodes and edges."""
+
+    limit: int
+    score: str | None
+    order: str
+    most: float = math.inf  # the greatest absolute weight of a step; infinite where that is unknown
+
+    def steps(self, steps: DataFrame, max_depth: int | None) -> DataFrame:
+        """Of the parallel steps from a node to the next those that can be in one of these paths.
+
+        In a path of the same nodes, a step may take the place of another. A step is left out if `limit` others of the same
+        weight have lesser ids, as each of these gives a path that comes first. For sums and averages it is left out, too,
+        if `limit` others are better by more than what rounding can make up for in the sum: then ids don't come to decide.
+        """
+        columns, v = steps.columns, F.lit(0.0) if self.score is None else F.col("w") if self.order == "desc" else -F.col("w")
+        ids = [F.col(c) for c in ("eid", "edge_type", "direction")]
+        out = steps.withColumn("v_", v).withColumn("n_", F.row_number().over(Window.partitionBy("node", "next", "v_").orderBy(*ids))).where(F.col("n_") <= self.limit)
+        if self.limit and max_depth is not None and self.score in ("sum", "average", "avg") and self.most * max_depth < 1e300:
+            slack = self.most * max(1e-9, 1e-15 * max_depth**2)
+            every = Window.partitionBy("node", "next").orderBy(F.desc("v_")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            out = out.withColumn("k_", F.nth_value("v_", self.limit).over(every)).where(F.col("k_").isNull() | (F.col("v_") >= F.col("k_") - slack))
+        return out.select(*columns)
+
+
+def simple_paths(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame | None, max_depth: int | None, min_depth: int = 1, stop: bool = False, by_weight: bool = False, best: Best | None = None) -> DataFrame:
     """All paths without a repeated node from each source (`pos`, `gid`) to a target (`gid`; None: any node).
 
     `seed`, `at`, `depth` and the path's columns; parallel edges give paths of their own. With `stop`, paths don't go
     on from a target. Without `max_depth` the search ends when no path goes on: a path has no more steps than there
     are other nodes. Then, and where there are at most `IN_KEYS` targets, a path of which the rest can't reach a
-    target in time is dropped as soon as that is known, by distances from the targets back.
+    target in time is dropped as soon as that is known, by distances from the targets back. With `best`, paths that can't
+    be among the first ones may be left out.
     """
     if max_depth is not None and max_depth < 1:
         raise GraphError(6020, "max_depth must be at least 1")
@@ -274,6 +302,9 @@ def simple_paths(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame
         targets = targets.select("gid").distinct()
         if max_depth is None or (max_depth > 1 and few(targets, "gid") is not None):
             left = _distances(steps.all(), targets, None if max_depth is None else max_depth - 1)
+    if best is not None and left is not None:
+        greatest = steps.all().agg(F.max(F.abs("w"))).first()[0]  # NaN is the greatest
+        best = replace(best, most=0.0 if greatest is None else greatest)
     known = Kept(spark)
     at_work = known.add(_seed_paths(sources).select(F.col("at").alias("seed"), "at", "key", F.lit(0).alias("depth"), F.lit(False).alias("hit")))
     last = None
@@ -282,8 +313,14 @@ def simple_paths(adj: DataFrame | Steps, sources: DataFrame, targets: DataFrame
         if nodes == []:
             break
         live = at_work.where(~F.col("hit")) if stop else at_work
+        ways = steps.of(nodes)
+        if best is not None:
+            if left is not None:
+                near = left if max_depth is None else left.where(F.col("left") <= max_depth - d)
+                ways = ways.join(near, F.col("next") == F.col("id"), "left_semi")
+            ways = best.steps(ways, max_depth)
         # The new node is checked against the path before it, so that the arrays are only made for paths that stay.
-        step = _extend(live.select("seed", "at", "key", F.col("key.n").alias("before")), steps.of(nodes), by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
+        step = _extend(live.select("seed", "at", "key", F.col("key.n").alias("before")), ways, by_weight, ["seed", "before"]).where(~F.array_contains("before", F.col("at"))).drop("before")
         hit = F.lit(True)
         if left is not None:
             step = step.join(left.select(F.col("id").alias("at"), "left"), "at").where(F.lit(True) if max_depth is None else F.col("left") <= max_depth - d)
@@ -304,7 +341,7 @@ def paths(g: PropertyGraph, source: int, target: int, edge_types: list[str] | No
     """Simple paths between two gids, the first `limit` in order of (score,) depth, nodes and edges."""
     spark = g.spark
     one = lambda x: spark.createDataFrame([(0, x)], "pos bigint, gid bigint")
-    p = simple_paths(steps_of(g, edge_types, direction, edge_filters, weight), one(source), one(target), max_depth)
+    p = simple_paths(steps_of(g, edge_types, direction, edge_filters, weight), one(source), one(target), max_depth, best=None if limit is None else Best(limit, score, order))
     p = p.where(F.lit(source != target)).withColumn("path_score", path_score(F.col("weights"), score))
     by = [F.col("depth"), F.col("nodes"), F.col("eids")]
     if score:
